@@ -52,7 +52,8 @@ def all_numbers(c: str | Column) -> Column:
 
 def required_years_in_text(text: Column) -> Column:
     hit = F.regexp_extract(text, r"(\d+(?:\.\d+)?)\s*\+?\s*(?:years?|yrs?)", 1)
-    return F.greatest(F.lit(0.0), hit.try_cast("double"))
+    # No hit leaves NULL; greatest() alone would turn it into 0.
+    return F.when(hit != "", F.greatest(F.lit(0.0), hit.try_cast("double")))
 
 
 def joined_lower(*cols: str) -> Column:
@@ -65,6 +66,8 @@ def parse_timestamp(c: str | Column) -> Column:
     s = strip(col(c))
     s = F.regexp_replace(s, r"(?i)(\d+)(st|nd|rd|th)\b", "$1")
     s = F.regexp_replace(s, r"Sept(?!ember)", "Sep")
+    s = F.regexp_replace(s, r"(?i)^(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+", "")
+    s = F.regexp_replace(s, r"\s+(?:GMT|UTC|\+0000)$", "")
     iso = F.regexp_replace(s, r"Z$", "")
     iso = F.regexp_replace(iso, r"^(\d{4}-\d{2}-\d{2})T", "$1 ")
     tries = [F.try_to_timestamp(iso, F.lit(f)) for f in
@@ -72,7 +75,7 @@ def parse_timestamp(c: str | Column) -> Column:
               "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd")]
     tries += [F.try_to_timestamp(s, F.lit(f)) for f in
               ("d MMMM yyyy", "d MMM yyyy", "MMMM d, yyyy", "MMM d, yyyy", "d/M/yyyy", "d-M-yyyy", "d.M.yyyy",
-               "d MMMM yyyy HH:mm", "d/M/yyyy HH:mm", "EEE, d MMM yyyy HH:mm:ss")]
+               "d MMMM yyyy HH:mm", "d/M/yyyy HH:mm", "d MMM yyyy HH:mm:ss")]
     return F.coalesce(*tries)
 
 

@@ -118,3 +118,44 @@ def source_b(spark: SparkSession, d: str) -> DataFrame:
 def duck(sql: str) -> str:
     """The same SELECT with plain table names."""
     return sql.format(**{t: t for t in TABLES})
+
+USERS_SQL = """
+SELECT 'u' || CAST(c_custkey AS STRING) AS user_id, c_name AS name, n_name AS nation, c_mktsegment AS segment,
+  CASE WHEN c_custkey % 1000 = 7 THEN NULL WHEN c_custkey % 50 = 0 THEN n_name
+       ELSE 'District ' || CAST(c_custkey % 40 AS STRING) || ', ' || n_name END AS place,
+  c_acctbal * 3 AS min_salary, CASE WHEN c_custkey % 3 = 0 AND c_acctbal > 0 THEN c_acctbal * 6 END AS max_salary,
+  CASE c_mktsegment WHEN 'BUILDING' THEN 'Full-time' WHEN 'MACHINERY' THEN 'Part time' END AS work_type,
+  CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS industry,
+  CASE WHEN c_custkey % 4 = 1 THEN c_name END AS excluded,
+  CASE WHEN c_custkey % 5 = 2 THEN TIMESTAMP '1996-06-01 00:00:00' END AS start_date,
+  CAST(c_custkey % 6 AS INT) AS edu, CAST(2.5 + (c_custkey % 20) / 10.0 AS DOUBLE) AS gpa,
+  CASE WHEN c_custkey % 7 = 0 THEN '985' END AS ranking, CAST((c_custkey % 13) / 2.0 AS DOUBLE) AS years
+FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey
+"""
+
+
+def profiles(spark: SparkSession, d: str) -> DataFrame:
+    """Nested user profiles from the customer side."""
+    from pyspark.sql import functions as F
+
+    u = bind(spark, d, USERS_SQL)
+    skills = bind(spark, d, USER_SKILLS_SQL).groupBy("user_id").agg(
+        F.array_sort(F.collect_list(F.struct("name", "proficiency", "years_of_experience"))).alias("skills"))
+    levels = F.array(*[F.lit(x) for x in ("High School", "Associate", "Bachelor", "Master", "PhD")])
+
+    def pref(kind, value, weight):
+        return F.struct(F.lit(kind).alias("preference_type"), value.alias("value"), F.lit(weight).alias("weight"))
+
+    def one(c):
+        return F.when(F.col(c).isNotNull(), F.array(c)).otherwise(F.array().cast("array<string>"))
+    return u.join(skills, "user_id", "left").select(
+        "user_id", "name", F.coalesce("skills", F.array().cast("array<struct<name:string,proficiency:double,years_of_experience:double>>")).alias("skills"),
+        F.when(F.col("edu") > 0, F.array(F.struct(
+            F.element_at(levels, F.col("edu")).alias("level"), F.lit("").alias("major"), "gpa", "ranking")))
+        .otherwise(F.array().cast("array<struct<level:string,major:string,gpa:double,ranking:string>>")).alias("education"),
+        F.array(F.struct(F.lit("").alias("company"), F.col("years").alias("duration_years"))).alias("work_experience"),
+        F.array(pref("Industry", F.col("segment"), 0.6), pref("Company Size", F.lit("Unknown"), 0.3),
+                pref("Innovation", F.lit("high"), 0.2)).alias("preferences"),
+        F.struct(one("place").alias("locations"), "min_salary", "max_salary", "work_type", F.col("start_date").cast("date").alias("start_date"),
+                 one("industry").alias("industries"), F.array().cast("array<string>").alias("company_types"),
+                 one("excluded").alias("exclude_companies"), F.lit(None).cast("double").alias("max_commute_time")).alias("constraints"))

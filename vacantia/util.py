@@ -66,16 +66,20 @@ def top_per_key(
     order: Sequence[Column],
     k: int,
     rank_col: str = "rank",
+    row: str | None = None,
     salts: int = 64,
 ) -> DataFrame:
     """Keep the ``k`` first rows of each key and number them from 1.
 
     Up to Spark's group-limit threshold the limit runs map-side by itself. For a larger k
-    a salted first pass does the same: the final window never sees more than
+    a first pass salted on the row id does the same: the final window never sees more than
     ``k * salts`` rows of one key.
     """
     if k > GROUP_LIMIT:
-        df = df.withColumn("_salt", (F.rand(17) * salts).cast("int"))
+        if row is None:
+            raise ValueError("a large k needs the row id column to salt on")
+        # Salted on data, not on rand(): a recomputed task must place its rows as before.
+        df = df.withColumn("_salt", F.pmod(F.xxhash64(row), F.lit(salts)))
         pre = Window.partitionBy(*keys, "_salt").orderBy(*order)
         df = df.withColumn("_pre", F.row_number().over(pre)).filter(F.col("_pre") <= k).drop("_pre", "_salt")
     w = Window.partitionBy(*keys).orderBy(*order)
