@@ -71,7 +71,7 @@ def weighted_skill_match(user: Column, job: Column) -> Column:
     total = F.aggregate(F.map_values(job), F.lit(0.0), lambda s, w: s + w)
     got = F.aggregate(
         F.map_keys(job), F.lit(0.0),
-        lambda s, k: s + F.coalesce(F.least(F.try_element_at(user, k), F.lit(1.0)), F.lit(0.0)) * F.element_at(job, k))
+        lambda s, k: s + F.least(F.coalesce(F.try_element_at(user, k), F.lit(0.0)), F.lit(1.0)) * F.element_at(job, k))
     return (F.when(F.size(job) == 0, F.lit(1.0)).when((F.size(user) == 0) | (total == 0), F.lit(0.0))
             .otherwise(F.try_divide(got, total)))
 
@@ -216,7 +216,7 @@ def skill_score(cfg: MatcherConfig) -> Column:
     hit = F.size(F.array_intersect(job, user)).cast("double")
     coverage = F.try_divide(hit, n)
     weighted = F.try_divide(F.aggregate(
-        job, F.lit(0.0), lambda s, k: s + F.coalesce(F.least(F.try_element_at(weights, k), F.lit(1.0)), F.lit(0.0))), n)
+        job, F.lit(0.0), lambda s, k: s + F.least(F.coalesce(F.try_element_at(weights, k), F.lit(0.0)), F.lit(1.0))), n)
     raw = coverage * 0.5 + weighted * 0.3 + F.try_divide(hit, n + F.size(user) - hit) * 0.2
     low = coverage < cfg.min_skill_coverage
     raw = F.when(low, F.greatest(F.lit(0.0), raw - (cfg.min_skill_coverage - coverage) * 0.5)).otherwise(raw)

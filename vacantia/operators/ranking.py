@@ -155,6 +155,8 @@ def diversify(top: DataFrame, cfg: RankerConfig, user: str = "u_user_id", row: s
     A group holds at most ``candidate_cap`` narrow rows.
     """
     factor, limit = cfg.diversity_factor, cfg.top_k
+    # Read by the picker and by the join below: write the capped list once.
+    top = materialize(top, "capped")
     narrow = top.select(user, row, rank, F.round("final_score", 9).alias("final_score"), "p_company", "p_industry", "p_work_type")
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:

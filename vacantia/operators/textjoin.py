@@ -23,17 +23,17 @@ def contains_pairs(needles: DataFrame, texts: DataFrame, needle: str, text: str,
     hold distinct non-empty values and ``texts`` one row per ``text_id``.
     """
     n = needles.select(F.col(needle).alias("_needle"))
-    out = None
+    size = F.char_length("_needle")
+    own = F.lit(None).cast("array<string>")
     for q in range(1, GRAM + 1):
-        size = F.char_length("_needle")
-        mine = n.filter(size >= GRAM if q == GRAM else size == q)
-        wanted = mine.select("_needle", F.explode(grams(F.col("_needle"), q)).alias("_gram"))
-        have = texts.select(text_id, F.explode(grams(F.col(text), q)).alias("_gram"))
-        freq = (have.join(wanted.select("_gram").distinct(), "_gram", "left_semi").groupBy("_gram")
-                .agg(F.count(F.lit(1)).alias("_df")))
-        # A gram no text has rules its needle out; else the rarest one is the key.
-        key = first_per_key(wanted.join(freq, "_gram", "left").fillna({"_df": 0}), ["_needle"], [F.col("_df"), F.col("_gram")])
-        hits = have.join(key.filter("_df > 0").select("_needle", "_gram"), "_gram").select(text_id, "_needle")
-        out = hits if out is None else out.unionByName(hits)
-    found = out.join(texts.select(text_id, F.col(text).alias("_text")), text_id).filter(F.contains("_text", "_needle"))
+        own = F.when(size >= GRAM if q == GRAM else size == q, grams(F.col("_needle"), q)).otherwise(own)
+    wanted = n.select("_needle", F.explode(own).alias("_gram"))
+    all_grams = F.concat(*[grams(F.col(text), q) for q in range(1, GRAM + 1)])
+    have = (texts.select(text_id, F.explode(all_grams).alias("_gram"))
+            .join(wanted.select("_gram").distinct(), "_gram", "left_semi"))
+    freq = have.groupBy("_gram").agg(F.count(F.lit(1)).alias("_df"))
+    # A gram no text has rules its needle out; else the rarest one is the key.
+    key = first_per_key(wanted.join(freq, "_gram", "left").fillna({"_df": 0}), ["_needle"], [F.col("_df"), F.col("_gram")])
+    hits = have.join(key.filter("_df > 0").select("_needle", "_gram"), "_gram").select(text_id, "_needle")
+    found = hits.join(texts.select(text_id, F.col(text).alias("_text")), text_id).filter(F.contains("_text", "_needle"))
     return found.select(F.col("_needle").alias(needle), text_id)

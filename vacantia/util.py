@@ -90,9 +90,14 @@ def r6(c: str | Column) -> Column:
     return F.round(col(c), 6)
 
 
+def r6e(c: str | Column) -> Column:
+    """Six digits with a nudge, so that values on a rounding tie do not depend on float noise."""
+    return F.round(col(c) + 1e-9, 6)
+
+
 def percent(c: Column) -> Column:
     """``0.734`` -> ``73%``; half-even, like number formatting in text templates."""
-    return F.concat(F.bround(c * 100, 0).cast("bigint").cast("string"), F.lit("%"))
+    return F.concat(F.bround(F.round(c * 100, 7), 0).cast("bigint").cast("string"), F.lit("%"))
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:

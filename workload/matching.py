@@ -12,7 +12,7 @@ from vacantia.operators.features import posting_features, profile_features
 from vacantia.operators.unify import map_a, with_keys, is_complete
 from vacantia.plans.bindings import (HISTORY_SQL, MENTIONS_SQL, USER_SKILLS_SQL, USERS_SQL, bind, duck, profiles, source_a)
 from vacantia.sources import sinks
-from vacantia.util import r6, top_per_key
+from vacantia.util import r6, r6e, top_per_key
 
 from .merge import UNIFIED
 
@@ -131,10 +131,10 @@ def given_scored(spark, d):
 
 def features(spark, d):
     return postings(spark, d).select(
-        F.col("p_job_id").alias("job_id"), r6("p_salary").alias("salary"), F.col("p_required_experience_years").alias("years"),
+        F.col("p_job_id").alias("job_id"), r6e("p_salary").alias("salary"), F.col("p_required_experience_years").alias("years"),
         F.col("p_required_education").alias("education"), F.col("p_industry").alias("industry"), F.col("p_work_type").alias("work_type"),
         F.col("p_days_since_posted").alias("days"), F.col("p_days_to_close").alias("to_close"), F.col("p_view_count").alias("views"),
-        F.col("p_application_count").alias("applications"), r6("p_competition_level").alias("competition"), r6("p_market_signal").alias("market"),
+        F.col("p_application_count").alias("applications"), r6e("p_competition_level").alias("competition"), r6e("p_market_signal").alias("market"),
         F.col("p_title_seniority_level").alias("seniority"), F.col("p_description_snippet").alias("snippet"))
 
 
@@ -151,16 +151,16 @@ def constraint_flags(spark, d):
 
 
 def scored_all(spark, d):
-    return ids(m.score_pairs(m.satisfied_pairs(users(spark, d), postings(spark, d))), *[r6(c).alias(c) for c in SCORES], r6("match_score").alias("match_score"))
+    return ids(m.score_pairs(m.satisfied_pairs(users(spark, d), postings(spark, d))), *[r6e(c).alias(c) for c in SCORES], r6e("match_score").alias("match_score"))
 
 
 def explained(spark, d):
-    return ids(m.top_matches(matched(spark, d), 5), "match_rank", r6("match_score").alias("match_score"), "used_relaxed", "explanation")
+    return ids(m.top_matches(matched(spark, d), 5), "match_rank", r6e("match_score").alias("match_score"), "used_relaxed", "explanation")
 
 
 def objectives(spark, d):
     top = rk.with_objectives(matched(spark, d))
-    return ids(top, *[r6(c).alias(c) for c in ("relevance", "feasibility", "growth", "final_score")])
+    return ids(top, *[r6e(c).alias(c) for c in ("relevance", "feasibility", "growth", "final_score")])
 
 
 PLAIN = RankerConfig(diversity_factor=0.0, calibration=False, top_k=10)
@@ -169,14 +169,14 @@ CALIBRATED = RankerConfig(diversity_factor=0.0, top_k=10)
 
 def ranked(cfg):
     def run(spark, d):
-        return ids(rk.rank(matched(spark, d), cfg), "rank", r6("final_score").alias("final_score"), "used_relaxed")
+        return ids(rk.rank(matched(spark, d), cfg), "rank", r6e("final_score").alias("final_score"), "used_relaxed")
     return run
 
 
 def capped(spark, d):
     rows = rk.with_objectives(matched(spark, d)).filter("passes")
     top = top_per_key(rows, ["u_user_id"], rk.score_order(), 2000, "score_rank", row="p_job_id")
-    return ids(top, "score_rank", r6("final_score").alias("final_score"))
+    return ids(top, "score_rank", r6e("final_score").alias("final_score"))
 
 
 def ranking_text(spark, d):
@@ -186,7 +186,7 @@ def ranking_text(spark, d):
 
 def summary(spark, d):
     s = rk.ranking_summary(rk.rank(matched(spark, d), PLAIN))
-    return s.select(F.col("u_user_id").alias("user_id"), "total_jobs", *[r6(c).alias(c) for c in (
+    return s.select(F.col("u_user_id").alias("user_id"), "total_jobs", *[r6e(c).alias(c) for c in (
         "avg_relevance", "avg_feasibility", "avg_growth", "top_relevance", "top_feasibility", "top_growth")],
         "high_quality", "medium_quality", "low_quality")
 
@@ -195,7 +195,7 @@ def recommendations(spark, d):
     """Default ranking with diversity and calibration, explained and shaped for the history."""
     top = rk.rank(matched(spark, d), RankerConfig(top_k=10))
     out = rs.gap_report(rs.skill_sets(top))
-    return ids(out, "rank", r6("final_score").alias("final_score"), sc.ranking_explanation().alias("explanation"), "reasoning",
+    return ids(out, "rank", r6e("final_score").alias("final_score"), sc.ranking_explanation().alias("explanation"), "reasoning",
                rs.format_gaps().alias("gaps"))
 
 
@@ -203,7 +203,7 @@ def gap_sets(spark, d):
     rows = rs.skill_sets(given_scored(spark, d))
     return ids(rows, F.array_join("matched_skills", "|").alias("matched"), F.array_join("missing_skills", "|").alias("missing"),
                F.array_join(F.transform("weak_skills", lambda w: w["skill"]), "|").alias("weak"), "constraints_satisfied",
-               r6("match_score").alias("match_score"))
+               r6e("match_score").alias("match_score"))
 
 
 def gap_texts(spark, d):
@@ -229,8 +229,8 @@ def diagnostics(spark, d):
 def breakdowns(spark, d):
     """Effective weights per part of the three objectives, with the missing parts."""
     rows = rk.with_objectives(given_scored(spark, d), breakdowns=True)
-    return ids(rows, r6("feasibility_breakdown.components.salary_attainability.effective_weight").alias("salary_weight"),
-               r6("relevance_breakdown.components.match_alignment.effective_weight").alias("match_weight"),
+    return ids(rows, r6e("feasibility_breakdown.components.salary_attainability.effective_weight").alias("salary_weight"),
+               r6e("relevance_breakdown.components.match_alignment.effective_weight").alias("match_weight"),
                F.array_join("growth_breakdown.missing", "|").alias("growth_missing"))
 
 
@@ -243,8 +243,8 @@ def persisted(spark, d):
     path = shared_dir(spark, "history")
     sinks.append_matches(rec, path)
     back = spark.read.parquet(path)
-    return back.select("user_id", "job_id", r6("final_score").alias("final_score"), "explanation", "run_id",
-                       r6(F.get_json_object("score_breakdown_json", "$.relevance.components.match_alignment.effective_weight").cast("double")).alias("match_weight"))
+    return back.select("user_id", "job_id", r6e("final_score").alias("final_score"), "explanation", "run_id",
+                       r6e(F.get_json_object("score_breakdown_json", "$.relevance.components.match_alignment.effective_weight").cast("double")).alias("match_weight"))
 
 
 def skyline(spark, d):
@@ -264,30 +264,30 @@ def pairwise_functions(spark, d):
     rows = given_pairs(spark, d).distinct().join(u, F.col("user_id") == F.col("u_user_id")).join(p, F.col("job_id") == F.col("p_job_id"))
     job_map = F.map_from_entries(F.transform("p_skills", lambda s: F.struct(s, F.lit(1.0))))
     o = sc.skill_overlap(F.col("u_skill_names"), F.col("p_skills"))
-    return rows.select("user_id", "job_id", r6(sc.jaccard(F.col("u_skill_names"), F.col("p_skills"))).alias("jaccard"),
-                       r6(o["coverage"]).alias("coverage"), r6(o["match_rate"]).alias("match_rate"),
-                       r6(sc.sparse_cosine(F.col("u_skill_weights"), job_map)).alias("cosine"),
-                       r6(sc.weighted_skill_match(F.col("u_skill_weights"), job_map)).alias("weighted"))
+    return rows.select("user_id", "job_id", r6e(sc.jaccard(F.col("u_skill_names"), F.col("p_skills"))).alias("jaccard"),
+                       r6e(o["coverage"]).alias("coverage"), r6e(o["match_rate"]).alias("match_rate"),
+                       r6e(sc.sparse_cosine(F.col("u_skill_weights"), job_map)).alias("cosine"),
+                       r6e(sc.weighted_skill_match(F.col("u_skill_weights"), job_map)).alias("weighted"))
 
 
 def numeric_functions(spark, d):
     li = bind(spark, d, "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity AS q, l_discount AS x, l_tax AS t FROM {lineitem}")
     q, x, t = F.col("q"), F.col("x"), F.col("t")
     return li.select(
-        "l_orderkey", "l_linenumber", "l_partkey", r6(sc.sigmoid(x, 5.0, 0.05)).alias("sig"), r6(sc.exponential_decay(q, 0.1, 20.0)).alias("decay"),
-        r6(sc.linear_interpolation(q, F.lit(1.0), F.lit(0.0), F.lit(50.0), F.lit(1.0))).alias("lerp"),
-        r6(sc.weighted_average(F.array(q, x, t), F.array(F.lit(1.0), x, F.lit(2.0)))).alias("wavg"),
-        sc.dominates([q, x], [F.lit(25.0), t]).alias("dom"), r6(sc.safe_score(q / 40.0)).alias("safe"))
+        "l_orderkey", "l_linenumber", "l_partkey", r6e(sc.sigmoid(x, 5.0, 0.05)).alias("sig"), r6e(sc.exponential_decay(q, 0.1, 20.0)).alias("decay"),
+        r6e(sc.linear_interpolation(q, F.lit(1.0), F.lit(0.0), F.lit(50.0), F.lit(1.0))).alias("lerp"),
+        r6e(sc.weighted_average(F.array(q, x, t), F.array(F.lit(1.0), x, F.lit(2.0)))).alias("wavg"),
+        sc.dominates([q, x], [F.lit(25.0), t]).alias("dom"), r6e(sc.safe_score(q / 40.0)).alias("safe"))
 
 
 def rescaled(spark, d):
     li = bind(spark, d, "SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, l_quantity FROM {lineitem}")
-    return rk.rescale(li, ["l_suppkey"], "l_quantity").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", r6("scaled").alias("scaled"))
+    return rk.rescale(li, ["l_suppkey"], "l_quantity").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", r6e("scaled").alias("scaled"))
 
 
 def percentiles(spark, d):
     ev = bind(spark, d, "SELECT event_id, event_type, value FROM {events}")
-    return rk.percentile_rank(ev, ["event_type"], "value").select("event_id", r6("percentile").alias("percentile"))
+    return rk.percentile_rank(ev, ["event_type"], "value").select("event_id", r6e("percentile").alias("percentile"))
 
 
 QUERIES = {
@@ -319,10 +319,10 @@ QUERIES = {
     "w12_percentile_rank": percentiles,
 }
 def _pc(x):
-    return f"(CAST(round_even(({x}) * 100, 0) AS BIGINT)::VARCHAR || '%')"
+    return f"(CAST(round_even(round(({x}) * 100, 7), 0) AS BIGINT)::VARCHAR || '%')"
 
 
-_RANKED = "SELECT user_id, job_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY round(final_score, 9) DESC, round(match_score, 9) DESC, job_id) AS INT) AS rank, round(final_score, 6) AS final_score, used_relaxed FROM gated"
+_RANKED = "SELECT user_id, job_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY round(final_score, 9) DESC, round(match_score, 9) DESC, job_id) AS INT) AS rank, round(final_score + 1e-9, 6) AS final_score, used_relaxed FROM gated"
 _REXP = " || ' | ' || ".join(
     f"(CASE WHEN {c} >= 0.8 THEN '{a}' WHEN {c} >= 0.6 THEN '{b}' ELSE '{z}' END || ' (' || {_pc(c)} || ')')" for c, a, b, z in (
         ("relevance", "Highly relevant", "Moderately relevant", "Partially relevant"),
@@ -332,8 +332,8 @@ _TOP10 = "top10 AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY r
 _GAPS = """gs AS (SELECT s.user_id, s.job_id, string_agg(j.skill, '|' ORDER BY j.skill) FILTER (k.skill IS NOT NULL) AS matched, string_agg(j.skill, '|' ORDER BY j.skill) FILTER (k.skill IS NULL) AS missing,
   string_agg(j.skill, '|' ORDER BY j.skill) FILTER (k.proficiency < 0.65 OR k.yrs < 1) AS weak FROM scored s JOIN jsk j USING (job_id) LEFT JOIN usk k ON k.user_id = s.user_id AND k.skill = j.skill GROUP BY 1, 2)"""
 ORACLE = {
-    "p15_p20_posting_features": f"""WITH {UNIFIED}, {POST} SELECT job_id, round(sal,6) AS salary, req_years AS years, req_edu AS education, industry, wt AS work_type, days, to_close,
-        views, apps AS applications, round(comp,6) AS competition, round(market,6) AS market, 0.65 AS seniority, description AS snippet FROM post""",
+    "p15_p20_posting_features": f"""WITH {UNIFIED}, {POST} SELECT job_id, round(sal + 1e-9, 6) AS salary, req_years AS years, req_edu AS education, industry, wt AS work_type, days, to_close,
+        views, apps AS applications, round(comp + 1e-9, 6) AS competition, round(market + 1e-9, 6) AS market, 0.65 AS seniority, description AS snippet FROM post""",
     "p21_salary_display": f"WITH {UNIFIED}, {POST} SELECT job_id, CASE WHEN salary_text <> '' THEN salary_text WHEN coalesce(lo,0) = 0 AND coalesce(hi,0) = 0 THEN 'Salary not provided' ELSE CAST(lo AS VARCHAR) END AS shown FROM post",
     "f10_f14_constraint_flags": f"""WITH {UNIFIED}, {USERS}, {POST}, {PAIRS}, x AS (SELECT u.*, u.industry AS industry_u, p.* RENAME (industry AS industry_p) FROM given JOIN users u ON gu = user_id JOIN post p ON gj = job_id),
         y AS (SELECT *, (place IS NULL OR contains(location, place) OR contains(place, location)) AS location_f, ({_OKS}) AS ok, ({_PLS}) AS pl,
@@ -343,33 +343,33 @@ ORACLE = {
         SELECT user_id, job_id, location_f AS location, (sal IS NULL OR ok OR NOT pl) AS salary, wf AS work_type, indf AS industry, sf AS start_date, cf AS company,
         location_f AND CASE WHEN sal IS NULL THEN wf AND indf AND sf AND cf ELSE ok OR (NOT pl AND wf AND indf AND sf AND cf) END AS all_default,
         location_f AND (sal IS NULL OR ok OR NOT pl) AND wf AND indf AND sf AND cf AS all_strict FROM y""",
-    "j15_c12_c16_all_pairs_scored": f"{W} SELECT user_id, job_id, {', '.join(f'round({c},6) AS {c}' for c in SCORES)}, round(match_score,6) AS match_score FROM scored",
+    "j15_c12_c16_all_pairs_scored": f"{W} SELECT user_id, job_id, {', '.join(f'round({c} + 1e-9, 6) AS {c}' for c in SCORES)}, round(match_score + 1e-9, 6) AS match_score FROM scored",
     "f15_w04_c17_top_matches_explained": f"""{W}, t AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY round(match_score,9) DESC, job_id) AS INT) AS match_rank FROM gated QUALIFY match_rank <= 5)
-        SELECT user_id, job_id, match_rank, round(match_score,6) AS match_score, used_relaxed,
+        SELECT user_id, job_id, match_rank, round(match_score + 1e-9, 6) AS match_score, used_relaxed,
         concat_ws(';', CASE WHEN skill_score >= 0.8 THEN 'Your skills are a strong match for the job requirements (' || {_pc('skill_score')} || ')'
           WHEN skill_score >= 0.6 THEN 'Your skills broadly cover the job requirements (' || {_pc('skill_score')} || ')'
           ELSE 'Your skills partially match the job requirements (' || {_pc('skill_score')} || '); you may need to learn new skills' END,
           CASE WHEN education_score >= 0.9 THEN 'Your education background fully meets the requirements' END,
           CASE WHEN experience_score >= 0.8 THEN 'Your work experience is very matched' WHEN experience_score < 0.5 THEN 'This job may need more related experience' END,
           CASE WHEN salary_score >= 0.8 THEN 'Salary meets your expectations' END) AS explanation FROM t""",
-    "c18_c20_objectives": f"{W} SELECT user_id, job_id, round(relevance,6) AS relevance, round(feasibility,6) AS feasibility, round(growth,6) AS growth, round(final_score,6) AS final_score FROM scored",
+    "c18_c20_objectives": f"{W} SELECT user_id, job_id, round(relevance + 1e-9, 6) AS relevance, round(feasibility + 1e-9, 6) AS feasibility, round(growth + 1e-9, 6) AS growth, round(final_score + 1e-9, 6) AS final_score FROM scored",
     "w03_ranked_top_10": f"{W} {_RANKED} QUALIFY rank <= 10",
     "w07_calibrated_ranking": f"""{W}, o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(final_score,9) DESC, round(match_score,9) DESC, job_id) - 1 AS pos FROM gated),
         c AS (SELECT *, final_score * (1.0 - pos * 0.01) * CASE WHEN views > 1000 THEN 0.95 ELSE 1.0 END * CASE WHEN days > 30 THEN 0.9 ELSE 1.0 END AS fs FROM o)
-        SELECT user_id, job_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY round(fs,9) DESC, pos) AS INT) AS rank, round(fs,6) AS final_score, used_relaxed FROM c QUALIFY rank <= 10""",
-    "w10_candidate_cap": f"{W} SELECT user_id, job_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY round(final_score,9) DESC, round(match_score,9) DESC, job_id) AS INT) AS score_rank, round(final_score,6) AS final_score FROM scored WHERE passes QUALIFY score_rank <= 2000",
+        SELECT user_id, job_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY round(fs,9) DESC, pos) AS INT) AS rank, round(fs + 1e-9, 6) AS final_score, used_relaxed FROM c QUALIFY rank <= 10""",
+    "w10_candidate_cap": f"{W} SELECT user_id, job_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY round(final_score,9) DESC, round(match_score,9) DESC, job_id) AS INT) AS score_rank, round(final_score + 1e-9, 6) AS final_score FROM scored WHERE passes QUALIFY score_rank <= 2000",
     "c21_ranking_explanation": f"{W}, {_TOP10} SELECT user_id, job_id, {_REXP} AS explanation FROM top10",
-    "a18_ranking_summary": f"""{W}, {_TOP10} SELECT user_id, count(*) AS total_jobs, round(avg(relevance),6) AS avg_relevance, round(avg(feasibility),6) AS avg_feasibility, round(avg(growth),6) AS avg_growth,
-        round(max(relevance),6) AS top_relevance, round(max(feasibility),6) AS top_feasibility, round(max(growth),6) AS top_growth, count(*) FILTER (final_score >= 0.8) AS high_quality,
+    "a18_ranking_summary": f"""{W}, {_TOP10} SELECT user_id, count(*) AS total_jobs, round(avg(relevance) + 1e-9, 6) AS avg_relevance, round(avg(feasibility) + 1e-9, 6) AS avg_feasibility, round(avg(growth) + 1e-9, 6) AS avg_growth,
+        round(max(relevance) + 1e-9, 6) AS top_relevance, round(max(feasibility) + 1e-9, 6) AS top_feasibility, round(max(growth) + 1e-9, 6) AS top_growth, count(*) FILTER (final_score >= 0.8) AS high_quality,
         count(*) FILTER (final_score >= 0.6 AND final_score < 0.8) AS medium_quality, count(*) FILTER (final_score < 0.6) AS low_quality FROM top10 GROUP BY 1""",
     "j23_j17_gap_sets_of_given_pairs": f"""{WG}, {_GAPS} SELECT s.user_id, s.job_id, coalesce(matched,'') AS matched, coalesce(missing,'') AS missing, coalesce(weak,'') AS weak,
-        loc_ok AND CASE WHEN sal IS NULL THEN rest ELSE s_ok OR (NOT s_pl AND rest) END AS constraints_satisfied, round(match_score,6) AS match_score FROM scored s LEFT JOIN gs USING (user_id, job_id)""",
+        loc_ok AND CASE WHEN sal IS NULL THEN rest ELSE s_ok OR (NOT s_pl AND rest) END AS constraints_satisfied, round(match_score + 1e-9, 6) AS match_score FROM scored s LEFT JOIN gs USING (user_id, job_id)""",
     "a26_run_diagnostics": f"""{W}, {_TOP10}, g AS (SELECT user_id, count(*) AS n, bool_or(used_relaxed) AS r FROM top10 GROUP BY 1)
         SELECT u.user_id, (SELECT count(*) FROM post) AS jobs_loaded, coalesce(n,0) AS returned, coalesce(r,false) AS used_relaxed_match,
         CASE WHEN n IS NULL THEN 'no_matches_after_constraints' END AS empty_reason FROM users u LEFT JOIN g USING (user_id)""",
-    "a17_score_breakdowns": f"""{WG} SELECT user_id, job_id, round(CASE WHEN attain IS NULL THEN 0 ELSE 0.15 / 1.0 END, 6) AS salary_weight, round(CASE WHEN industry_u IS NULL THEN 0.45 / 0.9 ELSE 0.45 END, 6) AS match_weight,
+    "a17_score_breakdowns": f"""{WG} SELECT user_id, job_id, round(CASE WHEN attain IS NULL THEN 0 ELSE 0.15 / 1.0 END + 1e-9, 6) AS salary_weight, round(CASE WHEN industry_u IS NULL THEN 0.45 / 0.9 ELSE 0.45 END + 1e-9, 6) AS match_weight,
         concat_ws('|', CASE WHEN g_skill IS NULL THEN 'skill_growth_potential' END, CASE WHEN g_sal IS NULL THEN 'salary_growth_potential' END) AS growth_missing FROM scored""",
-    "s11_append_match_history": f"{W}, {_TOP10} SELECT user_id, job_id, round(final_score,6) AS final_score, {_REXP} AS explanation, 'run-1' AS run_id, round(CASE WHEN industry_u IS NULL THEN 0.45 / 0.9 ELSE 0.45 END, 6) AS match_weight FROM top10",
+    "s11_append_match_history": f"{W}, {_TOP10} SELECT user_id, job_id, round(final_score + 1e-9, 6) AS final_score, {_REXP} AS explanation, 'run-1' AS run_id, round(CASE WHEN industry_u IS NULL THEN 0.45 / 0.9 ELSE 0.45 END + 1e-9, 6) AS match_weight FROM top10",
     "j20_skyline_per_group": """WITH x AS (SELECT l_suppkey, CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) AS line_id, l_quantity AS a, l_extendedprice AS b, l_discount AS c FROM lineitem)
         SELECT l_suppkey, line_id FROM x WHERE NOT EXISTS (SELECT 1 FROM x y WHERE y.l_suppkey = x.l_suppkey AND y.a >= x.a AND y.b >= x.b AND y.c >= x.c AND (y.a > x.a OR y.b > x.b OR y.c > x.c))""",
     "w09_pareto_layers": """WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, o_totalprice AS a, day(o_orderdate) AS b, month(o_orderdate) AS c FROM orders),
@@ -379,16 +379,16 @@ ORACLE = {
     "c01_c06_pair_similarities": f"""WITH {UNIFIED}, {USERS}, {USK}, {JSK}, {POST}, g AS (SELECT DISTINCT gu AS user_id, gj AS job_id FROM ({PAIRS.split(' AS ', 1)[1][1:-1]}) JOIN post ON gj = job_id),
         nrm AS (SELECT user_id, sqrt(sum(w * w)) AS nw FROM usk GROUP BY 1),
         o AS (SELECT g.user_id, g.job_id, count(*) AS hit, sum(w) AS sw, sum(least(w,1.0)) AS lw FROM g JOIN jsk USING (job_id) JOIN usk ON usk.user_id = g.user_id AND usk.skill = jsk.skill GROUP BY 1, 2)
-        SELECT g.user_id, g.job_id, round(CASE WHEN coalesce(nj,0) = 0 OR coalesce(nu,0) = 0 THEN 0 ELSE coalesce(hit,0) / (nj + nu - coalesce(hit,0)) END, 6) AS jaccard,
-        round(CASE WHEN coalesce(nj,0) = 0 THEN 1 ELSE coalesce(hit,0) / nj END, 6) AS coverage, round(CASE WHEN coalesce(nj,0) = 0 THEN 1 WHEN coalesce(nu,0) = 0 THEN 0 ELSE coalesce(hit,0) / nu END, 6) AS match_rate,
-        round(coalesce(sw / (sqrt(nj) * nw), 0), 6) AS cosine, round(CASE WHEN coalesce(nj,0) = 0 THEN 1 ELSE coalesce(lw,0) / nj END, 6) AS weighted
+        SELECT g.user_id, g.job_id, round(CASE WHEN coalesce(nj,0) = 0 OR coalesce(nu,0) = 0 THEN 0 ELSE coalesce(hit,0) / (nj + nu - coalesce(hit,0)) END + 1e-9, 6) AS jaccard,
+        round(CASE WHEN coalesce(nj,0) = 0 THEN 1 ELSE coalesce(hit,0) / nj END + 1e-9, 6) AS coverage, round(CASE WHEN coalesce(nj,0) = 0 THEN 1 WHEN coalesce(nu,0) = 0 THEN 0 ELSE coalesce(hit,0) / nu END + 1e-9, 6) AS match_rate,
+        round(coalesce(sw / (sqrt(nj) * nw), 0) + 1e-9, 6) AS cosine, round(CASE WHEN coalesce(nj,0) = 0 THEN 1 ELSE coalesce(lw,0) / nj END + 1e-9, 6) AS weighted
         FROM g LEFT JOIN o USING (user_id, job_id) LEFT JOIN jn USING (job_id) LEFT JOIN un ON un.user_id = g.user_id LEFT JOIN nrm ON nrm.user_id = g.user_id""",
-    "c03_c11_numeric_helpers": """SELECT l_orderkey, l_linenumber, l_partkey, round(1.0 / (1.0 + exp(-5.0 * (l_discount - 0.05))), 6) AS sig, round(exp(-0.1 * greatest(0, l_quantity - 20.0)), 6) AS decay,
-        round((l_quantity - 1.0) / 49.0, 6) AS lerp, round((l_quantity + l_discount * l_discount + 2 * l_tax) / (3.0 + l_discount), 6) AS wavg,
+    "c03_c11_numeric_helpers": """SELECT l_orderkey, l_linenumber, l_partkey, round(1.0 / (1.0 + exp(-5.0 * (l_discount - 0.05))) + 1e-9, 6) AS sig, round(exp(-0.1 * greatest(0, l_quantity - 20.0)) + 1e-9, 6) AS decay,
+        round((l_quantity - 1.0) / 49.0 + 1e-9, 6) AS lerp, round((l_quantity + l_discount * l_discount + 2 * l_tax) / (3.0 + l_discount) + 1e-9, 6) AS wavg,
         CASE WHEN (l_quantity > 25 OR l_discount > l_tax) AND NOT (l_quantity < 25 OR l_discount < l_tax) THEN 1
              WHEN (l_quantity < 25 OR l_discount < l_tax) AND NOT (l_quantity > 25 OR l_discount > l_tax) THEN -1 ELSE 0 END AS dom,
-        round(least(1.0, greatest(0.0, l_quantity / 40.0)), 6) AS safe FROM lineitem""",
+        round(least(1.0, greatest(0.0, l_quantity / 40.0)) + 1e-9, 6) AS safe FROM lineitem""",
     "w11_rescale": """WITH e AS (SELECT l_suppkey, min(l_quantity) AS a, max(l_quantity) AS b FROM lineitem GROUP BY 1)
-        SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, round(CASE WHEN a = b THEN 0 ELSE (l_quantity - a) / (b - a) END, 6) AS scaled FROM lineitem JOIN e USING (l_suppkey)""",
-    "w12_percentile_rank": """SELECT event_id, round((rank() OVER (PARTITION BY event_type ORDER BY value) - 1 + 0.5 * count(*) OVER (PARTITION BY event_type, value)) / count(*) OVER (PARTITION BY event_type), 6) AS percentile FROM events""",
+        SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, round(CASE WHEN a = b THEN 0 ELSE (l_quantity - a) / (b - a) END + 1e-9, 6) AS scaled FROM lineitem JOIN e USING (l_suppkey)""",
+    "w12_percentile_rank": """SELECT event_id, round((rank() OVER (PARTITION BY event_type ORDER BY value) - 1 + 0.5 * count(*) OVER (PARTITION BY event_type, value)) / count(*) OVER (PARTITION BY event_type) + 1e-9, 6) AS percentile FROM events""",
 }
