@@ -70,8 +70,7 @@ def page(df: DataFrame, number: int = 1, size: int = 20, order: Sequence[Column]
     order = order or [F.desc_nulls_last("original_scraped_at"), F.col("job_id")]
     total = df.agg(F.count_distinct("job_id").alias("total"))
     rows = df.orderBy(*order).offset((number - 1) * size).limit(size)
-    # The total is one row, so this join broadcasts exactly one value.
-    return rows.join(F.broadcast(total))
+    return rows.withColumn("total", total.scalar())
 
 
 def newest(df: DataFrame, ts: str, n: int, tie: str) -> DataFrame:
