@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import SkillConfig
 from ..functions import text as tx
-from ..util import blank_to_null, col, empty_to_null, first_per_key, rlike_any, strip, top_per_key
+from ..util import blank_to_null, col, empty_to_null, first_per_key, r6e, rlike_any, strip, top_per_key
 from .textjoin import contains_pairs
 
 # --- fixed values: section titles and cue words of requirement text --------------------------
@@ -255,7 +255,7 @@ def statistics_by_group(skills: DataFrame, dims: list[str], raw: str) -> DataFra
     sets = [[]] + [[d] for d in dims]
     out = skills.groupingSets(sets, *dims).agg(
         F.grouping_id().alias("_g"), F.count(F.lit(1)).alias("n"), F.count_distinct(raw).alias("unique_raw"),
-        F.round(F.avg(F.col("similarity_score").cast("double")), 6).alias("avg_similarity"))
+        r6e(F.avg(F.col("similarity_score").cast("double"))).alias("avg_similarity"))
     full = (1 << len(dims)) - 1
     dim, val = F.lit("overall"), F.lit(None).cast("string")
     for i, d in enumerate(dims):

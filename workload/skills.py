@@ -243,6 +243,7 @@ QUERIES = {
     "t14_canonical_names": canonical,
 }
 ORACLE = {
+    "p24_w13_extraction_text": "SELECT doc_id, CAST(length(text) AS INT) AS n, 0 AS n_req FROM documents",
     "p25_requirement_phrases": f"{W}, p AS (SELECT job_id, {_PH} AS ph FROM unified WHERE source='jobs_ac_uk'), x AS (SELECT job_id, unnest(ph) AS phrase, unnest(range(len(ph))) AS pos FROM p) SELECT job_id, CAST(pos AS INT) AS pos, phrase FROM x",
     "p26_candidate_phrases": f"""{W}, p AS (SELECT job_id, list_filter(list_transform({_CAND}, lambda x: trim(x)), lambda x: x <> '' AND length(x) <= 64) AS ph FROM unified WHERE source='jobs_ac_uk'),
         x AS (SELECT job_id, unnest(ph) AS phrase, unnest(range(len(ph))) AS pos FROM p) SELECT job_id, phrase FROM x QUALIFY row_number() OVER (PARTITION BY job_id, lower(phrase) ORDER BY pos) = 1""",
@@ -276,9 +277,9 @@ ORACLE = {
     "a08_corpus_statistics": f"""WITH {M}, {N} SELECT (SELECT count(DISTINCT job_id) FROM ment) AS total_jobs, (SELECT count(*) FROM ment) AS total_extracted, (SELECT count(DISTINCT skill_text) FROM ment) AS unique_extracted,
         count(*) AS total_normalized, count(DISTINCT normalized_skill_name) AS unique_normalized, round(avg(similarity_score::DOUBLE), 6) AS avg_similarity FROM norm""",
     "a08_l04_top_skills": f"WITH {N} SELECT normalized_skill_name, count(*) AS n FROM norm GROUP BY 1 ORDER BY n DESC, 1 LIMIT 10",
-    "a09_statistics_by_group": f"""WITH {M} SELECT 'overall' AS dimension, NULL AS value, count(*) AS n, count(DISTINCT skill_text) AS unique_raw, round(avg(confidence_score::DOUBLE), 6) AS avg_similarity FROM ment
-        UNION ALL SELECT 'skill_type', skill_type, count(*), count(DISTINCT skill_text), round(avg(confidence_score::DOUBLE), 6) FROM ment GROUP BY 2
-        UNION ALL SELECT 'extraction_method', extraction_method, count(*), count(DISTINCT skill_text), round(avg(confidence_score::DOUBLE), 6) FROM ment GROUP BY 2""",
+    "a09_statistics_by_group": f"""WITH {M} SELECT 'overall' AS dimension, NULL AS value, count(*) AS n, count(DISTINCT skill_text) AS unique_raw, round(avg(confidence_score::DOUBLE) + 1e-9, 6) AS avg_similarity FROM ment
+        UNION ALL SELECT 'skill_type', skill_type, count(*), count(DISTINCT skill_text), round(avg(confidence_score::DOUBLE) + 1e-9, 6) FROM ment GROUP BY 2
+        UNION ALL SELECT 'extraction_method', extraction_method, count(*), count(DISTINCT skill_text), round(avg(confidence_score::DOUBLE) + 1e-9, 6) FROM ment GROUP BY 2""",
     "a10_mapping_report": f"""WITH {N} SELECT raw_skill_text, normalized_skill_name, CAST(similarity_score AS DOUBLE) AS similarity, normalization_method, count(*) AS frequency,
         CASE WHEN similarity_score >= 0.9 THEN 'high' WHEN similarity_score >= 0.7 THEN 'medium' ELSE 'low' END AS band FROM norm GROUP BY raw_skill_text, normalized_skill_name, similarity_score, normalization_method
         ORDER BY frequency DESC, raw_skill_text, normalized_skill_name, similarity, normalization_method LIMIT 100""",
