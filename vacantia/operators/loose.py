@@ -75,7 +75,10 @@ def salary_search(fields: str, sections: str | None) -> Column:
     """Salary by priority: a salary-named field, a salary section, known text fields, any long text."""
     m = F.map_entries(fields)
     names = [a.replace(" ", "_") for a in ALIASES["salary"]]
-    direct = F.coalesce(*[strip(F.get(F.filter(m, lambda e, n=n: (normalize_key(e["key"]) == n) & (strip(e["value"]) != "")), F.lit(0))["value"]) for n in names])
+
+    def named(n: str) -> Column:
+        return F.get(F.filter(m, lambda e: (normalize_key(e["key"]) == n) & (strip(e["value"]) != "")), F.lit(0))
+    direct = F.coalesce(*[strip(named(n)["value"]) for n in names])
     parts = [direct]
     if sections:
         hits = F.transform(

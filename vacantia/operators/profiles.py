@@ -209,6 +209,10 @@ def total_years(work: DataFrame) -> DataFrame:
     return work.groupBy("user_id").agg(F.sum("duration_years").alias("years"))
 
 
+def _fields_of(items: str, cols: list[str]) -> Column:
+    return F.transform(items, lambda e: F.struct(*[e[c].alias(c) for c in cols]))
+
+
 def assemble(users: DataFrame, children: dict[str, DataFrame]) -> DataFrame:
     """Nested profiles from child tables; each child is nested first, then joined on the user."""
     out = users
@@ -216,7 +220,7 @@ def assemble(users: DataFrame, children: dict[str, DataFrame]) -> DataFrame:
         cols = [c for c in child.columns if c not in ("user_id", "seq")]
         key = ["seq", *cols] if "seq" in child.columns else cols
         nested = child.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(*key))).alias(name))
-        nested = nested.withColumn(name, F.transform(name, lambda e, cs=tuple(cols): F.struct(*[e[c].alias(c) for c in cs])))
+        nested = nested.withColumn(name, _fields_of(name, cols))
         out = out.join(nested, "user_id", "left").withColumn(name, F.coalesce(name, F.array().cast(nested.schema[name].dataType)))
     return out
 

@@ -21,7 +21,7 @@ def loose(s, d):
     fields = F.map_filter(F.create_map(
         F.lit("Company Name"), F.col("company"), F.lit("company"), F.concat(F.lit("c"), F.substring("company", 1, 3)), F.lit("City:"), F.col("city"),
         F.lit("Funding Amount"), F.when(is_("1-URGENT"), F.concat(F.lit(" £"), "amount")),
-        F.lit("about"), F.when(is_("3-MEDIUM"), F.concat(F.lit("The team pays £"), "amount", F.lit(" per annum, plus a pension"))).otherwise(F.col("seg")),
+        F.lit("about"), F.when(is_("3-MEDIUM"), F.concat(F.lit("The team pays £"), "amount", F.lit(" per annum, plus a good pension scheme"))).otherwise(F.col("seg")),
         F.lit("Required-Skills"), F.col("seg"), F.lit("Grade / Band"), F.col("prio")), lambda k, v: v.isNotNull())
     sections = F.create_map(F.lit("Pay and Benefits"), F.when(is_("2-HIGH"), F.concat(F.lit("up to €"), "amount", F.lit(" and more"))).when(is_("5-LOW"), F.lit("on request ")))
     return base.select("rec_id", fields.alias("fields"), sections.alias("sections"))
@@ -184,7 +184,7 @@ _T = "trim(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&amp;', '&'
 LOOSE = f"lr AS ({duck(LOOSE_SQL)})"
 ORACLE = {
     "p12_p14_e02_loose_records": f"""WITH {LOOSE} SELECT rec_id, company AS employer, city AS location, CASE prio WHEN '1-URGENT' THEN ' £' || amount WHEN '2-HIGH' THEN '€' || amount WHEN '5-LOW' THEN 'on request'
-        WHEN '3-MEDIUM' THEN '£' || amount || ' per' END AS salary, seg AS skills, CASE WHEN prio = '3-MEDIUM' THEN 'The team pays £' || amount || ' per annum, plus a pension' ELSE seg END AS description, prio AS band, true AS has_title FROM lr""",
+        WHEN '3-MEDIUM' THEN '£' || amount || ' per' END AS salary, seg AS skills, CASE WHEN prio = '3-MEDIUM' THEN 'The team pays £' || amount || ' per annum, plus a good pension scheme' ELSE seg END AS description, prio AS band, true AS has_title FROM lr""",
     "p13_salary_phrase": f"{W}, q AS (SELECT job_id, concat_ws(' ', 'pays', salary, description) AS x FROM unified) SELECT job_id, trim({_SALP}) AS phrase FROM q",
     "p15_c10_numbers_in_text": f"""{W}, q AS (SELECT job_id, list_transform(regexp_extract_all(salary, '\\d[\\d,]*\\.?\\d*'), lambda x: CAST(replace(x, ',', '') AS DOUBLE)) AS n FROM unified WHERE source = 'jobs_ac_uk')
         SELECT job_id, n[1] AS first, list_min(n) AS lo, list_max(n) AS hi FROM q""",

@@ -8,7 +8,7 @@ from vacantia.operators import skills as k
 from vacantia.operators.catalog import newest
 from vacantia.operators.unify import replace_users
 from vacantia.plans.bindings import USER_SKILLS_SQL, USERS_SQL, bind, duck, profiles
-from vacantia.util import r6, read_table
+from vacantia.util import r6, r6e
 
 from .skills import BEST, BEST_SQL
 
@@ -81,7 +81,7 @@ def best_edu(s, d):
 
 def years(s, d):
     w = bind(s, d, "SELECT 'u' || CAST(o_custkey AS STRING) AS user_id, o_totalprice / 100000 AS duration_years FROM {orders}")
-    return pf.total_years(w).select("user_id", r6("years").alias("years"))
+    return pf.total_years(w).select("user_id", r6e("years").alias("years"))
 
 
 def assembled(s, d):
@@ -135,7 +135,7 @@ ORACLE = {
         n_name AS b_other, array_to_string(list_concat(list_filter(['AUTOMOBILE','BUILDING','FURNITURE'], lambda x: x IN (c_mktsegment, 'BUILDING')), [n_name]), '|') AS merged {C}""",
     "a12_skill_weights": f"WITH {US}, n AS (SELECT user_id, count(*) AS n_skills FROM us GROUP BY 1) SELECT user_id, n_skills, lower(name) AS skill, round(proficiency * (1 + years_of_experience * 0.1), 6) AS w FROM us JOIN n USING (user_id)",
     "a13_highest_education": f"WITH {UU} SELECT user_id, CASE WHEN edu > 3 THEN ['High School','Associate','Bachelor','Master','PhD'][edu] ELSE 'Bachelor' END AS level, CASE WHEN edu >= 3 THEN 'a' ELSE 'b' END AS major FROM uu",
-    "a14_total_years": "SELECT 'u' || o_custkey AS user_id, round(sum(o_totalprice / 100000), 6) AS years FROM orders GROUP BY o_custkey",
+    "a14_total_years": "SELECT 'u' || o_custkey AS user_id, round(sum(o_totalprice / 100000) + 1e-9, 6) AS years FROM orders GROUP BY o_custkey",
     "a15_assembled_profiles": f"WITH {US}, {UU}, g AS (SELECT user_id, count(*) AS n, string_agg(name, '|' ORDER BY name) AS l FROM us GROUP BY 1) SELECT uu.user_id, uu.name, CAST(coalesce(n, 0) AS INT) AS n_skills, CASE WHEN edu > 0 THEN 2 ELSE 1 END AS n_education, coalesce(l, '') AS skills FROM uu LEFT JOIN g USING (user_id)",
     "s10_replace_child_rows": f"WITH {US}, nw AS (SELECT 'u' || c_custkey AS user_id, n_name AS name {C} WHERE c_mktsegment = 'BUILDING') SELECT user_id, name FROM us WHERE user_id NOT IN (SELECT user_id FROM nw) UNION ALL SELECT * FROM nw",
     "j04_skills_with_names": f"WITH {US}, {BEST} SELECT user_id, name, coalesce(normalized, name) AS display_name FROM us LEFT JOIN best ON phrase = name",
