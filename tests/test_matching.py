@@ -126,6 +126,7 @@ def test_layers_and_skyline(spark):
     v = rng.integers(0, 6, (120, 3)).astype(float)
     want = brute_layers(v)
     assert {i: int(x) for i, x in enumerate(rk._layers(v))} == want
+    assert [bool(x) for x in rk._front(v, block=16)] == [want[i] == 1 for i in range(len(v))]
     df = spark.createDataFrame([("u", f"r{i}", *map(float, x)) for i, x in enumerate(v)], "u string, r string, a double, b double, c double")
     sky = {r.r for r in rk.skyline(df, "u", "r", ["a", "b", "c"], chunk_rows=20).collect()}
     assert sky == {f"r{i}" for i, k in want.items() if k == 1}

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..config import RankerConfig
 from ..functions import scoring as sc
-from ..util import materialize, top_per_key
+from ..util import materialize, spread, top_per_key
 from .matching import relax
 
 CHUNK_ROWS = 4096
@@ -52,6 +52,31 @@ def _layers(values: np.ndarray) -> np.ndarray:
     return out
 
 
+def _front(values: np.ndarray, block: int = 256) -> np.ndarray:
+    """True for rows that no other row dominates; rows meet the front found so far in blocks."""
+    order = np.lexsort(tuple(-values[:, j] for j in range(values.shape[1] - 1, -1, -1)))
+    v = values[order]
+    front = v[:0]
+    keep = np.zeros(len(v), dtype=bool)
+    for lo in range(0, len(v), block):
+        b = v[lo:lo + block]
+        # A dominator always comes earlier, so it is in the front or in this block.
+        for rivals in (front, b):
+            if len(rivals) and len(b):
+                hit = ((rivals[None] >= b[:, None]).all(axis=2) & (rivals[None] > b[:, None]).any(axis=2)).any(axis=1)
+                if rivals is front:
+                    alive = ~hit
+                else:
+                    alive &= ~hit
+            elif rivals is front:
+                alive = np.ones(len(b), dtype=bool)
+        keep[lo:lo + block] = alive
+        front = np.vstack([front, b[alive]])
+    out = np.empty_like(keep)
+    out[order] = keep
+    return out
+
+
 def _chunks(df: DataFrame, user: str, rows: int) -> DataFrame:
     """Number the chunks of each user so that a chunk holds about ``rows`` rows."""
     n = df.groupBy(user).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("_nc"))
@@ -68,10 +93,10 @@ def skyline(df: DataFrame, user: str, row: str, objectives: Sequence[str], chunk
     base = df.select(F.col(user).alias("_user"), F.col(row).alias("_row"), *[F.col(o).cast("double").alias(o) for o in objs])
 
     def local(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf[_layers(pdf[objs].to_numpy()) == 1]
+        return pdf[_front(pdf[objs].to_numpy())]
 
     first = _chunks(base, "_user", chunk_rows)
-    kept = first.groupBy("_user", "_chunk").applyInPandas(local, first.schema).drop("_nc", "_chunk")
+    kept = spread(first, "_user", "_chunk").groupBy("_user", "_chunk").applyInPandas(local, first.schema).drop("_nc", "_chunk")
     # Survivors are needed on both sides below: write them once.
     kept = _chunks(materialize(kept, "skyline"), "_user", chunk_rows)
     every = F.explode(F.expr("sequence(0, _nc - 1)"))
@@ -86,8 +111,9 @@ def skyline(df: DataFrame, user: str, row: str, objectives: Sequence[str], chunk
             hit[lo:lo + 256] = ((b[None] >= x).all(axis=2) & (b[None] > x).any(axis=2)).any(axis=1)
         return left.loc[hit, ["_user", "_row"]]
 
-    lost = (target.groupBy("_user", "_chunk", "_other")
-            .cogroup(rival.groupBy("_user", "_chunk", "_other"))
+    keys = ["_user", "_chunk", "_other"]
+    lost = (spread(target, *keys).groupBy(*keys)
+            .cogroup(spread(rival, *keys).groupBy(*keys))
             .applyInPandas(beaten, kept.select("_user", "_row").schema).distinct())
     front = kept.join(lost, ["_user", "_row"], "left_anti").select(F.col("_user").alias(user), F.col("_row").alias(row))
     return df.join(front, [user, row], "left_semi")
@@ -106,15 +132,16 @@ def pareto_layers(df: DataFrame, user: str, row: str, objectives: Sequence[str],
     while True:
         size = rest.groupBy("_user").agg(F.count(F.lit(1)).alias("_n"))
         big = size.filter(F.col("_n") > max_group)
-        small_rows = rest.join(big, "_user", "left_anti")
+        any_big = not big.isEmpty()
+        small_rows = rest.join(big, "_user", "left_anti") if any_big else rest
 
         def all_layers(pdf: pd.DataFrame) -> pd.DataFrame:
             return pd.DataFrame({"_user": pdf["_user"], "_row": pdf["_row"], "pareto_rank": _layers(pdf[objs].to_numpy())})
 
         schema = T.StructType([*rest.select("_user", "_row").schema.fields, T.StructField("pareto_rank", T.LongType())])
-        part = small_rows.groupBy("_user").applyInPandas(all_layers, schema).withColumn("pareto_rank", F.col("pareto_rank") + layer)
+        part = spread(small_rows, "_user").groupBy("_user").applyInPandas(all_layers, schema).withColumn("pareto_rank", F.col("pareto_rank") + layer)
         done = part if done is None else done.unionByName(part)
-        if big.isEmpty():
+        if not any_big:
             break
         layer += 1
         large = materialize(rest.join(big.select("_user"), "_user", "left_semi"), "pareto-rest")
@@ -168,7 +195,7 @@ def diversify(top: DataFrame, cfg: RankerConfig, user: str = "u_user_id", row: s
         return out
 
     schema = T.StructType([*narrow.select(user, row).schema.fields, T.StructField("position", T.IntegerType())])
-    picks = narrow.groupBy(user).applyInPandas(pick, schema)
+    picks = spread(narrow, user).groupBy(user).applyInPandas(pick, schema)
     return top.join(picks, [user, row])
 
 

@@ -24,11 +24,14 @@ def contains_pairs(needles: DataFrame, texts: DataFrame, needle: str, text: str,
     """
     n = needles.select(F.col(needle).alias("_needle"))
     size = F.char_length("_needle")
+    # Short grams are only cut when some needle needs them: one number decides.
+    shortest = n.agg(F.min(size)).first()[0] or GRAM
+    sizes = range(min(shortest, GRAM), GRAM + 1)
     own = F.lit(None).cast("array<string>")
-    for q in range(1, GRAM + 1):
+    for q in sizes:
         own = F.when(size >= GRAM if q == GRAM else size == q, grams(F.col("_needle"), q)).otherwise(own)
     wanted = n.select("_needle", F.explode(own).alias("_gram"))
-    all_grams = F.concat(*[grams(F.col(text), q) for q in range(1, GRAM + 1)])
+    all_grams = F.concat(*[grams(F.col(text), q) for q in sizes])
     have = (texts.select(text_id, F.explode(all_grams).alias("_gram"))
             .join(wanted.select("_gram").distinct(), "_gram", "left_semi"))
     freq = have.groupBy("_gram").agg(F.count(F.lit(1)).alias("_df"))

@@ -86,6 +86,15 @@ def top_per_key(
     return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by the grouping keys over the full shuffle width.
+
+    Python work per group costs far more than its bytes suggest, so adaptive coalescing by
+    size would leave it to a few tasks. The grouping reuses this partitioning.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def r6(c: str | Column) -> Column:
     return F.round(col(c), 6)
 
