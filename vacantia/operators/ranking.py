@@ -207,7 +207,10 @@ def calibrate(df: DataFrame) -> DataFrame:
 
 
 def rank(matched: DataFrame, cfg: RankerConfig | None = None, breakdowns: bool = False) -> DataFrame:
-    """Per user the ``top_k`` rows with ``rank``; ``matched`` comes from the matcher."""
+    """Per user the ``top_k`` rows with ``rank``; ``matched`` comes from the matcher.
+
+    Only calibration of more than 100 rows without diversity needs the user's whole list in order.
+    """
     cfg = cfg or RankerConfig()
     rows = with_objectives(matched, cfg, breakdowns)
     by_pass = [F.desc("passes")]
@@ -220,6 +223,8 @@ def rank(matched: DataFrame, cfg: RankerConfig | None = None, breakdowns: bool =
     diverse = cfg.diversity_factor > 0
     if diverse and cfg.candidate_cap > 0:
         limit = cfg.candidate_cap
+    elif not cfg.calibration:
+        limit = cfg.top_k
     elif cfg.top_k <= 100:
         # Past position 100 the position factor is not positive, so these rows cannot be in the top.
         limit = 101
@@ -264,9 +269,21 @@ def rescale(df: DataFrame, keys: Sequence[str], value: str, lo: float = 0.0, hi:
 
 
 def percentile_rank(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Mid-rank percentile of each row; the windows run over distinct values with their counts."""
+    """Mid-rank percentile of each row.
+
+    Distinct values with their counts are range-partitioned; running sums stay inside a
+    partition and start from the totals of the partitions before it, so a key with many
+    values is never sorted in one task.
+    """
+    keys = list(keys)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    total = Window.partitionBy(*keys)
-    ranks = counts.withColumn("percentile", (F.sum("_n").over(upto) - F.col("_n") * 0.5) / F.sum("_n").over(total)).drop("_n")
+    counts = materialize(counts.repartitionByRange(n, *keys, value).withColumn("_part", F.spark_partition_id()), "ranks")
+    sums = counts.groupBy(*keys, "_part").agg(F.sum("_n").alias("_s"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*keys, "_part", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"),
+                       F.sum("_s").over(Window.partitionBy(*keys)).alias("_total"))
+    upto = Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranks = counts.withColumn("_upto", F.sum("_n").over(upto)).join(sums, [*keys, "_part"])
+    ranks = ranks.select(*keys, value, ((F.col("_before") + F.col("_upto") - F.col("_n") * 0.5) / F.col("_total")).alias("percentile"))
     return df.join(ranks, [*keys, value])

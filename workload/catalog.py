@@ -83,6 +83,14 @@ def export_json(spark, d):
     return spark.read.schema("job_id string, title string, original_scraped_at string").json(path)
 
 
+def rebuilt(spark, d):
+    """Full reload of the merged table, partitioned by source, read back and counted."""
+    from vacantia.util import shared_dir
+    path = shared_dir(spark, "rebuild")
+    sinks.rebuild(postings(spark, d).select("job_id", "source", "title"), path, ["source"])
+    return spark.read.parquet(path).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("job_id").alias("ids"))
+
+
 def label_coverage(spark, d):
     """Coverage over labelled documents: blank-free fields and label presence."""
     docs = bind(spark, d, "SELECT doc_id, lang, source, quality, toxic FROM {documents} LEFT JOIN {labels} USING (doc_id)")
@@ -115,6 +123,7 @@ QUERIES = {
     "u05_presets_then_values": options,
     "u06_distinct_sources": lambda s, d: c.distinct_sources(unified(s, d)),
     "p35_p21_listing_shape": detail_shape,
+    "s09_full_rebuild": rebuilt,
     "s13_export_csv": export_csv,
     "s14_export_json": export_json,
 }
@@ -169,6 +178,7 @@ ORACLE = {
     "p35_p21_listing_shape": f"""{W} SELECT job_id, title, coalesce(nullif(employer,''), nullif(company,''), 'Unknown Company') AS company, location,
         coalesce(nullif(salary,''), 'Salary not provided') AS salary, coalesce(nullif(job_type,''),'Full-time') AS job_type, source,
         coalesce(nullif(trim(apply_url),''), nullif(trim(url),'')) AS job_url, strftime(closing_date, '%Y-%m-%d') AS closing_date FROM unified WHERE source='jobs_ac_uk'""",
+    "s09_full_rebuild": f"{W} SELECT source, count(*) AS n, count(DISTINCT job_id) AS ids FROM postings GROUP BY 1",
     "s13_export_csv": f"{W} SELECT job_id, title, company, salary FROM postings ORDER BY original_scraped_at DESC NULLS LAST, job_id LIMIT 500",
     "s14_export_json": f"{W} SELECT job_id, title, strftime(original_scraped_at, '%Y-%m-%dT%H:%M:%S') AS original_scraped_at FROM postings ORDER BY original_scraped_at DESC NULLS LAST, job_id LIMIT 300",
 }

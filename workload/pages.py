@@ -165,6 +165,8 @@ QUERIES = {
     "s03_landed_api_json": landed_json,
     "s04_overlay_page_fields": overlay,
     "j21_second_round_entries": polling,
+    "h01_h03_tables_and_sections": lambda s, d: parsed(s, d).select("page_id", F.size("tables").alias("n_tables"), F.size("upper_sections").alias("n_upper"),
+                                                                  F.size("heading_sections").alias("n_heading")),
     "h02_meta_and_titles": meta,
     "h04_h09_paragraphs_and_main_text": paragraphs,
     "h05_list_items": lists,
@@ -183,6 +185,10 @@ _SALP = "coalesce(" + ", ".join(f"nullif(regexp_extract(x, '(?i){p}', 0), '')" f
 _T = "trim(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&amp;', '&'))"
 LOOSE = f"lr AS ({duck(LOOSE_SQL)})"
 ORACLE = {
+    "h01_h03_tables_and_sections": """SELECT page_id, CAST(len(regexp_extract_all(html, '<tr')) AS INT) AS n_tables, CAST(len(regexp_extract_all(html, '<strong')) AS INT) AS n_upper,
+        CAST(len(regexp_extract_all(html, '<h[23]')) AS INT) AS n_heading FROM pages""",
+    "p11_key_names": f"""WITH lr AS ({duck(LOOSE_SQL)}), k AS (SELECT unnest(['Company Name', 'company', 'City:', 'about', 'Required-Skills', 'Grade / Band']) AS raw FROM lr UNION SELECT 'Funding Amount' FROM lr WHERE prio = '1-URGENT')
+        SELECT DISTINCT raw, trim(regexp_replace(replace(replace(replace(replace(lower(raw), ' ', '_'), '-', '_'), ':', ''), '/', '_'), '_+', '_', 'g'), '_') AS key FROM k""",
     "p12_p14_e02_loose_records": f"""WITH {LOOSE} SELECT rec_id, company AS employer, city AS location, CASE prio WHEN '1-URGENT' THEN ' £' || amount WHEN '2-HIGH' THEN '€' || amount WHEN '5-LOW' THEN 'on request'
         WHEN '3-MEDIUM' THEN '£' || amount || ' per' END AS salary, seg AS skills, CASE WHEN prio = '3-MEDIUM' THEN 'The team pays £' || amount || ' per annum, plus a good pension scheme' ELSE seg END AS description, prio AS band, true AS has_title FROM lr""",
     "p13_salary_phrase": f"{W}, q AS (SELECT job_id, concat_ws(' ', 'pays', salary, description) AS x FROM unified) SELECT job_id, trim({_SALP}) AS phrase FROM q",
