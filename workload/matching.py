@@ -331,7 +331,27 @@ _REXP = " || ' | ' || ".join(
 _TOP10 = "top10 AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(final_score, 9) DESC, round(match_score, 9) DESC, job_id) AS rn FROM gated QUALIFY rn <= 10)"
 _GAPS = """gs AS (SELECT s.user_id, s.job_id, string_agg(j.skill, '|' ORDER BY j.skill) FILTER (k.skill IS NOT NULL) AS matched, string_agg(j.skill, '|' ORDER BY j.skill) FILTER (k.skill IS NULL) AS missing,
   string_agg(j.skill, '|' ORDER BY j.skill) FILTER (k.proficiency < 0.65 OR k.yrs < 1) AS weak FROM scored s JOIN jsk j USING (job_id) LEFT JOIN usk k ON k.user_id = s.user_id AND k.skill = j.skill GROUP BY 1, 2)"""
+_LISTS = """gl AS (SELECT s.user_id, s.job_id, coalesce(list(j.skill ORDER BY j.skill) FILTER (k.skill IS NOT NULL), []) AS ml, coalesce(list(j.skill ORDER BY j.skill) FILTER (j.skill IS NOT NULL AND k.skill IS NULL), []) AS mi,
+  coalesce(list(j.skill ORDER BY j.skill) FILTER (k.proficiency < 0.65 OR k.yrs < 1), []) AS wk FROM scored s LEFT JOIN jsk j USING (job_id) LEFT JOIN usk k ON k.user_id = s.user_id AND k.skill = j.skill GROUP BY 1, 2),
+  gt AS (SELECT s.*, ml, list_concat(mi[1:5], wk)[1:5] AS gn, list_concat(list_transform(mi[1:5], lambda x: x || ' (high)'), list_transform(wk, lambda x: x || ' (medium)'))[1:5] AS gx FROM scored s JOIN gl USING (user_id, job_id))"""
 ORACLE = {
+    "c22_c26_gap_texts": f"""{WG}, {_LISTS} SELECT user_id, job_id, concat_ws('; ', CASE WHEN len(ml) > 0 THEN 'Covered core skills: ' || array_to_string(ml[1:3], ', ') END,
+        CASE WHEN education_score >= 0.9 THEN 'Education background is well aligned with the job requirements.' END, CASE WHEN location_score >= 0.8 THEN 'Job location matches the user''s preference.' END) AS strengths,
+        CASE WHEN len(gx) = 0 THEN 'No obvious skill gaps identified' ELSE array_to_string(gx[1:3], ', ') END AS gaps,
+        'Overall fit is about ' || {_pc('round(final_score, 4)')} || ' (relevance ' || {_pc('round(relevance, 4)')} || '). Use that as a rough readiness signal alongside your own review of the full posting.'
+        || CASE WHEN len(gn) > 0 THEN ' Concrete gaps to address: ' || array_to_string(gn[1:4], ', ') || '. Closing these will materially improve alignment.'
+           ELSE ' Against the skills we can see, you largely meet requirements; focus next on depth, proof of impact, and any niche tools the employer stresses.' END
+        || ' Plan development in short milestones (courses, certifications, or scoped projects) rather than vague study goals.' AS reasoning, CAST(CASE WHEN len(gx) = 0 THEN 1 ELSE least(3, len(gx)) END AS INT) AS n_suggestions FROM gt""",
+    "c23_overlay_external_answers": f"""{WG}, {_LISTS}, st AS (SELECT DISTINCT 'jobs_ac_uk_' || CAST(o_orderkey AS VARCHAR) AS job_id, o_orderstatus, o_orderpriority FROM orders),
+        b AS (SELECT gt.user_id, gt.job_id, o_orderstatus AS os, o_orderpriority AS op, concat_ws('; ', CASE WHEN len(ml) > 0 THEN 'Covered core skills: ' || array_to_string(ml[1:3], ', ') END,
+        CASE WHEN education_score >= 0.9 THEN 'Education background is well aligned with the job requirements.' END, CASE WHEN location_score >= 0.8 THEN 'Job location matches the user''s preference.' END) AS str,
+        CASE WHEN len(gx) = 0 THEN 'No obvious skill gaps identified' ELSE array_to_string(gx[1:3], ', ') END AS gp,
+        'Overall fit is about ' || {_pc('round(final_score, 4)')} || ' (relevance ' || {_pc('round(relevance, 4)')} || '). Use that as a rough readiness signal alongside your own review of the full posting.'
+        || CASE WHEN len(gn) > 0 THEN ' Concrete gaps to address: ' || array_to_string(gn[1:4], ', ') || '. Closing these will materially improve alignment.'
+           ELSE ' Against the skills we can see, you largely meet requirements; focus next on depth, proof of impact, and any niche tools the employer stresses.' END
+        || ' Plan development in short milestones (courses, certifications, or scoped projects) rather than vague study goals.' AS rsn FROM gt JOIN st USING (job_id))
+        SELECT user_id, job_id, CASE WHEN os = 'F' THEN 'external view of ' || op ELSE rsn END AS reasoning, CASE WHEN os = 'O' THEN 'steady' ELSE str END AS strengths,
+        CASE WHEN os = 'F' THEN 'welding (medium)' ELSE gp END AS gaps FROM b""",
     "p15_p20_posting_features": f"""WITH {UNIFIED}, {POST} SELECT job_id, round(sal + 1e-9, 6) AS salary, req_years AS years, req_edu AS education, industry, wt AS work_type, days, to_close,
         views, apps AS applications, round(comp + 1e-9, 6) AS competition, round(market + 1e-9, 6) AS market, 0.65 AS seniority, description AS snippet FROM post""",
     "p21_salary_display": f"WITH {UNIFIED}, {POST} SELECT job_id, CASE WHEN salary_text <> '' THEN salary_text WHEN coalesce(lo,0) = 0 AND coalesce(hi,0) = 0 THEN 'Salary not provided' ELSE CAST(lo AS VARCHAR) END AS shown FROM post",
