@@ -60,3 +60,9 @@ def test_salary_text(spark):
     df = spark.createDataFrame([(10.0, 10.0), (10.5, 2000.0), (5.0, None), (0.0, 7.0), (None, 0.0)], "a double, b double")
     got = [r[0] for r in df.select(u.salary_text(F.col("a"), F.col("b"))).collect()]
     assert got == ["£10", "£10 - £2,000", "£5+", "Up to £7", None]
+
+
+def test_custom_mapping(spark):
+    mapping = {"source": lambda df: F.lit("board"), "source_job_id": "job_id", "title": lambda df: F.upper("title"), "company": "employer", "location": "nowhere"}
+    r = u.with_keys(u.map_source(rows_a(spark).filter("job_id = '4'"), mapping)).first()
+    assert (r.job_id, r.title, r.company, r.location, r.salary) == ("board_4", "CLERK", "Uni Y", None, None)
