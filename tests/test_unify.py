@@ -47,6 +47,12 @@ def test_first_per_hash_is_idempotent_and_spacing_counts(spark):
     assert sorted(r.job_id for r in u.first_per_hash(once).collect()) == sorted(r.job_id for r in once.collect())
 
 
+def test_raw_collapse_changes_nothing(spark):
+    mapped = u.map_a(rows_a(spark).unionByName(rows_a(spark).withColumn("job_id", F.concat(F.lit("9"), "job_id"))))
+    want = u.first_per_hash(u.with_keys(mapped).filter(u.is_complete()))
+    assert sorted(r.job_id for r in u.unique_postings(mapped).collect()) == sorted(r.job_id for r in want.collect())
+
+
 def test_stream_equals_batch(spark, tmp_path):
     src = rows_a(spark)
     src.repartition(3).write.parquet(str(tmp_path / "in"))

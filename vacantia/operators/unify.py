@@ -184,11 +184,26 @@ def drop_known_hashes(batch: DataFrame, merged: DataFrame, refresh: bool = False
     return batch.join(merged.select("dedup_hash").filter("dedup_hash is not null"), "dedup_hash", "left_anti")
 
 
-def first_per_hash(df: DataFrame) -> DataFrame:
+def _keep_order() -> list[Column]:
     prio = F.lit(len(SOURCE_PRIORITY))
     for name, p in SOURCE_PRIORITY.items():
         prio = F.when(F.col("source") == name, F.lit(p)).otherwise(prio)
-    return first_per_key(df, ["dedup_hash"], [prio, F.desc_nulls_last("original_scraped_at"), F.col("source_job_id")])
+    return [prio, F.desc_nulls_last("original_scraped_at"), F.col("source_job_id")]
+
+
+def first_per_hash(df: DataFrame) -> DataFrame:
+    return first_per_key(df, ["dedup_hash"], _keep_order())
+
+
+def unique_postings(mapped: DataFrame) -> DataFrame:
+    """Complete mapped rows with keys, the first one per duplicate hash.
+
+    Rows with the same raw title, company and location have the same hash, so they are
+    collapsed first: the text normalisation and hashing then run on what is left only.
+    """
+    rows = mapped.filter(is_complete()).withColumn("_company", F.coalesce(empty_to_null("company"), F.col("employer")))
+    rows = first_per_key(rows, ["title", "_company", "location"], _keep_order()).drop("_company")
+    return first_per_hash(with_keys(rows))
 
 
 def insert_if_absent(batch: DataFrame, target: DataFrame, key: str = "job_id") -> DataFrame:
@@ -199,9 +214,9 @@ def insert_if_absent(batch: DataFrame, target: DataFrame, key: str = "job_id") -
 
 def merge_new_rows(a: DataFrame, b: DataFrame, merged: DataFrame) -> DataFrame:
     """Rows an incremental merge appends to ``merged``."""
-    rows = unify(only_new(a, merged, SOURCE_A), only_new(b, merged, SOURCE_B)).filter(is_complete())
+    rows = map_a(only_new(a, merged, SOURCE_A)).unionByName(map_b(only_new(b, merged, SOURCE_B)))
     # The winner of a hash does not depend on what is stored, so the cheap map-side step comes first.
-    return insert_if_absent(drop_known_hashes(first_per_hash(rows), merged), merged)
+    return insert_if_absent(drop_known_hashes(unique_postings(rows), merged), merged)
 
 
 def upsert(target: DataFrame, batch: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -71,8 +71,12 @@ def unified(spark, d):
     return all_rows(spark, d).filter(u.is_complete())
 
 
+def mapped(spark, d):
+    return u.map_a(source_a(spark, d)).unionByName(u.map_b(source_b(spark, d)))
+
+
 def postings(spark, d):
-    return u.first_per_hash(unified(spark, d))
+    return u.unique_postings(mapped(spark, d))
 
 
 def stored(spark, d):
@@ -81,7 +85,7 @@ def stored(spark, d):
 
 
 def postings_before(spark, d):
-    return u.first_per_hash(unified(spark, d).filter(F.col("original_scraped_at") < CUT))
+    return u.unique_postings(mapped(spark, d).filter(F.col("original_scraped_at") < CUT))
 
 
 MERGED_SQL = f"""merged AS (SELECT * FROM unified WHERE original_scraped_at < TIMESTAMP '{CUT}' QUALIFY row_number() OVER (
