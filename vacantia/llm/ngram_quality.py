@@ -35,11 +35,10 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 BROADCAST_ROWS = 500_000
 
 
-def base_counts(text: str | None, number: Memo | None = None) -> tuple[int, int, int, int, int]:
-    """``COUNTS`` of one text."""
+def base_counts(text: str | None, words: list[str]) -> tuple[int, int, int, int, int]:
+    """``COUNTS`` of one text and its words."""
     if not text:
         return 0, 0, 0, 0, 0
-    words = WORD.findall(text)
     lines = [line for line in text.split("\n") if WORD.search(line)]
     return (len(words), sum(map(len, words)), sum(map(len, SYMBOL.findall(text))), len(lines) - len(set(lines)), repeated_words(words))
 
@@ -72,16 +71,16 @@ def repeated_words(words: list[str]) -> int:
     return int(covered.sum())
 
 
-def gram_buckets(text: str, hashed: Memo, buckets: int) -> np.ndarray:
-    """Buckets of the unigrams and bigrams of a text."""
-    tokens = GRAM.findall(text)
-    h = np.fromiter(map(hashed.__getitem__, tokens), np.uint64, len(tokens))
+def gram_buckets(words: list[str], hashed: Memo, buckets: int) -> np.ndarray:
+    """Buckets of the unigrams and bigrams of a text's tokens: runs of letters and digits, and runs of other signs."""
+    h = np.frombuffer(b"".join(map(hashed.__getitem__, words)), np.uint64)
     pairs = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ (h[1:] + np.uint64(0x7F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
     return (np.concatenate([h, pairs ^ pairs >> np.uint64(32)]) % np.uint64(buckets)).astype(np.int64)
 
 
 def _hasher() -> Memo:
-    return Memo(xxhash.xxh3_64_intdigest, 150_000)
+    """Hashes of a word's tokens."""
+    return Memo(lambda word: b"".join([xxhash.xxh3_64_digest(t)[::-1] for t in GRAM.findall(word)]), 250_000)
 
 
 def bucket_counts(texts: DataFrame, buckets: int) -> DataFrame:
@@ -91,10 +90,10 @@ def bucket_counts(texts: DataFrame, buckets: int) -> DataFrame:
         for b in slices(batches):
             for text, trusted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if text:
-                    one = np.bincount(gram_buckets(text, hashed, buckets), minlength=buckets)
-                    counts[1] += one
+                    grams = gram_buckets(WORD.findall(text), hashed, buckets)
+                    np.add.at(counts[1], grams, 1)
                     if trusted:
-                        counts[0] += one
+                        np.add.at(counts[0], grams, 1)
         some = np.flatnonzero(counts[1])
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[0][some]), pa.array(counts[1][some])], names=["bucket", "target", "raw"])
 
@@ -145,8 +144,9 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
         for b in slices(batches):
             out, scores = [], []
             for text in b.column(1).to_pylist():
-                out.append(base_counts(text))
-                g = gram_buckets(text, hashed, buckets) if text else ()
+                words = WORD.findall(text or "")
+                out.append(base_counts(text, words))
+                g = gram_buckets(words, hashed, buckets)
                 scores.append(round(float(ratios[g].mean()), 3) + 0.0 if len(g) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 5)), pa.array(scores, pa.float64())], names=["id", *COUNTS, "score"])
 

@@ -5,10 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantia.llm import ngram_quality, piece_bpe
+from vacantia.llm import lang_cnn, main_text, ngram_quality, piece_bpe, url_trees
 from vacantia.llm.common import table
 
 
+#: Policy of the URL filter: verdict, host, path.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+#: Words that mark a host as unwanted: the labels for training. The trees never see words, only counts and shares.
+UNWANTED = ("ads", "adult", "bets", "casino", "pills", "spam", "track")
+
+
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
+def op6_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    host = url_trees.split_url(F.col("url"))["host"]
+    label = F.when(host != "", host.rlike(f"(^|[.-])({'|'.join(UNWANTED)})([.-]|$)").cast("int"))
+    return url_trees.judge(table(spark, sf_dir, "pages"), label, URL_RULES).withColumnRenamed("id", "page_id")
+
+
+def op7_lang_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_cnn.predict(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     vocabulary = piece_bpe.read_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
@@ -20,7 +40,7 @@ def op10_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op9_sentencepiece, op10_ngram_quality)}
+QUERIES = {f.__name__: f for f in (op5_main_text, op6_url_trees, op7_lang_cnn, op9_sentencepiece, op10_ngram_quality)}
 
 #: Twins for the driver's SQL engine.
 ORACLE: dict[str, str] = {}
