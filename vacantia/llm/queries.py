@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantia.llm import lang_cnn, main_text, ngram_quality, piece_bpe, url_trees
+from vacantia.llm import decontaminate, lang_cnn, main_text, ngram_quality, piece_bpe, url_trees
 from vacantia.llm.common import table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
+
+
 #: Policy of the URL filter: verdict, host, path.
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 #: Words that mark a host as unwanted: the labels for training. The trees never see words, only counts and shares.
@@ -40,7 +44,7 @@ def op10_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op5_main_text, op6_url_trees, op7_lang_cnn, op9_sentencepiece, op10_ngram_quality)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op5_main_text, op6_url_trees, op7_lang_cnn, op9_sentencepiece, op10_ngram_quality)}
 
 #: Twins for the driver's SQL engine.
 ORACLE: dict[str, str] = {}
