@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantia.llm import decontaminate, lang_cnn, main_text, ngram_quality, piece_bpe, url_trees
+from vacantia.llm import decontaminate, lang_cnn, main_text, ngram_quality, piece_bpe, url_trees, warc_store
 from vacantia.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
 
 
+def op2_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_store.round_trip(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 #: Policy of the URL filter: verdict, host, path.
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 #: Words that mark a host as unwanted: the labels for training. The trees never see words, only counts and shares.
@@ -44,7 +48,17 @@ def op10_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op5_main_text, op6_url_trees, op7_lang_cnn, op9_sentencepiece, op10_ngram_quality)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_warc_store, op5_main_text, op6_url_trees, op7_lang_cnn, op9_sentencepiece, op10_ngram_quality)}
 
 #: Twins for the driver's SQL engine.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_warc_store": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        m AS (SELECT page_id, h, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+        SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes,
+            array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                CAST((CAST('0x' || substr(x, CAST(5 * (i // 4) + 1 AS INT), 5) AS INT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31 AS INT) + 1, 1)), '') AS payload_digest,
+            CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
+        FROM m""",
+}
