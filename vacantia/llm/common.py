@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from vacantia.util import materialize, shared_dir
 
-__all__ = ["Memo", "keyed", "materialize", "partitions", "shared_dir", "ship", "slices", "table", "top_partitions"]
+__all__ = ["Memo", "components", "keyed", "materialize", "partitions", "shared_dir", "ship", "slices", "table", "top_partitions"]
 
 _PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 _shipped: set[str] = set()
@@ -71,3 +71,22 @@ class Memo(dict):
 def top_partitions(spark: SparkSession, rows: int, per: int = 1 << 20) -> int:
     """Enough partitions for ``rows`` rows, never fewer than the session's own number."""
     return max(partitions(spark), -(-rows // per))
+
+
+def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+    """``node, component`` (the smallest node) of every node of the edges ``a, b``.
+
+    Each round takes the least label among neighbours, then the label's own label, so paths shorten by halves. Every round is written out.
+    """
+    both = materialize(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other"))), "edges")
+    labels = materialize(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("component")), "labels")
+    for _ in range(rounds):
+        near = both.join(labels.select(F.col("node").alias("other"), "component"), "other").groupBy("node").agg(F.min("component").alias("m"))
+        least = labels.join(near, "node").select("node", F.least("component", "m").alias("c"), F.col("component").alias("before"))
+        jump = labels.select(F.col("node").alias("c"), F.col("component").alias("cc"))
+        new = materialize(least.join(jump, "c", "left").select("node", F.least("c", "cc").alias("component"), "before"), "labels")
+        changed = new.where("component <> before").limit(1).count()
+        labels = new.select("node", "component")
+        if not changed:
+            return labels
+    raise RuntimeError(f"components are not settled after {rounds} rounds")

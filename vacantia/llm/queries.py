@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantia.llm import decontaminate, lang_cnn, main_text, ngram_quality, piece_bpe, url_trees, warc_store
+from vacantia.llm import dart_minhash, decontaminate, lang_cnn, main_text, ngram_quality, piece_bpe, url_trees, warc_store
 from vacantia.llm.common import table
 
 
@@ -37,6 +37,10 @@ def op7_lang_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_cnn.predict(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op8_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dart_minhash.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     vocabulary = piece_bpe.read_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
@@ -48,7 +52,7 @@ def op10_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_warc_store, op5_main_text, op6_url_trees, op7_lang_cnn, op9_sentencepiece, op10_ngram_quality)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_warc_store, op5_main_text, op6_url_trees, op7_lang_cnn, op8_dart_minhash, op9_sentencepiece, op10_ngram_quality)}
 
 #: Twins for the driver's SQL engine.
 ORACLE: dict[str, str] = {
