@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantia.llm import dart_minhash, decontaminate, lang_cnn, main_text, ngram_quality, piece_bpe, suffix_dedup, url_trees, warc_store
+from vacantia.llm import dart_minhash, decontaminate, lang_cnn, license_align, main_text, ngram_quality, piece_bpe, suffix_dedup, url_trees, warc_store
 from vacantia.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_license_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_align.scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 #: Policy of the URL filter: verdict, host, path.
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 #: Words that mark a host as unwanted: the labels for training. The trees never see words, only counts and shares.
@@ -59,7 +63,7 @@ def op10_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_warc_store, op3_suffix_dedup, op5_main_text, op6_url_trees, op7_lang_cnn, op8_dart_minhash, op9_sentencepiece, op10_ngram_quality)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_warc_store, op3_suffix_dedup, op4_license_align, op5_main_text, op6_url_trees, op7_lang_cnn, op8_dart_minhash, op9_sentencepiece, op10_ngram_quality)}
 
 #: Twins for the driver's SQL engine.
 ORACLE: dict[str, str] = {
