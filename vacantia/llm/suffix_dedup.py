@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from vacantia.llm.common import keyed, materialize, partitions, ship, slices
 from vacantia.llm.dart_minhash import mix
@@ -248,14 +249,19 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, z) for a, z in out]
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, keep: str = "none") -> DataFrame:
-    """``id, n_bytes, spans`` (removed stretches), ``kept`` (remaining bytes) of every row."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, keep: str = "none", carry: bool = False) -> DataFrame:
+    """``id, n_bytes, spans`` (removed stretches), ``kept`` (remaining bytes) of every row.
+
+    ``carry``: also ``row``, the row as it was given, and ``left``, the remaining bytes as text without letters cut in two (null for null).
+    """
     if keep not in ("none", "first") or length < 16:
         raise ValueError("keep is 'none' or 'first', length at least 16")
     spark = docs.sparkSession
     ship(spark)
     stays = keep == "first"
-    rows = keyed(docs, id_col, text_col, "text").select("id", F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.unhex(F.md5("text")))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rest = [F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col), F.col(f"`{text_col}`").isNull().alias("__null")).alias("row")] if carry else []
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.unhex(F.md5(text)).alias("digest"), *rest)
     texts = anchored(rows.where(F.octet_length("text") >= length).select("id", "digest", "text"), length)
     nodes = texts.groupBy("digest").agg(F.min("id").alias("id"), F.max(F.col("id").isNull()).alias("nameless"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("at", "n", "anchor", "run")))
     nodes = materialize(nodes.withColumn("id", F.when(F.col("nameless"), F.lit(None)).otherwise(F.col("id"))).drop("nameless").withColumn("node", F.monotonically_increasing_id()), "texts")
@@ -289,7 +295,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     joined = looked_up(rows, found, found.count(), "left")
     later = F.coalesce((F.col("copies") > 1) & ~F.col("id").eqNullSafe(F.col("first")), F.lit(False)) if stays else F.lit(False)
     whole = F.array(F.struct(F.lit(0).alias("start"), F.octet_length("text").alias("end")))
-    return _without(joined.select("id", "text", F.when(later, whole).otherwise(F.col("spans")).alias("spans")))
+    return _without(joined.select("id", "text", F.when(later, whole).otherwise(F.col("spans")).alias("spans"), *(["row"] if carry else [])))
 
 
 def _without(rows: DataFrame) -> DataFrame:
@@ -307,6 +313,10 @@ def _without(rows: DataFrame) -> DataFrame:
                 spans.append([{"start": a, "end": z} for a, z in gone])
                 kept.append(b"".join([*parts, data[at:]]) if gone else data)
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], names=["id", "n_bytes", "spans", "kept"])
+            more = [b.column(3), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())] if carry else []
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()), *more], names=names)
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes bigint, spans array<struct<start:int,end:int>>, kept binary")
+    carry = "row" in rows.columns
+    names = ["id", "n_bytes", "spans", "kept", *(["row", "left"] if carry else [])]
+    kind = [rows.schema["id"], *StructType.fromDDL("n_bytes bigint, spans array<struct<start:int,end:int>>, kept binary").fields]
+    return rows.mapInArrow(run, StructType([*kind, rows.schema["row"], *StructType.fromDDL("left string").fields] if carry else kind))
