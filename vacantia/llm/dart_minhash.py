@@ -8,8 +8,10 @@ is not), so the cost grows with the size of the set plus the number of coordinat
 
 Documents with equal words are one node. Nodes that agree in a whole band of coordinates are candidates. Within a bucket no pairs
 are listed: every node is compared with the bucket's most widely connected node, then, where that left different components,
-with a few more leaders and its neighbours in that order, in salted parts of bounded size. Buckets of up to
-nine nodes are so compared completely. Candidates are first judged by their signatures (far below the threshold: dropped), then by
+with its neighbours in the order of the following bands' keys, which puts the most similar nodes side by side. A bucket of more than
+``PART`` nodes is parted by the following band's key (by a salt where that does not part it). Buckets of up to nine nodes are so compared completely;
+in larger ones a node has fewer comparisons, but in all its bands. Candidates are first judged by their
+signatures (far below the threshold: dropped), then by
 the exact similarity of their shingle sets. Links make components; a document's class is the smallest id of its component.
 
 Defined results: words are split at white space and compared in lower case. A text with fewer than five words is one shingle of all its words;
@@ -32,7 +34,8 @@ from vacantia.llm.common import Memo, components, keyed, materialize, ship, slic
 
 COORDINATES, BANDS = 96, 24
 ROWS = COORDINATES // BANDS
-LEADERS, NEIGHBOURS, PART = 3, 8, 128
+#: Comparisons of a node with those before it in a bucket, and in one that this does not cover; nodes of a part.
+NEIGHBOURS, FEW, PART = 8, 4, 128
 #: Nodes whose sets are fetched by broadcasting their digests; more are joined by shuffle.
 BROADCAST_ROWS = 300_000
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -212,7 +215,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     # Buckets of two nodes or more, with how widely each node is connected.
-    bands = nodes.select(F.explode("keys").alias("key"), "node")
+    bands = nodes.select("node", "keys", F.posexplode("keys").alias("pos", "key"))
+    ahead = lambda k: F.get("keys", (F.col("pos") + k) % BANDS)
+    bands = bands.select("key", "node", ahead(1).alias("next"), ahead(2).alias("after"))
     shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     buckets = materialize(bands.join(shared, "key"), "buckets")
     reach = buckets.groupBy("node").agg(F.sum("n").alias("reach"))
@@ -232,11 +237,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = components(stars)
 
     # What the leaders did not join is compared further, between components only.
-    part = F.when(F.col("n") > PART, F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("n") / PART))).otherwise(0)
-    placed = buckets.join(groups, "node", "left").select("key", "node", "reach", F.coalesce("component", "node").alias("component"), part.alias("part"))
-    w = Window.partitionBy("key", "part").orderBy(F.desc("reach"), "node")
-    me = F.struct("node", "component")
-    others = F.array(*(F.lag(me, k).over(w) for k in range(1, NEIGHBOURS + 1)), *(F.nth_value(me, k).over(w) for k in range(1, LEADERS + 1)))
+    part = F.when(F.col("n") > PART, F.pmod(F.xxhash64("next"), F.ceil(F.col("n") / PART))).otherwise(0)
+    placed = buckets.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")).withColumn("part", part)
+    crowds = placed.groupBy("key", "part").agg(F.count("*").alias("crowd")).where(F.col("crowd") > 4 * PART)
+    salt = F.coalesce(F.pmod(F.xxhash64("node"), F.ceil(F.col("crowd") / PART)), F.lit(0)).alias("salt")
+    placed = placed.join(crowds, ["key", "part"], "left").select("key", "n", "node", "next", "after", "component", "part", salt)
+    w = Window.partitionBy("key", "part", "salt").orderBy("next", "after", "node")
+    me, large = F.struct("node", "component"), F.col("n") > NEIGHBOURS + 1
+    others = F.array(*(F.lag(me, k).over(w) if k <= FEW else F.when(~large, F.lag(me, k).over(w)) for k in range(1, NEIGHBOURS + 1)))
     more = placed.withColumn("others", others).withColumn("others", F.filter("others", lambda x: x.isNotNull() & (x["component"] != F.col("component"))))
     second = links(more.where(F.size("others") > 0).select(F.col("node").alias("a"), F.explode("others.node").alias("b")), "more")
     groups = components(stars.unionByName(second))
