@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -9,7 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 @pytest.fixture(scope="session")
 def spark():
     from pyspark.sql import SparkSession
-    s = (SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4")
+    s = (SparkSession.builder.master("local[4]").config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="vacantia-test-")).config("spark.sql.shuffle.partitions", "4")
          .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     yield s

@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SOURCE_B
 from ..functions import html as H
 from ..functions import text as tx
-from ..util import blank_to_null, col, contains_any, empty_to_null, first_per_key, strip
+from ..util import blank_to_null, col, contains_any, empty_to_null, first_per_key, materialize, strip
 
-PARSED = (
-    "title string, meta_description string, og map<string,string>, tables map<string,string>, upper_sections map<string,string>, "
-    "heading_sections map<string,string>, paragraphs array<string>, ul array<array<string>>, ol array<array<string>>, "
-    "links array<struct<url:string,text:string,title:string>>, main_text string, description_box string, h1 string, lead string, "
-    "employer_item string, job_ref_input string, apply_link string, chips map<string,string>")
+NODE = "node int, parent int, tag string, text string, attrs map<string,string>, up array<int>, up_tags array<string>"
+# fixed values: elements whose text is no content, and table labels with another name in the schema
+SILENT = ("script", "style", "template")
+BOILERPLATE = ("script", "style", "noscript", "nav", "footer", "header")
+TABLE_LABELS = {"closes": "closing_date", "advert_id": "job_ref"}
 ENRICH_MARK = "--- [added from posting page] ---"
 # fixed values: section titles worth keeping, and hosts of the two portals
 SECTION_TITLES = (r"(?i)(RESPONSIBILIT|REQUIREMENT|SKILL|QUALIFICATION|EXPERIENCE|ABOUT\s+THE\s+ROLE|PERSON\s+SPECIFICATION|"
@@ -26,16 +27,167 @@ PORTAL_A_HOSTS = ("jobs.ac.uk",)
 PORTAL_B_HOSTS = ("adzuna.co.uk", "adzuna.com")
 
 
-def parse_pages(pages: DataFrame, resolve_links: bool = False) -> DataFrame:
-    """Add the parsed pieces to every page (page_id, url, html)."""
-    names = [f.name for f in pages.sparkSession.createDataFrame([], PARSED).schema]
+def node_table(pages: DataFrame) -> DataFrame:
+    """All nodes of every page (``page_id``, which names one page, and the columns of ``NODE``); each page is parsed once and the rows written out."""
+    names = [f.split()[0] for f in NODE.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [H.extract(h, u if resolve_links else None) for h, u in zip(pdf["html"], pdf["url"], strict=True)]
-            yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(rows, columns=names)], axis=1)
-    base = pages.select("page_id", "url", "html")
-    return base.mapInPandas(run, "page_id bigint, url string, html string, " + PARSED)
+            for k in range(0, len(pdf), 64):
+                part = pdf.iloc[k:k + 64]
+                rows = [(p, *n) for p, h in zip(part["page_id"], part["html"], strict=True) for n in H.nodes(h)]
+                yield pd.DataFrame(rows, columns=["page_id", *names])
+    return materialize(pages.select("page_id", "html").mapInPandas(run, f"page_id bigint, {NODE}"), "nodes")
+
+
+def element_texts(nodes: DataFrame) -> DataFrame:
+    """Per element its text: ``joined`` (pieces side by side), ``spaced`` (a space between), and ``content`` (lines, without boilerplate below it)."""
+    outside = lambda tags: ~F.arrays_overlap("up_tags", F.array(*map(F.lit, tags)))
+    pieces = nodes.filter("tag = '#text'").filter(outside(SILENT))
+    # A piece is content of an element if no boilerplate element stands between the two.
+    low = F.array_max(F.transform(F.filter(F.arrays_zip("up", "up_tags", "up_roles"), lambda x: x["up_tags"].isin(*BOILERPLATE) | x["up_roles"].eqNullSafe("navigation")), lambda x: x["up"]))
+    roles = nodes.filter("attrs['role'] = 'navigation'").groupBy("page_id").agg(F.collect_list("node").alias("navs"))
+    pieces = pieces.join(roles, "page_id", "left").withColumn("up_roles", F.transform("up", lambda n: F.when(F.array_contains("navs", n), "navigation")))
+    pieces = pieces.select("page_id", "node", "text", F.coalesce(low, F.lit(-1)).alias("low"), F.explode("up").alias("element"))
+    piece = F.struct("node", "text", (F.col("low") <= F.col("element")).alias("content"))
+    got = pieces.groupBy("page_id", "element").agg(F.sort_array(F.collect_list(piece)).alias("p"))
+    inner = F.filter("p", lambda x: x["content"])
+    return got.select("page_id", F.col("element").alias("node"), F.array_join("p.text", "").alias("joined"), F.array_join("p.text", " ").alias("spaced"), F.array_join(F.transform(inner, lambda x: x["text"]), "\n").alias("content"))
+
+
+def _facts(df: DataFrame, kind: str, key: Column | None = None, value: Column | None = None, order: Column | None = None, extra: Column | None = None) -> DataFrame:
+    text = lambda c: (F.lit(None) if c is None else c).cast("string")
+    return df.select("page_id", F.lit(kind).alias("kind"), (F.col("node") if order is None else order).cast("int").alias("at"), text(key).alias("k"), text(value).alias("v"), text(extra).alias("x"))
+
+
+def _one(kind: str, name: str | None = None) -> Column:
+    """First fact of a kind on the page; empty text counts as none."""
+    v = F.min_by(F.when(F.col("kind") == kind, F.col("v")), F.when(F.col("kind") == kind, F.col("at")))
+    return empty_to_null(v).alias(name or kind)
+
+
+def _list(kind: str) -> Column:
+    return F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct("at", "k", "v", "x"))))
+
+
+def _map(kind: str) -> Column:
+    """Facts of a kind by key; of one key the last."""
+    rows = _list(kind)
+    last = F.filter(rows, lambda e: ~F.exists(rows, lambda f: (f["k"] == e["k"]) & (f["at"] > e["at"])))
+    return F.map_from_entries(F.transform(last, lambda e: F.struct(e["k"], e["v"])))
+
+
+def _sections(blocks: DataFrame, opener: Column, closer: Column, keep: Column, body: Column, kind: str) -> DataFrame:
+    """Blocks between an opener and the next opener or closer among the same parent's children, joined under the opener's title."""
+    w = Window.partitionBy("page_id", "parent").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    opened = F.when(opener.isNotNull(), F.struct(F.col("node").alias("at"), opener.alias("title"))).when(closer, F.struct(F.lit(None).cast("int").alias("at"), F.lit(None).cast("string").alias("title")))
+    under = blocks.withColumn("o", F.last(opened, ignorenulls=True).over(w)).filter(F.col("o.at").isNotNull() & opener.isNull() & ~closer & keep)
+    one = under.groupBy("page_id", "o").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("node", body.alias("b")))), lambda x: x["b"]), "\n").alias("b"))
+    return _facts(one, kind, F.col("o.title"), F.col("b"), F.col("o.at"))
+
+
+def _page_facts(nodes: DataFrame) -> DataFrame:
+    """Everything that is read from pages, one row each: ``page_id, kind, at, k, v, x``."""
+    texts = materialize(element_texts(nodes), "texts")
+    el = nodes.filter("tag <> '#text'").drop("text").join(texts, ["page_id", "node"], "left").fillna("", ["joined", "spaced", "content"])
+    el = materialize(el.withColumn("names", F.split(F.coalesce(F.col("attrs")["class"], F.lit("")), r"\s+")), "elements")
+    attr = lambda n: F.col("attrs")[n]
+    tag = lambda *t: F.col("tag").isin(*t)
+    named = lambda n: F.array_contains("names", n)
+    inside = lambda tags: F.arrays_overlap("up_tags", F.array(*map(F.lit, tags)))
+    below = lambda t: F.array_max(F.transform(F.filter(F.arrays_zip("up", "up_tags"), lambda x: x["up_tags"] == t), lambda x: x["up"]))
+    out = [_facts(el.filter(where), kind, value=value) for kind, where, value in (
+        ("title", tag("title"), F.col("joined")), ("h1", tag("h1"), F.col("joined")), ("lead", tag("p") & named("lead"), F.col("joined")),
+        ("meta_description", tag("meta") & (attr("name") == "description"), attr("content")),
+        ("employer_a", named("j-advert__employer"), F.col("joined")), ("employer_b", named("j-advert_employer"), F.col("joined")),
+        ("job_ref_input", tag("input") & (attr("type") == "hidden") & (attr("name") == "job_ref"), attr("value")),
+        ("apply_link", tag("a") & (attr("id") == "apply-link"), attr("href")),
+        ("paragraph", tag("p") & ~inside(("script", "style", "nav", "footer", "header")) & (F.char_length("joined") >= 20), F.col("joined")))]
+    og = el.filter(tag("meta") & attr("property").startswith("og:") & (F.char_length(attr("property")) > 3) & (attr("content") != ""))
+    out.append(_facts(og, "og", F.substring(attr("property"), 4, 1 << 20), attr("content")))
+    out.append(_facts(el.filter(tag("a") & F.map_contains_key("attrs", "href")), "link", F.col("joined"), attr("href"), extra=F.coalesce(attr("title"), F.lit(""))))
+
+    lists = el.select("page_id", F.col("node").alias("parent"), F.col("tag").alias("of")).filter(F.col("of").isin("ul", "ol"))
+    items = el.filter(tag("li") & (F.col("joined") != "")).join(lists, ["page_id", "parent"])
+    out += [_facts(items.filter(F.col("of") == t), t, F.col("parent"), F.col("joined")) for t in ("ul", "ol")]
+
+    # Of each row inside a table the first heading and the first data cell.
+    cells = el.filter(tag("th", "td") & inside(("table",))).withColumn("row", below("tr")).filter("row IS NOT NULL")
+    first = lambda t: F.min_by(F.when(tag(t), F.col("joined")), F.when(tag(t), F.col("node")))
+    rows = cells.groupBy("page_id", F.col("row").alias("node")).agg(first("th").alias("th"), first("td").alias("td")).filter("th <> '' AND td <> ''")
+    out.append(_facts(rows, "table", F.replace(F.lower(strip(F.replace("th", F.lit(":"), F.lit("")))), F.lit(" "), F.lit("_")), F.col("td")))
+
+    # Sections: an upper-case marker names what follows its parent; a heading names what follows itself.
+    marks = el.filter(tag("strong")).filter((F.upper("joined") == F.col("joined")) & (F.lower("joined") != F.col("joined")))
+    held = marks.select("page_id", F.explode("up").alias("holder"), "node", "parent", "joined").groupBy("page_id", "holder").agg(
+        F.max_by(F.when((F.col("parent") == F.col("holder")) & (F.char_length("joined") >= 5), F.col("joined")), F.when((F.col("parent") == F.col("holder")) & (F.char_length("joined") >= 5), F.col("node"))).alias("mark"))
+    blocks = el.join(held.withColumn("holds", F.lit(True)).withColumnRenamed("holder", "node"), ["page_id", "node"], "left").filter("parent IS NOT NULL")
+    out.append(_sections(blocks, F.col("mark"), F.col("holds").isNotNull(), F.char_length("joined") > 10, F.col("joined"), "upper"))
+    head = F.when(tag("h2", "h3") & ~inside(BOILERPLATE) & (F.col("spaced") != "") & (F.char_length("spaced") <= 220), F.col("spaced"))
+    out.append(_sections(el, head, tag("h1", "h2", "h3"), ~tag(*BOILERPLATE) & (F.char_length("content") > 15), F.col("content"), "heading"))
+
+    # Pressed category buttons take the kind of the label paragraph before them.
+    said = F.when(tag("p") & F.col("spaced").rlike(r"(?i)Type\s*/\s*Role"), "job_type").when(tag("p") & F.col("spaced").rlike(r"(?i)Subject\s*Area\(s\)"), "subcategory")
+    button = tag("input") & (attr("type") == "button") & named("j-form-input__disabled-cat") & (strip(attr("value")) != "")
+    w = Window.partitionBy("page_id").orderBy("node")
+    chips = el.withColumn("said", said).filter(F.col("said").isNotNull() | button).withColumn("of", F.last("said", ignorenulls=True).over(w)).filter(button & F.col("of").isNotNull())
+    out.append(_facts(chips, "chip", F.col("of"), strip(attr("value"))))
+
+    # Containers by how surely they hold the text; the first of the surest kind.
+    live = el.filter(~tag(*BOILERPLATE) & ~inside(BOILERPLATE))
+    by_class = tag("div") & F.exists("names", lambda c: c.rlike("(?i)job-description|JobDescription"))
+    box = F.when(attr("data-testid") == "job-description", 0).when(attr("data-testid") == "description", 1).when(by_class, 2).when(attr("id") == "job-description", 3).when(named("job-description"), 4)
+    main = F.when(tag("main"), 0).when(tag("article"), 1).when(attr("id") == "content", 2).when(named("content"), 3).when(tag("body"), 4)
+    for kind, rank in (("box", box), ("main", main)):
+        best = live.withColumn("rank", rank).filter("rank IS NOT NULL").groupBy("page_id").agg(F.min_by(F.struct("node", "content"), F.struct("rank", "node")).alias("b"))
+        out.append(_facts(best, kind, value=F.col("b.content"), order=F.col("b.node")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def parse_pages(pages: DataFrame, resolve_links: bool = False) -> DataFrame:
+    """Add to every page (page_id, url, html) what it says: titles, tags, tables, sections, lists, links, texts."""
+    facts = _page_facts(node_table(pages))
+    by = facts.groupBy("page_id").agg(
+        *map(_one, ("title", "meta_description", "h1", "lead", "job_ref_input", "apply_link")), F.coalesce(_one("employer_a"), _one("employer_b")).alias("employer_item"),
+        _map("og").alias("og"), _map("table").alias("rows"), _map("upper").alias("upper_sections"), _map("heading").alias("heading_sections"),
+        _list("paragraph").alias("p"), _list("ul").alias("u"), _list("ol").alias("o"), _list("link").alias("l"), _list("chip").alias("c"),
+        F.when(F.char_length(_one("box")) > 80, _one("box")).alias("description_box"), F.coalesce(_one("main"), F.lit("")).alias("main_text"))
+    by = by.withColumns({"u": _by_list("u"), "o": _by_list("o")})
+    out = pages.select("page_id", "url", "html").join(by, "page_id", "left")
+    renames = F.create_map(*(F.lit(x) for pair in TABLE_LABELS.items() for x in pair))
+    other = lambda k: F.try_element_at(renames, k)
+    tables = F.transform_keys("rows", lambda k, v: F.when(~F.map_contains_key("rows", F.coalesce(other(k), F.lit(""))), F.coalesce(other(k), k)).otherwise(k))
+    texts = lambda c: F.coalesce(F.transform(c, lambda x: x["v"]), F.array().cast("array<string>"))
+    lists = lambda c: F.coalesce(F.col(c), F.array().cast("array<array<string>>"))
+    maps = lambda c: F.coalesce(F.col(c) if isinstance(c, str) else c, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
+    target = (lambda x: resolve("url", x["v"])) if resolve_links else (lambda x: x["v"])
+    links = F.transform("l", lambda x: F.struct(target(x).alias("url"), x["k"].alias("text"), x["x"].alias("title")))
+    pressed = lambda k: F.array_join(F.array_distinct(F.transform(F.filter("c", lambda x: x["k"] == k), lambda x: x["v"])), ", ")
+    chips = F.map_filter(F.create_map(F.lit("job_type"), pressed("job_type"), F.lit("subcategory"), pressed("subcategory")), lambda k, v: v != "")
+    return out.select(
+        "page_id", "url", "html", "title", "meta_description", maps("og").alias("og"), maps(tables).alias("tables"), maps("upper_sections").alias("upper_sections"), maps("heading_sections").alias("heading_sections"),
+        texts("p").alias("paragraphs"), lists("u").alias("ul"), lists("o").alias("ol"), F.coalesce(links, F.array().cast("array<struct<url:string,text:string,title:string>>")).alias("links"),
+        F.coalesce("main_text", F.lit("")).alias("main_text"), "description_box", "h1", "lead", "employer_item", "job_ref_input", "apply_link", maps(chips).alias("chips"))
+
+
+def _by_list(c: str) -> Column:
+    """Items grouped by the list they stand in, lists in page order."""
+    heads = F.array_sort(F.array_distinct(F.transform(c, lambda x: x["k"].cast("int"))))
+    return F.transform(heads, lambda h: F.transform(F.filter(c, lambda x: x["k"].cast("int") == h), lambda x: x["v"]))
+
+
+def resolve(base: str | Column, link: Column) -> Column:
+    """An absolute URL for a link on the page ``base``."""
+    b = col(base)
+    scheme, root = F.regexp_extract(b, "^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1), F.regexp_extract(b, "^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
+    bare = F.regexp_extract(b, "^([^?#]*)", 1)
+    folder = F.when(bare == root, F.concat(root, F.lit("/"))).otherwise(F.regexp_replace(bare, "[^/]*$", ""))
+    joined = F.when(link.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), link).when(link.startswith("//"), F.concat(scheme, link)).when(link.startswith("/"), F.concat(root, link)).when(
+        link == "", b).when(link.startswith("?"), F.concat(bare, link)).when(link.startswith("#"), F.concat(F.regexp_extract(b, "^([^#]*)", 1), link)).otherwise(F.concat(folder, F.regexp_replace(link, r"^(\./)+", "")))
+    up = joined
+    for _ in range(4):  # one step up for each ``../``
+        up = F.regexp_replace(up, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(?:/[^/?#]+)*?)/(?!\.\./)[^/?#]+/\.\./", "$1/")
+    return F.when(b.isNull() | (root == ""), link).otherwise(up)
 
 
 def script_variable(html: str | Column, name: str) -> Column:
@@ -74,8 +226,8 @@ def _ld_salary() -> Column:
     return F.when(lo.isNotNull(), F.when(hi.isNotNull() & (hi != lo), F.concat(whole(lo), F.lit(" to "), whole(hi))).otherwise(whole(lo)))
 
 
-def posting_record(parsed: DataFrame) -> DataFrame:
-    """Posting fields of a portal page: embedded JSON first, then JSON-LD, then the page itself."""
+def posting_record(parsed: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Posting fields of a portal page: embedded JSON first, then JSON-LD, then the page itself; ``keep``: further columns."""
     df = parsed.withColumn("_js", embedded_job("html")).withColumn("_ld", json_ld("html"))
     types = F.from_json(F.get_json_object("_js", "$.job_types"), "array<struct<category_name:string>>")
     areas = F.map_values(F.from_json(F.get_json_object("_js", "$.subject_areas"), "map<string,struct<category_name:string>>"))
@@ -116,7 +268,7 @@ def posting_record(parsed: DataFrame) -> DataFrame:
         "requirements": F.coalesce(tab("requirements"), sec("ESSENTIAL QUALIFICATIONS/EXPERIENCES"), sec("REQUIREMENTS"), empty_to_null(quals)),
     }
     cleaned = {k: F.when(v.isNotNull(), tx.clean_text(v)) for k, v in fields.items()}
-    return df.select("page_id", "url", *[v.alias(k) for k, v in cleaned.items()], F.col("upper_sections").alias("sections"))
+    return df.select("page_id", "url", *[v.alias(k) for k, v in cleaned.items()], F.col("upper_sections").alias("sections"), *keep)
 
 
 def host(url: str | Column) -> Column:
@@ -131,14 +283,13 @@ def host_class(url: str | Column) -> Column:
 
 def page_fields(parsed: DataFrame) -> DataFrame:
     """Fields by host: full record for portal A, description box and sections elsewhere."""
-    rec = posting_record(parsed).select("page_id", *[F.col(c).alias(f"_r_{c}") for c in ("requirements", "responsibilities", "full_description", "sections")])
-    df = parsed.join(rec, "page_id").withColumn("host_class", host_class("url"))
-    portal = F.col("host_class") == "portal_a"
-    return df.select(
-        "page_id", "url", "host_class", F.when(portal, F.col("_r_requirements")).alias("requirements"),
-        F.when(portal, F.col("_r_responsibilities")).alias("responsibilities"),
-        F.when(portal, F.col("_r_full_description")).otherwise(F.coalesce("description_box", "main_text")).alias("full_description"),
-        F.when(portal, F.col("_r_sections")).otherwise(F.col("heading_sections")).alias("sections"))
+    rec = posting_record(parsed, keep=("description_box", "main_text", "heading_sections"))
+    portal = host_class("url") == "portal_a"
+    return rec.select(
+        "page_id", "url", host_class("url").alias("host_class"), F.when(portal, F.col("requirements")).alias("requirements"),
+        F.when(portal, F.col("responsibilities")).alias("responsibilities"),
+        F.when(portal, F.col("full_description")).otherwise(F.coalesce("description_box", "main_text")).alias("full_description"),
+        F.when(portal, F.col("sections")).otherwise(F.col("heading_sections")).alias("sections"))
 
 
 def supplement(df: DataFrame) -> Column:

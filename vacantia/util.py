@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -110,16 +108,11 @@ def percent(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder under the cluster's checkpoint folder.
-
-    The cluster names a folder every executor can reach in ``spark.checkpoint.dir``. Only
-    when nothing is set (local tests) a temporary one is taken.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """A fresh folder that every executor can reach: under ``spark.checkpoint.dir``, else the context's checkpoint folder, else the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="vacantia-")
-        spark.sparkContext.setCheckpointDir(root)
-    return os.path.join(root, f"{label}-{uuid.uuid4().hex}")
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
