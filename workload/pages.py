@@ -72,6 +72,40 @@ def paragraphs(s, d):
     return parsed(s, d).select("page_id", F.size("paragraphs").alias("n"), F.char_length(F.array_join("paragraphs", "\n\n")).alias("chars"), F.char_length("main_text").alias("main_chars"))
 
 
+PORTAL_SQL = "SELECT p_partkey AS page_id, p_name, p_type, p_brand, 'Box ' || CAST(p_size AS STRING) AS pack, CAST(p_size AS STRING) AS size, p_partkey % 3 AS form FROM {part}"
+
+
+def portal_pages(s, d):
+    """Pages of a portal written from the parts: tables, sections, tags, and embedded JSON, JSON-LD or neither by turns."""
+    t = lambda x: F.lit(x)
+    base = bind(s, d, PORTAL_SQL)
+    ld = F.concat(t('<script type="application/ld+json">{"@type": "JobPosting", "title": "LD '), "p_name", t('", "employmentType": "Full Time, Permanent", "hiringOrganization": {"name": "'), "p_brand",
+                  t('"}, "baseSalary": {"currency": "GBP", "value": {"minValue": '), "size", t(', "maxValue": 90000}}}</script>'))
+    js = F.concat(t('<script>var job = {"job": {"title": "JS '), "p_name", t('", "employer_name": "'), "pack", t('", "salary_min": '), "size", t(', "salary_max": 99, "job_types": [{"category_name": "'), "p_type", t('"}]}};</script>'))
+    html = F.concat(
+        t("<html><head><title> "), "p_name", t(' &amp; co </title><meta property="og:title" content="'), "p_type", t('"><meta name="description" content="'), "p_brand", t('">'),
+        F.when(F.col("form") == 0, ld).when(F.col("form") == 1, js).otherwise(""), t("</head><body><nav><p>This menu is long enough to count.</p></nav><h1>Head "), "p_name",
+        t("</h1><table><tr><th>Closes:</th><td> "), "size", t(" May</td></tr><tr><th>Pack Type</th><td>"), "pack", t("</td></tr></table><div><strong>REQUIREMENTS</strong></div><p>Needs <b>"), "p_type",
+        t("</b> at hand, always.</p><h2>Person Specification</h2><p>Somebody who knows "), "p_brand", t(" well.</p><footer>Closing words of the site.</footer></body></html>"))
+    return base.select("page_id", F.concat(t("https://www.jobs.ac.uk/job/"), F.col("page_id").cast("string")).alias("url"), html.alias("html"))
+
+
+def portal_pieces(s, d):
+    get = lambda c, k: F.try_element_at(c, F.lit(k))
+    return pg.parse_pages(portal_pages(s, d)).select(
+        "page_id", "title", "meta_description", get("og", "title").alias("og_title"), get("tables", "closing_date").alias("closes"), get("tables", "pack_type").alias("pack"), get("upper_sections", "REQUIREMENTS").alias("upper"),
+        get("heading_sections", "Person Specification").alias("heading"), F.array_join("paragraphs", "|").alias("paragraphs"), "main_text")
+
+
+def portal_records(s, d):
+    return pg.posting_record(pg.parse_pages(portal_pages(s, d))).select("page_id", "title", "employer", "salary", "hours", "job_type", "closing_date", "requirements")
+
+
+def portal_fields(s, d):
+    f = pg.page_fields(pg.parse_pages(portal_pages(s, d)))
+    return f.select("page_id", "host_class", pg.supplement(f).alias("supplement"))
+
+
 def script_vars(s, d):
     return pages(s, d).select("page_id", pg.script_variable("html", "t").alias("t"), pg.script_variable("html", "missing").alias("missing"))
 
@@ -167,6 +201,9 @@ QUERIES = {
     "j21_second_round_entries": polling,
     "h01_h03_tables_and_sections": lambda s, d: parsed(s, d).select("page_id", F.size("tables").alias("n_tables"), F.size("upper_sections").alias("n_upper"),
                                                                   F.size("heading_sections").alias("n_heading")),
+    "h01_h09_portal_pieces": portal_pieces,
+    "h08_h10_portal_records": portal_records,
+    "h11_c25_portal_fields": portal_fields,
     "h02_meta_and_titles": meta,
     "h04_h09_paragraphs_and_main_text": paragraphs,
     "h05_list_items": lists,
@@ -187,6 +224,15 @@ LOOSE = f"lr AS ({duck(LOOSE_SQL)})"
 ORACLE = {
     "h01_h03_tables_and_sections": """SELECT page_id, CAST(len(regexp_extract_all(html, '<tr')) AS INT) AS n_tables, CAST(len(regexp_extract_all(html, '<strong')) AS INT) AS n_upper,
         CAST(len(regexp_extract_all(html, '<h[23]')) AS INT) AS n_heading FROM pages""",
+    "h01_h09_portal_pieces": r"""WITH p AS (SELECT *, 'Needs' || p_type || 'at hand, always.' AS needs, 'Somebody who knows ' || p_brand || ' well.' AS person FROM part)
+        SELECT p_partkey AS page_id, p_name || ' & co' AS title, p_brand AS meta_description, p_type AS og_title, p_size || ' May' AS closes, 'Box ' || p_size AS pack, needs || chr(10) || 'Person Specification' || chr(10) || person || chr(10) || 'Closing words of the site.' AS upper,
+        person AS heading, needs || '|' || person AS paragraphs, concat_ws(chr(10), 'Head ' || p_name, 'Closes:', p_size || ' May', 'Pack Type', 'Box ' || p_size, 'REQUIREMENTS', 'Needs', p_type, 'at hand, always.', 'Person Specification', person) AS main_text FROM p""",
+    "h08_h10_portal_records": r"""SELECT p_partkey AS page_id, CASE p_partkey % 3 WHEN 0 THEN 'LD ' || p_name WHEN 1 THEN 'JS ' || p_name ELSE 'Head ' || p_name END AS title, CASE p_partkey % 3 WHEN 0 THEN p_brand WHEN 1 THEN 'Box ' || p_size END AS employer,
+        CASE p_partkey % 3 WHEN 0 THEN '£' || p_size || ' to £90,000' WHEN 1 THEN '£' || p_size || ' to £99' END AS salary, CASE WHEN p_partkey % 3 = 0 THEN 'Full Time' END AS hours, CASE WHEN p_partkey % 3 = 1 THEN p_type END AS job_type,
+        p_size || ' May' AS closing_date, 'Needs' || p_type || 'at hand, always. Person Specification Somebody who knows ' || p_brand || ' well. Closing words of the site.' AS requirements FROM part""",
+    "h11_c25_portal_fields": r"""WITH p AS (SELECT p_partkey AS page_id, 'Needs' || p_type || 'at hand, always.' AS needs, 'Somebody who knows ' || p_brand || ' well.' AS person FROM part)
+        SELECT page_id, 'portal_a' AS host_class, concat_ws(chr(10) || chr(10), needs || ' Person Specification ' || person || ' Closing words of the site.', needs || ' ' || person,
+          '[REQUIREMENTS]' || chr(10) || concat_ws(chr(10), needs, 'Person Specification', person, 'Closing words of the site.')) AS supplement FROM p""",
     "p11_key_names": f"""WITH lr AS ({duck(LOOSE_SQL)}), k AS (SELECT unnest(['Company Name', 'company', 'City:', 'about', 'Required-Skills', 'Grade / Band']) AS raw FROM lr UNION SELECT 'Funding Amount' FROM lr WHERE prio = '1-URGENT')
         SELECT DISTINCT raw, trim(regexp_replace(replace(replace(replace(replace(lower(raw), ' ', '_'), '-', '_'), ':', ''), '/', '_'), '_+', '_', 'g'), '_') AS key FROM k""",
     "p12_p14_e02_loose_records": f"""WITH {LOOSE} SELECT rec_id, company AS employer, city AS location, CASE prio WHEN '1-URGENT' THEN ' £' || amount WHEN '2-HIGH' THEN '€' || amount WHEN '5-LOW' THEN 'on request'
