@@ -53,7 +53,7 @@ def uniform(x: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(np.float64) + 1) / 2.0**53
 
 
-def word_hashes(size: int = 250_000) -> Memo:
+def word_hashes(size: int = 50_000) -> Memo:
     return Memo(xxhash.xxh3_64_intdigest, size)
 
 

@@ -80,7 +80,7 @@ def gram_buckets(words: list[str], hashed: Memo, buckets: int) -> np.ndarray:
 
 def _hasher() -> Memo:
     """Hashes of a word's tokens."""
-    return Memo(lambda word: b"".join([xxhash.xxh3_64_digest(t)[::-1] for t in GRAM.findall(word)]), 250_000)
+    return Memo(lambda word: b"".join([xxhash.xxh3_64_digest(t)[::-1] for t in GRAM.findall(word)]), 100_000)
 
 
 def bucket_counts(texts: DataFrame, buckets: int) -> DataFrame:
