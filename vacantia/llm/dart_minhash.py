@@ -133,7 +133,7 @@ def sketched(rows: DataFrame) -> DataFrame:
     """``id, digest, keys, sketch`` of ``id, text``: band keys, and 16 bits of each dart; null without words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = word_hashes()
-        for b in slices(batches):
+        for b in slices(batches, nbytes=2 << 20):
             digests, sets, at = [None] * b.num_rows, [], []
             for i, text in enumerate(b.column(1).to_pylist()):
                 if words := words_of(text):
@@ -173,7 +173,7 @@ def shingle_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = word_hashes()
-        for b in slices(batches):
+        for b in slices(batches, nbytes=2 << 20):
             nodes, sets = [], []
             for node, digest, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 words = words_of(text)
