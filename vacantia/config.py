@@ -56,7 +56,7 @@ class RankerConfig:
         "career_ladder_signal": 0.20, "market_future_signal": 0.20,
     })
     diversity_factor: float = 0.1
-    candidate_cap: int = 2000
+    candidate_cap: int = 0
     use_pareto: bool = False
     calibration: bool = True
     top_k: int = 20

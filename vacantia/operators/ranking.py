@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..config import RankerConfig
 from ..functions import scoring as sc
-from ..util import materialize, spread, top_per_key
+from ..util import join_on, materialize, spread, top_per_key
 from .matching import relax
 
 CHUNK_ROWS = 4096
@@ -80,7 +80,7 @@ def _front(values: np.ndarray, block: int = 256) -> np.ndarray:
 def _chunks(df: DataFrame, user: str, rows: int) -> DataFrame:
     """Number the chunks of each user so that a chunk holds about ``rows`` rows."""
     n = df.groupBy(user).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("_nc"))
-    return df.join(n, user).withColumn("_chunk", F.pmod(F.xxhash64("_row"), F.col("_nc")).cast("int"))
+    return join_on(df, n, [user]).withColumn("_chunk", F.pmod(F.xxhash64("_row"), F.col("_nc")).cast("int"))
 
 
 def skyline(df: DataFrame, user: str, row: str, objectives: Sequence[str], chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -115,8 +115,8 @@ def skyline(df: DataFrame, user: str, row: str, objectives: Sequence[str], chunk
     lost = (spread(target, *keys).groupBy(*keys)
             .cogroup(spread(rival, *keys).groupBy(*keys))
             .applyInPandas(beaten, kept.select("_user", "_row").schema).distinct())
-    front = kept.join(lost, ["_user", "_row"], "left_anti").select(F.col("_user").alias(user), F.col("_row").alias(row))
-    return df.join(front, [user, row], "left_semi")
+    front = join_on(kept, lost, ["_user", "_row"], "left_anti").select(F.col("_user").alias(user), F.col("_row").alias(row))
+    return join_on(df, front, [user, row], "left_semi")
 
 
 def pareto_layers(df: DataFrame, user: str, row: str, objectives: Sequence[str], max_group: int = 20_000) -> DataFrame:
@@ -133,7 +133,7 @@ def pareto_layers(df: DataFrame, user: str, row: str, objectives: Sequence[str],
         size = rest.groupBy("_user").agg(F.count(F.lit(1)).alias("_n"))
         big = size.filter(F.col("_n") > max_group)
         any_big = not big.isEmpty()
-        small_rows = rest.join(big, "_user", "left_anti") if any_big else rest
+        small_rows = join_on(rest, big, ["_user"], "left_anti") if any_big else rest
 
         def all_layers(pdf: pd.DataFrame) -> pd.DataFrame:
             return pd.DataFrame({"_user": pdf["_user"], "_row": pdf["_row"], "pareto_rank": _layers(pdf[objs].to_numpy())})
@@ -144,12 +144,12 @@ def pareto_layers(df: DataFrame, user: str, row: str, objectives: Sequence[str],
         if not any_big:
             break
         layer += 1
-        large = materialize(rest.join(big.select("_user"), "_user", "left_semi"), "pareto-rest")
+        large = materialize(join_on(rest, big.select("_user"), ["_user"], "left_semi"), "pareto-rest")
         front = skyline(large, "_user", "_row", objs).select("_user", "_row")
         front = materialize(front, "pareto-front")
         done = done.unionByName(front.withColumn("pareto_rank", F.lit(layer).cast("bigint")))
-        rest = materialize(large.join(front, ["_user", "_row"], "left_anti"), "pareto-rest")
-    return df.join(done.select(F.col("_user").alias(user), F.col("_row").alias(row), "pareto_rank"), [user, row])
+        rest = materialize(join_on(large, front, ["_user", "_row"], "left_anti"), "pareto-rest")
+    return join_on(df, done.select(F.col("_user").alias(user), F.col("_row").alias(row), "pareto_rank"), [user, row])
 
 
 # --- diversity ----------------------------------------------------------------------------
@@ -176,18 +176,15 @@ def greedy_pick(scores: np.ndarray, features: np.ndarray, factor: float, limit:
     return picked
 
 
-def diversify(top: DataFrame, cfg: RankerConfig, user: str = "u_user_id", row: str = "p_job_id", rank: str = "score_rank") -> DataFrame:
-    """Greedy re-ordering of each user's capped list; ``position`` counts from 0.
-
-    A group holds at most ``candidate_cap`` narrow rows.
-    """
+def diversify(top: DataFrame, cfg: RankerConfig, user: str = "u_user_id", row: str = "p_job_id") -> DataFrame:
+    """Greedy re-ordering of each user's pickable rows (narrow ones); ``position`` counts from 0."""
     factor, limit = cfg.diversity_factor, cfg.top_k
     # Read by the picker and by the join below: write the capped list once.
     top = materialize(top, "capped")
-    narrow = top.select(user, row, rank, F.round("final_score", 9).alias("final_score"), "p_company", "p_industry", "p_work_type")
+    narrow = top.select(user, row, F.round("final_score", 9).alias("final_score"), F.round("match_score", 9).alias("match_score"), "p_company", "p_industry", "p_work_type")
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(rank).reset_index(drop=True)
+        pdf = pdf.sort_values(["final_score", "match_score", row], ascending=[False, False, True]).reset_index(drop=True)
         feats = np.column_stack([pd.factorize(pdf[c], use_na_sentinel=False)[0] for c in ("p_company", "p_industry", "p_work_type")])
         chosen = greedy_pick(pdf["final_score"].to_numpy(), feats, factor, limit)
         out = pdf.loc[chosen, [user, row]].copy()
@@ -196,7 +193,7 @@ def diversify(top: DataFrame, cfg: RankerConfig, user: str = "u_user_id", row: s
 
     schema = T.StructType([*narrow.select(user, row).schema.fields, T.StructField("position", T.IntegerType())])
     picks = spread(narrow, user).groupBy(user).applyInPandas(pick, schema)
-    return top.join(picks, [user, row])
+    return join_on(top, picks, [user, row])
 
 
 def calibrate(df: DataFrame) -> DataFrame:
@@ -209,42 +206,68 @@ def calibrate(df: DataFrame) -> DataFrame:
 def rank(matched: DataFrame, cfg: RankerConfig | None = None, breakdowns: bool = False) -> DataFrame:
     """Per user the ``top_k`` rows with ``rank``; ``matched`` comes from the matcher.
 
-    Only calibration of more than 100 rows without diversity needs the user's whole list in order.
+    Nothing is dropped that could be in the list; ``candidate_cap`` limits the diversity pick only when it is set.
     """
     cfg = cfg or RankerConfig()
     rows = with_objectives(matched, cfg, breakdowns)
     by_pass = [F.desc("passes")]
     if cfg.use_pareto:
         # Layers are defined over the gated rows, so the gate is settled per user first.
-        gate = rows.groupBy("u_user_id").agg(F.max("passes").alias("_any"))
-        rows = rows.join(gate, "u_user_id").filter(F.col("passes") | ~F.col("_any")).drop("_any")
+        rows = relaxed(rows).drop("used_relaxed")
         rows = pareto_layers(materialize(rows, "pareto-input"), "u_user_id", "p_job_id", ["relevance", "feasibility", "growth"])
         rows = rows.withColumn("final_score", F.try_divide(F.lit(1.0), F.col("pareto_rank").cast("double")))
     diverse = cfg.diversity_factor > 0
-    if diverse and cfg.candidate_cap > 0:
-        limit = cfg.candidate_cap
-    elif not cfg.calibration:
-        limit = cfg.top_k
-    elif cfg.top_k <= 100:
-        # Past position 100 the position factor is not positive, so these rows cannot be in the top.
-        limit = 101
-    else:
-        limit = None
     order = by_pass + score_order()
-    if limit:
-        top = top_per_key(rows, ["u_user_id"], order, limit, "score_rank", row="p_job_id")
-    else:
-        w = Window.partitionBy("u_user_id").orderBy(*order)
-        top = rows.withColumn("score_rank", F.row_number().over(w))
-    top = relax(top)
     if diverse:
+        top = relax(pickable(rows, cfg))
+        if cfg.candidate_cap > 0:
+            top = top_per_key(top, ["u_user_id"], order, cfg.candidate_cap, "score_rank", row="p_job_id")
         top = diversify(top, cfg)
+    elif not cfg.calibration or cfg.top_k <= 100:
+        # Past position 100 the position factor is not positive, so these rows cannot be in a shorter top list.
+        limit = 101 if cfg.calibration else cfg.top_k
+        top = relax(top_per_key(rows, ["u_user_id"], order, limit, "score_rank", row="p_job_id")).withColumn("position", F.col("score_rank") - 1)
     else:
-        top = top.withColumn("position", F.col("score_rank") - 1)
+        top = positions(relaxed(rows), ["u_user_id"], order).withColumn("score_rank", F.col("position") + 1)
     if cfg.calibration:
         top = calibrate(top)
     last = [F.desc(F.round("final_score", 9)), F.col("position")] if cfg.calibration else [F.col("position")]
-    return top_per_key(top, ["u_user_id"], last, cfg.top_k, "rank")
+    return top_per_key(top, ["u_user_id"], last, cfg.top_k, "rank", row="p_job_id")
+
+
+def relaxed(rows: DataFrame, user: str = "u_user_id") -> DataFrame:
+    """Passing rows of each user, or all rows when none passes; the gate is combined map-side."""
+    gate = rows.groupBy(user).agg(F.max("passes").alias("_any"))
+    return join_on(rows, gate, [user]).withColumn("used_relaxed", ~F.col("_any")).filter(F.col("passes") | F.col("used_relaxed")).drop("_any")
+
+
+def pickable(rows: DataFrame, cfg: RankerConfig, user: str = "u_user_id") -> DataFrame:
+    """Rows that the greedy diversity pick can choose, exactly.
+
+    Rows of one user that agree in company, industry and work type always have the same penalty, so only the first ``top_k`` of them can be
+    picked. And as a penalty takes at most the share ``diversity_factor``, no row below that share of the
+    user's ``top_k``-th score can.
+    """
+    features = ["p_company", "p_industry", "p_work_type"]
+    first = top_per_key(relaxed(rows, user).drop("used_relaxed"), [user, *features], score_order(), cfg.top_k, "_of_kind", row="p_job_id").drop("_of_kind")
+    first = materialize(first, "pickable")
+    best = top_per_key(first.select(user, "p_job_id", "final_score", "match_score"), [user], score_order(), cfg.top_k, "_r", row="p_job_id")
+    least = best.groupBy(user).agg(F.when(F.count(F.lit(1)) >= cfg.top_k, F.min("final_score") * (1 - min(1.0, cfg.diversity_factor))).alias("_least"))
+    return join_on(first, least, [user]).filter(F.col("_least").isNull() | (F.col("final_score") >= F.col("_least") - 1e-8)).drop("_least")
+
+
+def positions(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """Position of each row in its key's order, from 0.
+
+    Rows are range-partitioned by key and order; a partition numbers its own rows and starts from the counts before it, so no key is
+    sorted in one task.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = materialize(df.repartitionByRange(n, *[F.col(k) for k in keys], *order).withColumn("_part", F.spark_partition_id()), "positions")
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n")).select(*keys, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))
+    return join_on(placed.withColumn("_own", own), counts, [*keys, "_part"]).withColumn("position", F.col("_before") + F.col("_own") - 1).drop("_before", "_own", "_part")
 
 
 def ranking_summary(ranked: DataFrame) -> DataFrame:
@@ -258,18 +281,18 @@ def ranking_summary(ranked: DataFrame) -> DataFrame:
 
 
 def rescale(df: DataFrame, keys: Sequence[str], value: str, lo: float = 0.0, hi: float = 1.0) -> DataFrame:
-    """Min-max rescale inside each key; all-equal groups get ``lo``.
+    """Min-max rescale inside each key; all-equal groups get ``lo``, a NULL value stays NULL, NULL is a key like others.
 
     Aggregated and joined back instead of a window, so a hot key is combined map-side.
     """
     ends = df.groupBy(*keys).agg(F.min(value).alias("_min"), F.max(value).alias("_max"))
-    return df.join(ends, list(keys)).withColumn(
-        "scaled", F.when(F.col("_min") == F.col("_max"), lo)
+    return join_on(df, ends, list(keys)).withColumn(
+        "scaled", F.when(F.col(value).isNull(), None).when(F.col("_min") == F.col("_max"), lo)
         .otherwise(lo + F.try_divide((F.col(value) - F.col("_min")) * (hi - lo), F.col("_max") - F.col("_min")))).drop("_min", "_max")
 
 
 def percentile_rank(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Mid-rank percentile of each row.
+    """Mid-rank percentile of each row; a NULL value has none and does not count, NULL is a key like others.
 
     Distinct values with their counts are range-partitioned; running sums stay inside a
     partition and start from the totals of the partitions before it, so a key with many
@@ -277,13 +300,13 @@ def percentile_rank(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame
     """
     keys = list(keys)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     counts = materialize(counts.repartitionByRange(n, *keys, value).withColumn("_part", F.spark_partition_id()), "ranks")
     sums = counts.groupBy(*keys, "_part").agg(F.sum("_n").alias("_s"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*keys, "_part", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"),
                        F.sum("_s").over(Window.partitionBy(*keys)).alias("_total"))
     upto = Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranks = counts.withColumn("_upto", F.sum("_n").over(upto)).join(sums, [*keys, "_part"])
+    ranks = join_on(counts.withColumn("_upto", F.sum("_n").over(upto)), sums, [*keys, "_part"])
     ranks = ranks.select(*keys, value, ((F.col("_before") + F.col("_upto") - F.col("_n") * 0.5) / F.col("_total")).alias("percentile"))
-    return df.join(ranks, [*keys, value])
+    return join_on(df, ranks, [*keys, value], "left")

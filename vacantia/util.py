@@ -84,6 +84,15 @@ def top_per_key(
     return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k)
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on equally named keys in which NULL meets NULL, so that rows with a missing key are kept."""
+    r = right.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return left.join(r, on, how).drop(*[f"__{k}" for k in keys])
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition by the grouping keys over the full shuffle width.
 

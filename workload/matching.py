@@ -174,7 +174,7 @@ def ranked(cfg):
 
 
 def capped(spark, d):
-    rows = rk.with_objectives(matched(spark, d)).filter("passes")
+    rows = rk.relaxed(rk.with_objectives(matched(spark, d)))
     top = top_per_key(rows, ["u_user_id"], rk.score_order(), 2000, "score_rank", row="p_job_id")
     return ids(top, "score_rank", r6e("final_score").alias("final_score"))
 
@@ -377,7 +377,7 @@ ORACLE = {
     "w07_calibrated_ranking": f"""{W}, o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(final_score,9) DESC, round(match_score,9) DESC, job_id) - 1 AS pos FROM gated),
         c AS (SELECT *, final_score * (1.0 - pos * 0.01) * CASE WHEN views > 1000 THEN 0.95 ELSE 1.0 END * CASE WHEN days > 30 THEN 0.9 ELSE 1.0 END AS fs FROM o)
         SELECT user_id, job_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY round(fs,9) DESC, pos) AS INT) AS rank, round(fs + 1e-9, 6) AS final_score, used_relaxed FROM c QUALIFY rank <= 10""",
-    "w10_candidate_cap": f"{W} SELECT user_id, job_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY round(final_score,9) DESC, round(match_score,9) DESC, job_id) AS INT) AS score_rank, round(final_score + 1e-9, 6) AS final_score FROM scored WHERE passes QUALIFY score_rank <= 2000",
+    "w10_candidate_cap": f"{W} SELECT user_id, job_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY round(final_score,9) DESC, round(match_score,9) DESC, job_id) AS INT) AS score_rank, round(final_score + 1e-9, 6) AS final_score FROM gated QUALIFY score_rank <= 2000",
     "c21_ranking_explanation": f"{W}, {_TOP10} SELECT user_id, job_id, {_REXP} AS explanation FROM top10",
     "a18_ranking_summary": f"""{W}, {_TOP10} SELECT user_id, count(*) AS total_jobs, round(avg(relevance) + 1e-9, 6) AS avg_relevance, round(avg(feasibility) + 1e-9, 6) AS avg_feasibility, round(avg(growth) + 1e-9, 6) AS avg_growth,
         round(max(relevance) + 1e-9, 6) AS top_relevance, round(max(feasibility) + 1e-9, 6) AS top_feasibility, round(max(growth) + 1e-9, 6) AS top_growth, count(*) FILTER (final_score >= 0.8) AS high_quality,
