@@ -16,12 +16,15 @@ from vacantia.util import materialize, shared_dir
 __all__ = ["Memo", "components", "keyed", "materialize", "partitions", "shared_dir", "ship", "slices", "table", "top_partitions"]
 
 _PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the Python workers this package, once per application."""
+    """Give the Python workers this package, once per application, and whole texts in batches of fewer rows than Spark's default (a session's own number stays)."""
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH, "10000") == "10000":
+        spark.conf.set(_BATCH, "1000")
     if sc.applicationId not in _shipped:
         to = os.path.join(tempfile.mkdtemp(prefix="vacantia-src-"), "vacantia_llm")
         sc.addPyFile(shutil.make_archive(to, "zip", os.path.dirname(_PACKAGE), os.path.basename(_PACKAGE)))
@@ -48,6 +51,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, nbytes: int = 8 <
         while at < b.num_rows:
             yield b.slice(at, step)
             at += step
+    pa.default_memory_pool().release_unused()  # a worker lives on
 
 
 class Memo(dict):

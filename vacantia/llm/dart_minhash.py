@@ -166,7 +166,7 @@ def promising(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
 
 
 def shingle_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``node, shingles`` (sorted hashes as bytes) of the wanted ``node, id, digest``."""
+    """``node, shingles`` (hashes) of the wanted ``node, id, digest``."""
     few = wanted.count() <= BROADCAST_ROWS
     wanted = wanted.withColumnRenamed("id", "first")
     picked = rows.join(F.broadcast(wanted) if few else wanted, F.col("id").eqNullSafe(F.col("first"))).select("node", "digest", "text")
@@ -179,31 +179,20 @@ def shingle_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
                 words = words_of(text)
                 if digest_of(words) == digest:  # an id may stand at several texts
                     nodes.append(node)
-                    sets.append(shingles(words, hashed).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "shingles"])
+                    sets.append(shingles(words, hashed).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    return picked.mapInArrow(run, "node bigint, shingles binary").dropDuplicates(["node"])
+    return picked.mapInArrow(run, "node bigint, shingles array<bigint>").dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs ``a, b`` whose shingle sets have a Jaccard similarity of at least the threshold."""
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, rows=64):
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.sort(np.concatenate([x, y]))
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(common >= threshold * (len(both) - common))
-            yield b.filter(pa.array(keep, pa.bool_())).select([0, 1])
-
-    # The second side's sets are only fetched for pairs whose sizes can reach the threshold.
-    size = lambda c: F.octet_length(c)
-    sized = pairs.join(one, "a").join(two, "b").where((size("x") >= threshold * size("y")) & (size("y") >= threshold * size("x")))
-    return sized.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    common, both = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
+    can = (F.size("x") >= threshold * F.size("y")) & (F.size("y") >= threshold * F.size("x"))
+    # Row by row in the JVM: batches of many long sets for Python could outgrow an executor.
+    return pairs.join(one, "a").join(two, "b").where(can).where(common >= threshold * (both - common)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
