@@ -162,8 +162,8 @@ def merge_options(presets: DataFrame, values: DataFrame, value: str = "value", p
     return p.unionByName(rest).select(value, "grp", "ord", F.lower(value).alias("low")).orderBy("grp", "ord", "low", value)
 
 
-def distinct_sources(df: DataFrame, limit: int = 40) -> DataFrame:
-    return df.filter(F.trim("source") != "").select("source").distinct().orderBy("source").limit(limit)
+def distinct_sources(df: DataFrame, limit: int | None = None) -> DataFrame:
+    return df.filter(F.trim("source") != "").select("source").distinct() if limit is None else df.filter(F.trim("source") != "").select("source").distinct().orderBy("source").limit(limit)
 
 
 def latest_history(history: DataFrame) -> DataFrame:

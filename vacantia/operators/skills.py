@@ -79,8 +79,8 @@ def map_labels(mentions: DataFrame, label: str = "label") -> DataFrame:
     return mentions.withColumn("skill_type", F.coalesce(kind, F.lit("SKILL"))).filter("skill_type <> 'O'")
 
 
-def candidate_phrases(df: DataFrame, max_len: int = 64, max_n: int = 120) -> DataFrame:
-    """Short distinct phrases of each posting in field order, at most ``max_n`` per posting."""
+def candidate_phrases(df: DataFrame, max_len: int = 64, max_n: int | None = None) -> DataFrame:
+    """Short distinct phrases of each posting in field order; ``max_n``: at most so many per posting."""
     def field(name: str) -> Column:
         if name not in df.columns:
             return F.array().cast("array<string>")
@@ -95,7 +95,7 @@ def candidate_phrases(df: DataFrame, max_len: int = 64, max_n: int = 120) -> Dat
     first = F.filter(F.zip_with(short, F.sequence(F.lit(1), F.greatest(F.size(short), F.lit(1))),
                                 lambda x, i: F.struct(x.alias("phrase"), i.alias("pos"))),
                      lambda e: e["phrase"].isNotNull() & (F.array_position(low, F.lower(e["phrase"])) == e["pos"]))
-    return df.select("job_id", F.posexplode(F.slice(first, 1, max_n)).alias("pos", "e")).select(
+    return df.select("job_id", F.posexplode(first if max_n is None else F.slice(first, 1, max_n)).alias("pos", "e")).select(
         "job_id", "pos", F.col("e.phrase").alias("phrase"))
 
 

@@ -64,7 +64,7 @@ def feed(spark, d):
 
 
 def detail_shape(spark, d):
-    return c.listing_shape(unified(spark, d).filter("source = 'jobs_ac_uk'"))
+    return c.listing_shape(unified(spark, d))
 
 
 def paged(spark, d):
@@ -73,7 +73,7 @@ def paged(spark, d):
 
 
 def export_csv(spark, d):
-    path = sinks.export_csv(postings(spark, d), "original_scraped_at", "raw_data", limit=500)
+    path = sinks.export_csv(postings(spark, d), "original_scraped_at", "raw_data")
     cols = ["job_id", "title", "company", "salary"]
     return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).select(*cols)
 
@@ -116,8 +116,8 @@ QUERIES = {
     "l02_newest_history": lambda s, d: c.newest(history(s, d), "matched_at", 100, "event_id").select("user_id", "job_id", "matched_at"),
     "l03_w02_j18_recommendation_feed": feed,
     "w02_latest_history_per_posting": lambda s, d: c.latest_history(history(s, d)).select("user_id", "job_id", "matched_at", r6("final_score").alias("final_score")),
-    "u02_distinct_types": lambda s, d: c.distinct_union(unified(s, d), "job_type", "contract_type", 80),
-    "u02_distinct_categories": lambda s, d: c.distinct_union(unified(s, d), "category", "subcategory", 80),
+    "u02_distinct_types": lambda s, d: c.distinct_union(unified(s, d), "job_type", "contract_type", None),
+    "u02_distinct_categories": lambda s, d: c.distinct_union(unified(s, d), "category", "subcategory", None),
     "u04_first_spelling_per_label": labels_first_spelling,
     "f16_category_labels": category_labels,
     "u05_presets_then_values": options,
@@ -163,8 +163,8 @@ ORACLE = {
         SELECT user_id, r.job_id, round(final_score,6) AS final_score, CAST(rank AS INT) AS rank, a.title, a.location, a.employer AS company, a.salary
         FROM r LEFT JOIN src_a a ON a.job_id = r.job_id""",
     "w02_latest_history_per_posting": f"WITH {HIST} SELECT user_id, job_id, matched_at, round(final_score,6) AS final_score FROM hist QUALIFY row_number() OVER (PARTITION BY user_id, job_id ORDER BY matched_at DESC, event_id DESC) = 1",
-    "u02_distinct_types": f"{W} SELECT trim(job_type) AS value FROM unified WHERE trim(job_type) <> '' UNION SELECT trim(contract_type) FROM unified WHERE trim(contract_type) <> '' ORDER BY 1 LIMIT 80",
-    "u02_distinct_categories": f"{W} SELECT trim(category) AS value FROM unified WHERE trim(category) <> '' UNION SELECT trim(subcategory) FROM unified WHERE trim(subcategory) <> '' ORDER BY 1 LIMIT 80",
+    "u02_distinct_types": f"{W} SELECT trim(job_type) AS value FROM unified WHERE trim(job_type) <> '' UNION SELECT trim(contract_type) FROM unified WHERE trim(contract_type) <> ''",
+    "u02_distinct_categories": f"{W} SELECT trim(category) AS value FROM unified WHERE trim(category) <> '' UNION SELECT trim(subcategory) FROM unified WHERE trim(subcategory) <> ''",
     "u04_first_spelling_per_label": f"""{W}, v AS (SELECT trim(job_type) AS value FROM unified WHERE trim(job_type) <> '' UNION SELECT trim(contract_type) FROM unified WHERE trim(contract_type) <> '')
         SELECT {_KEY.format('value')} AS label_key, min(value) AS value FROM v GROUP BY 1""",
     "f16_category_labels": f"""{W}, v AS (SELECT trim(category) AS value FROM unified WHERE trim(category) <> '' UNION SELECT trim(contract_type) FROM unified WHERE trim(contract_type) <> ''),
@@ -177,8 +177,8 @@ ORACLE = {
     "u06_distinct_sources": f"{W} SELECT DISTINCT source FROM unified",
     "p35_p21_listing_shape": f"""{W} SELECT job_id, title, coalesce(nullif(employer,''), nullif(company,''), 'Unknown Company') AS company, location,
         coalesce(nullif(salary,''), 'Salary not provided') AS salary, coalesce(nullif(job_type,''),'Full-time') AS job_type, source,
-        coalesce(nullif(trim(apply_url),''), nullif(trim(url),'')) AS job_url, strftime(closing_date, '%Y-%m-%d') AS closing_date FROM unified WHERE source='jobs_ac_uk'""",
+        coalesce(nullif(trim(apply_url),''), nullif(trim(url),'')) AS job_url, strftime(closing_date, '%Y-%m-%d') AS closing_date FROM unified""",
     "s09_full_rebuild": f"{W} SELECT source, count(*) AS n, count(DISTINCT job_id) AS ids FROM postings GROUP BY 1",
-    "s13_export_csv": f"{W} SELECT job_id, title, company, salary FROM postings ORDER BY original_scraped_at DESC NULLS LAST, job_id LIMIT 500",
+    "s13_export_csv": f"{W} SELECT job_id, title, company, salary FROM postings",
     "s14_export_json": f"{W} SELECT job_id, title, strftime(original_scraped_at, '%Y-%m-%dT%H:%M:%S') AS original_scraped_at FROM postings ORDER BY original_scraped_at DESC NULLS LAST, job_id LIMIT 300",
 }

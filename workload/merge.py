@@ -202,10 +202,10 @@ ORACLE = {
         FROM postings GROUP BY source""",
     "j01_only_new_rows": f"""{WM} SELECT 'a' AS source, job_id FROM src_a WHERE NOT EXISTS (SELECT 1 FROM merged m WHERE m.job_id = 'jobs_ac_uk_' || src_a.job_id)
         UNION ALL SELECT 'b', job_id FROM src_b WHERE NOT EXISTS (SELECT 1 FROM merged m WHERE m.job_id = 'adzuna_' || src_b.job_id)""",
-    "j02_drop_known_hashes": f"{WM} SELECT job_id, dedup_hash FROM unified WHERE dedup_hash NOT IN (SELECT dedup_hash FROM merged)",
+    "j02_drop_known_hashes": f"{WM} SELECT job_id, dedup_hash FROM unified x WHERE NOT EXISTS (SELECT 1 FROM merged m WHERE m.dedup_hash = x.dedup_hash)",
     "j02_drop_known_hashes_refresh": f"""{WM} SELECT job_id, dedup_hash FROM unified x WHERE NOT EXISTS (
         SELECT 1 FROM merged m WHERE m.dedup_hash = x.dedup_hash AND m.job_id <> x.job_id)""",
-    "s08_insert_if_absent": f"{WM} SELECT job_id, title, original_scraped_at FROM unified WHERE job_id NOT IN (SELECT job_id FROM merged)",
+    "s08_insert_if_absent": f"{WM} SELECT job_id, title, original_scraped_at FROM unified x WHERE NOT EXISTS (SELECT 1 FROM merged m WHERE m.job_id = x.job_id) QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY original_scraped_at DESC NULLS LAST, dedup_hash) = 1",
     "s07_upsert_last_write_wins": f"""{WM}, batch AS (SELECT job_id, 're-scraped ' || title AS title, salary, original_scraped_at FROM unified
         WHERE original_scraped_at >= TIMESTAMP '1997-06-01')
         SELECT * FROM batch UNION ALL SELECT job_id, title, salary, original_scraped_at FROM merged WHERE job_id NOT IN (SELECT job_id FROM batch)""",
