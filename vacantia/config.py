@@ -21,6 +21,7 @@ DEMAND_WORDS = (
 TOP_SCHOOL_RANKS = ("985", "211", "QS Top 100")
 
 
+# fixed values: weights and thresholds of the matcher, the ranker and the phrase mapper
 @dataclass(frozen=True)
 class MatcherConfig:
     skill_weight: float = 0.40

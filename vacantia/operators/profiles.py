@@ -75,8 +75,9 @@ def strip_controls(c: Column) -> Column:
     return F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
 
 
-def single_line(c: Column, limit: int) -> Column:
-    return F.substring(strip(strip_controls(c)), 1, limit)
+def single_line(c: Column, limit: int | None = None) -> Column:
+    line = strip(strip_controls(c))
+    return line if limit is None else F.substring(line, 1, limit)
 
 
 def clamp(c: Column, lo: float, hi: float) -> Column:
@@ -84,44 +85,46 @@ def clamp(c: Column, lo: float, hi: float) -> Column:
     return F.when(c.isNull() | F.isnan(c), F.lit(lo)).otherwise(F.least(F.greatest(c, F.lit(lo)), F.lit(hi)))
 
 
-def cap_list(c: Column, n: int, item: int) -> Column:
-    items = F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: single_line(x, item))
-    return F.slice(F.filter(items, lambda x: x != ""), 1, n)
+def cap_list(c: Column, n: int | None, item: int | None) -> Column:
+    items = F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: single_line(x, item)), lambda x: x != "")
+    return items if n is None else F.slice(items, 1, n)
 
 
-def sanitize(profiles: DataFrame, default_year: int) -> DataFrame:
-    """Clamp numbers and clean texts of nested profiles; no block is removed."""
+def sanitize(profiles: DataFrame, default_year: int, cut: bool = False) -> DataFrame:
+    """Clamp numbers and clean texts of nested profiles; no block is removed. Lists and texts keep their length unless ``cut`` asks for the limits."""
+    most = (lambda n: n) if cut else (lambda n: None)
+    text = lambda c: F.substring(strip_controls(c), 1, TEXT_MAX) if cut else strip_controls(c)
     def year(y: Column) -> Column:
         return F.when(y.isNull() | (y == 0), default_year).otherwise(F.least(F.greatest(y, F.lit(YEAR_MIN)), F.lit(YEAR_MAX)))
     c = F.col("constraints")
     nonneg = lambda x: F.when(x.isNotNull(), F.greatest(F.lit(0.0), x))
-    name = single_line(F.col("name"), NAME_MAX)
+    name = single_line(F.col("name"), most(NAME_MAX))
     langs = F.filter(F.transform(F.map_entries("languages"), lambda e: F.struct(
-        single_line(e["key"], 80).alias("key"), single_line(e["value"], 200).alias("value"))), lambda e: (e["key"] != "") & (e["value"] != ""))
+        single_line(e["key"], most(80)).alias("key"), single_line(e["value"], most(200)).alias("value"))), lambda e: (e["key"] != "") & (e["value"] != ""))
     out = profiles.withColumns({
         "name": F.when(name != "", name).otherwise(F.col("name")),
-        "education": F.transform("education", lambda e: e.withField("major", single_line(e["major"], 500)).withField("school", single_line(e["school"], 500))
-                                 .withField("ranking", single_line(e["ranking"], 200)).withField("graduation_year", year(e["graduation_year"]))
+        "education": F.transform("education", lambda e: e.withField("major", single_line(e["major"], most(500))).withField("school", single_line(e["school"], most(500)))
+                                 .withField("ranking", single_line(e["ranking"], most(200))).withField("graduation_year", year(e["graduation_year"]))
                                  .withField("gpa", F.when(e["gpa"].isNotNull(), clamp(e["gpa"], 0.0, 5.0)))),
-        "skills": F.transform(F.filter("skills", lambda s: single_line(F.coalesce(s["name"], F.lit("")), 200) != ""), lambda s: s
-                              .withField("name", single_line(s["name"], 200))
-                              .withField("category", single_line(F.coalesce(empty_to_null(s["category"]), F.lit("General")), 120))
+        "skills": F.transform(F.filter("skills", lambda s: single_line(F.coalesce(s["name"], F.lit("")), most(200)) != ""), lambda s: s
+                              .withField("name", single_line(s["name"], most(200)))
+                              .withField("category", single_line(F.coalesce(empty_to_null(s["category"]), F.lit("General")), most(120)))
                               .withField("proficiency", clamp(s["proficiency"], 0.0, 1.0)).withField("years_of_experience", clamp(s["years_of_experience"], 0.0, 60.0))),
-        "preferences": F.transform("preferences", lambda p: p.withField("value", F.substring(strip_controls(F.coalesce(p["value"], F.lit(""))), 1, TEXT_MAX))
+        "preferences": F.transform("preferences", lambda p: p.withField("value", text(F.coalesce(p["value"], F.lit(""))))
                                    .withField("weight", clamp(p["weight"], 0.0, 1.0))),
-        "constraints": c.withField("locations", cap_list(c["locations"], LIST_MAX, 200)).withField("industries", cap_list(c["industries"], LIST_MAX, 200))
-                        .withField("company_types", cap_list(c["company_types"], LIST_MAX, 120)).withField("exclude_companies", cap_list(c["exclude_companies"], LIST_MAX, 200))
-                        .withField("work_type", single_line(c["work_type"], 120)).withField("min_salary", nonneg(c["min_salary"])).withField("max_salary", nonneg(c["max_salary"]))
+        "constraints": c.withField("locations", cap_list(c["locations"], most(LIST_MAX), most(200))).withField("industries", cap_list(c["industries"], most(LIST_MAX), most(200)))
+                        .withField("company_types", cap_list(c["company_types"], most(LIST_MAX), most(120))).withField("exclude_companies", cap_list(c["exclude_companies"], most(LIST_MAX), most(200)))
+                        .withField("work_type", single_line(c["work_type"], most(120))).withField("min_salary", nonneg(c["min_salary"])).withField("max_salary", nonneg(c["max_salary"]))
                         .withField("max_commute_time", F.when(c["max_commute_time"].isNotNull(), F.least(F.greatest(c["max_commute_time"], F.lit(0)), F.lit(1440)))),
-        "work_experience": F.transform("work_experience", lambda w: w.withField("company", single_line(w["company"], 300)).withField("position", single_line(w["position"], 300))
+        "work_experience": F.transform("work_experience", lambda w: w.withField("company", single_line(w["company"], most(300))).withField("position", single_line(w["position"], most(300)))
                                        .withField("duration_years", clamp(w["duration_years"], 0.0, 60.0))
-                                       .withField("responsibilities", cap_list(w["responsibilities"], 200, 2000)).withField("achievements", cap_list(w["achievements"], 200, 2000))),
-        "certifications": cap_list(F.col("certifications"), LIST_MAX, 500),
-        "languages": language_map(F.slice(langs, 1, 80)),
-        "projects": F.transform("projects", lambda p: p.withField("name", single_line(p["name"], 300)).withField("description", F.substring(strip_controls(p["description"]), 1, TEXT_MAX))
-                                .withField("url", single_line(p["url"], 2000)).withField("tech_stack", cap_list(p["tech_stack"], 100, 120))),
+                                       .withField("responsibilities", cap_list(w["responsibilities"], most(200), most(2000))).withField("achievements", cap_list(w["achievements"], most(200), most(2000)))),
+        "certifications": cap_list(F.col("certifications"), most(LIST_MAX), most(500)),
+        "languages": language_map(F.slice(langs, 1, 80) if cut else langs),
+        "projects": F.transform("projects", lambda p: p.withField("name", single_line(p["name"], most(300))).withField("description", text(p["description"]))
+                                .withField("url", single_line(p["url"], most(2000))).withField("tech_stack", cap_list(p["tech_stack"], most(100), most(120)))),
     })
-    return out.withColumn("user_id", single_line(F.col("user_id"), 64))
+    return out.withColumn("user_id", single_line(F.col("user_id"), most(64)))
 
 
 def violations(profiles: DataFrame) -> DataFrame:
