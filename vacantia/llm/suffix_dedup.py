@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -35,8 +35,8 @@ from vacantia.llm.dart_minhash import mix
 
 #: Bytes of text hashed at once; bytes of runs in a bin, and of one anchor in a bin at most.
 CHUNK, BIN, ANCHOR_MOST = 1 << 20, 1 << 20, 1 << 19
-#: Texts that are looked up by broadcasting their digests; more are joined by shuffle.
-BROADCAST_ROWS = 300_000
+#: Bytes of what is known of texts that are broadcast to them; more is joined by shuffle.
+BROADCAST_BYTES = 48 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * _P)
 
@@ -130,15 +130,16 @@ def anchored(rows: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, digest binary, at array<int>, n array<int>, anchor array<bigint>, run array<bigint>")
 
 
-def looked_up(rows: DataFrame, wanted: DataFrame, count: int, how: str) -> DataFrame:
-    """Join texts with what is known by ``digest``; texts stay in place if that is small."""
-    return rows.join(F.broadcast(wanted) if count <= BROADCAST_ROWS else wanted, "digest", how)
+def looked_up(rows: DataFrame, wanted: DataFrame, listed: str, how: str) -> DataFrame:
+    """Join texts with what is known by ``digest``; texts stay in place if that is small, its array ``listed`` counted by length."""
+    size = wanted.agg(F.sum(F.lit(100) + 60 * F.greatest(F.lit(0), F.size(listed)))).first()[0] or 0
+    return rows.join(F.broadcast(wanted) if size <= BROADCAST_BYTES else wanted, "digest", how)
 
 
 def cut_out(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """``node, id, anchor, at, n, total, crowded, bytes`` of the wanted runs, each a struct in ``runs`` of ``digest, node, first, runs``."""
     # Only one of equal texts is read: that of the first id.
-    picked = looked_up(rows, wanted, wanted.count(), "inner").where(F.col("id").eqNullSafe(F.col("first"))).select("node", "id", "text", "runs")
+    picked = looked_up(rows, wanted, "runs", "inner").where(F.col("id").eqNullSafe(F.col("first"))).select("node", "id", "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, nbytes=CHUNK):
@@ -289,10 +290,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = spans.unionByName(binned(cut.where("NOT crowded"), max(partitions(spark), -(-size // BIN)), length, stays))
     spans = spans.unionByName(spread(cut.where("crowded"), length, stays))
 
-    spans = spans.groupBy("node").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))  # of one text
+    # Spans of a text that touch become one.
+    before = Window.partitionBy("node").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    island = F.count_if(F.col("new")).over(Window.partitionBy("node").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    spans = spans.distinct().withColumn("new", F.coalesce(F.col("start") > F.max("end").over(before), F.lit(True))).withColumn("island", island)
+    spans = spans.groupBy("node", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    spans = spans.groupBy("node").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     found = nodes.select("node", "digest", F.col("id").alias("first"), "copies").join(spans, "node", "left" if stays else "inner")
     found = materialize(found.where("spans IS NOT NULL OR copies > 1").select("digest", "first", "copies", "spans"), "spans")
-    joined = looked_up(rows, found, found.count(), "left")
+    joined = looked_up(rows, found, "spans", "left")
     later = F.coalesce((F.col("copies") > 1) & ~F.col("id").eqNullSafe(F.col("first")), F.lit(False)) if stays else F.lit(False)
     whole = F.array(F.struct(F.lit(0).alias("start"), F.octet_length("text").alias("end")))
     return _without(joined.select("id", "text", F.when(later, whole).otherwise(F.col("spans")).alias("spans"), *(["row"] if carry else [])))
