@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from vacantia.config import SkillConfig
+from vacantia.functions import scoring as sc
 from vacantia.functions import text as tx
 from vacantia.operators import similarity as sim
 from vacantia.operators import skills as k
@@ -46,6 +47,29 @@ def sections_of(s, d):
     return docs.select("doc_id", F.char_length(k.extraction_text("text")).alias("n"), F.char_length(k.requirement_text("text")).alias("n_req"))
 
 
+PARTED_SQL = "SELECT p_partkey, p_partkey % 4 AS form, p_name, p_brand, p_type FROM {part}"
+
+
+def titled_sections(s, d):
+    """Descriptions written from the parts by turns: titled sections, bullets, a line with a cue, none of these."""
+    t = F.lit
+    p = bind(s, d, PARTED_SQL)
+    text = (F.when(F.col("form") == 0, F.concat(t("About us:\nWe must sell "), "p_name", t("\n\nWhat you will need:\nSkill in "), "p_type", t(", 2 years.\nand "), "p_brand", t("\nBenefits\nLunch, as required\nEducation\nSome "), "p_name", t(", 1st class.")))
+            .when(F.col("form") == 1, F.concat(t("We sell "), "p_name", t(".\n- knows "), "p_type", t("\n2) likes "), "p_brand", t("\n* our benefits\nThe end, and that is all of it.")))
+            .when(F.col("form") == 2, F.concat(t("We sell "), "p_name", t(".\nYou should like "), "p_brand", t(". Really.\nNo more of that, 1 or 2.")))
+            .otherwise(F.concat(t("We sell "), "p_name", t(" and "), "p_brand", t("."))))
+    return p.select("p_partkey", k.requirement_text(text).alias("needs"), k.extraction_text(text).alias("read"))
+
+
+def scored_words(s, d):
+    """Education, seniority and size scores of texts with every kind of word."""
+    p = bind(s, d, "SELECT p_partkey, p_name, p_partkey % 7 AS e, p_partkey % 5 AS s, p_partkey % 4 AS z FROM {part}")
+    pick = lambda c, words: F.get(F.array(*[F.lit(w) for w in words]), F.col(c).cast("int"))
+    edu, lead, size = pick("e", ("PhD in", "MSc of", "Bachelor of", "a diploma in", "school for", "", None)), pick("s", ("Junior ", "Senior ", "Head of ", "", "Graduate ")), pick("z", ("Startup for ", "201-500 in ", "Multinational ", "firm of "))
+    return p.select("p_partkey", sc.education_score(F.concat_ws(" ", edu, F.when(F.col("e") < 5, F.col("p_name")))).alias("education"), sc.title_seniority(F.concat(lead, F.col("p_name"))).alias("seniority"),
+                    sc.company_size_score(F.concat(size, F.lit("makers"))).alias("size"))
+
+
 def phrases(s, d):
     u = unified(s, d).filter("source = 'jobs_ac_uk'")
     return u.select("job_id", F.posexplode(tx.split_phrases("requirements")).alias("pos", "phrase"))
@@ -209,6 +233,8 @@ RT = f"""{M}, {BEST}, a AS (SELECT job_id, string_agg(normalized, '; ' ORDER BY
 COS = "cs AS (SELECT a.vec_id AS phrase, b.vec_id AS label_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS similarity FROM embeddings a CROSS JOIN embeddings b)"
 QUERIES = {
     "p24_w13_extraction_text": sections_of,
+    "p24_w13_titled_sections": titled_sections,
+    "p19_word_scores": scored_words,
     "p25_requirement_phrases": phrases,
     "p26_candidate_phrases": candidates,
     "p27_label_types": labels,
@@ -243,6 +269,13 @@ QUERIES = {
     "t14_canonical_names": canonical,
 }
 ORACLE = {
+    "p24_w13_titled_sections": r"""WITH x AS (SELECT p_partkey, CASE p_partkey % 4
+          WHEN 0 THEN 'Skill in ' || p_type || ', 2 years.' || chr(10) || 'and ' || p_brand || chr(10) || 'Some ' || p_name || ', 1st class.'
+          WHEN 1 THEN '- knows ' || p_type || chr(10) || '2) likes ' || p_brand
+          WHEN 2 THEN 'You should like ' || p_brand || '. Really.' ELSE '' END AS needs, 'We sell ' || p_name || ' and ' || p_brand || '.' AS whole FROM part)
+        SELECT p_partkey, needs, CASE WHEN needs = '' THEN whole ELSE needs END AS read FROM x""",
+    "p19_word_scores": """SELECT p_partkey, [1.0, 0.8, 0.6, 0.4, 0.5, NULL, NULL][p_partkey % 7 + 1]::DOUBLE AS education, [0.85, 0.45, 0.35, 0.65, 0.85][p_partkey % 5 + 1]::DOUBLE AS seniority,
+        [0.75, 0.65, 0.55, 0.6][p_partkey % 4 + 1]::DOUBLE AS size FROM part""",
     "p24_w13_extraction_text": "SELECT doc_id, CAST(length(text) AS INT) AS n, 0 AS n_req FROM documents",
     "p25_requirement_phrases": f"{W}, p AS (SELECT job_id, {_PH} AS ph FROM unified WHERE source='jobs_ac_uk'), x AS (SELECT job_id, unnest(ph) AS phrase, unnest(range(len(ph))) AS pos FROM p) SELECT job_id, CAST(pos AS INT) AS pos, phrase FROM x",
     "p26_candidate_phrases": f"""{W}, p AS (SELECT job_id, list_filter(list_transform({_CAND}, lambda x: trim(x)), lambda x: x <> '' AND length(x) <= 64) AS ph FROM unified WHERE source='jobs_ac_uk'),
