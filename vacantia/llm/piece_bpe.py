@@ -39,7 +39,7 @@ def read_vocabulary(path: str) -> dict:
 
 
 class Encoder:
-    def __init__(self, vocabulary: dict, words: int = 250_000, pairs: int = 200_000) -> None:
+    def __init__(self, vocabulary: dict, words: int = 100_000, pairs: int = 100_000) -> None:
         self.pieces, self.end = vocabulary["pieces"], vocabulary["end"]
         kinds = vocabulary["kinds"]
         self.ids = {p: i for i, p in enumerate(self.pieces) if kinds[i] == "piece"}
