@@ -50,6 +50,16 @@ def test_repeated_passages(stages):
     assert all(r["n_chars"] == len(r["text"]) for r in stages[2][1].collect())
 
 
+def test_passage_of_51_short_words_is_cut_once(spark):
+    rng = random.Random(3)
+    short = "to be or so it is on us we do go up by my he at an if in as no me am".split()
+    passage = " ".join(rng.choice(short) for _ in range(51))
+    rows = [(i, f"{' '.join(f'{i}w{j}' for j in range(60))} {passage} {' '.join(f'{i}v{j}' for j in range(60))}") for i in range(4)]
+    after = dict(rows_of(cp.repeated_passages(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), D)))
+    assert len(passage) < 200 and after[0] == rows[0][1]
+    assert all(passage not in after[i] and len(after[i]) <= len(rows[i][1]) - len(passage) for i in (1, 2, 3))
+
+
 def test_benchmark_leaks(spark, stages):
     before, after = (rows_of(x) for x in stages[3])
     m = d.Matcher([r["text"] for r in spark.read.parquet(f"{D}/benchmark.parquet").collect()], 0.1, 8)
