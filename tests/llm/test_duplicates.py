@@ -89,6 +89,22 @@ def test_a_bucket_larger_than_its_parts(spark, frame, monkeypatch):
     assert {r["class_id"] for r in m.near_duplicates(frame(rows)).collect()} == {0}
 
 
+@pytest.mark.parametrize("block", [2048, 7])
+def test_a_large_bucket_is_compared_completely(spark, frame, monkeypatch, block):
+    monkeypatch.setattr(m, "FEW", 0)  # whatever the neighbours find
+    monkeypatch.setattr(m, "BLOCK", block)
+    rng = random.Random(12)
+    base, rows = [f"w{i}" for i in range(200)], []
+    for i in range(40):  # pairs that are alike, on a template that is not alike enough to join them
+        words = [*base[:100], *(f"p{i}_{j}" for j in range(24)), *base[100:]]
+        for k in range(2):
+            copy = words[:]
+            copy[rng.randrange(len(copy))] = f"x{k}"
+            rows.append((2 * i + k, " ".join(copy)))
+    got = Counter((r["id"], r["class_id"], r["class_size"]) for r in m.near_duplicates(frame(rows)).collect())
+    assert got == classes(rows)
+
+
 def test_components(spark):
     rng, edges = random.Random(1), [(i, i + 1) for i in range(60)] + [(100, 200), (300, 200), (400, 400)]
     rng.shuffle(edges)

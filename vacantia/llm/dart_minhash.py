@@ -9,8 +9,9 @@ is not), so the cost grows with the size of the set plus the number of coordinat
 Documents with equal words are one node. Nodes that agree in a whole band of coordinates are candidates. Within a bucket no pairs
 are listed: every node is compared with the bucket's most widely connected node, then, where that left different components,
 with its neighbours in the order of the following bands' keys, which puts the most similar nodes side by side. A bucket of more than
-``PART`` nodes is parted by the following band's key (by a salt where that does not part it). Buckets of up to nine nodes are so compared completely;
-in larger ones a node has fewer comparisons, but in all its bands. Candidates are first judged by their
+``PART`` nodes is parted by the following band's key (by a salt where that does not part it). Buckets of up to nine nodes are so compared completely.
+In larger ones that still hold different components, every node outside the largest one is then compared with all nodes of other components, in blocks of bounded size
+that yield only pairs of like signatures. So each pair that shares a band is compared or joined already. Candidates are first judged by their
 signatures (far below the threshold: dropped), then by
 the exact similarity of their shingle sets. Links make components; a document's class is the smallest id of its component.
 
@@ -30,12 +31,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vacantia.llm.common import Memo, components, keyed, materialize, ship, slices
+from vacantia.llm.common import Memo, components, keyed, materialize, partitions, ship, slices
 
 COORDINATES, BANDS = 96, 24
 ROWS = COORDINATES // BANDS
 #: Comparisons of a node with those before it in a bucket, and in one that this does not cover; nodes of a part.
 NEIGHBOURS, FEW, PART = 8, 4, 128
+#: Nodes on each side of a block in the complete comparison; blocks of about so many nodes are taken together.
+BLOCK, TOGETHER = 2048, 16_384
 #: Nodes whose sets are fetched by broadcasting their digests; more are joined by shuffle.
 BROADCAST_ROWS = 300_000
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -165,6 +168,48 @@ def promising(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
+def unjoined(buckets: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """Pairs ``a, b`` of nodes in different components of a bucket whose sketches agree in a share of at least ``least``.
+
+    ``buckets``: ``key, n, node, component``. Buckets of equal nodes count once.
+    """
+    sizes = buckets.groupBy("key", "component").agg(F.count("*").alias("m"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("h"))
+    mixed = sizes.groupBy("key").agg(F.sum("m").alias("all"), F.max(F.struct("m", "component")).alias("top"), F.sum("h").alias("h"), F.count("*").alias("c")).where("c > 1")
+    mixed = mixed.groupBy("all", "h").agg(F.min(F.struct("key", "top")).alias("x")).select("x.key", "all", F.col("x.top.component").alias("most"), (F.col("all") - F.col("x.top.m")).alias("rest"))
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    placed = materialize(buckets.join(mixed, "key").select("key", "node", "component", "most", blocks("rest").alias("rows"), blocks("all").alias("cols")), "mixed")
+    of = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    left = placed.where("component <> most").select("key", "node", "component", F.lit(True).alias("side"), of("rows").alias("i"), every("cols").alias("j"))
+    right = placed.select("key", "node", "component", F.lit(False).alias("side"), of("cols").alias("j"), every("rows").alias("i"))
+    sent = left.unionByName(right)
+    bins = max(partitions(placed.sparkSession), -(-sent.count() // TOGETHER))
+    sent = sent.join(nodes.select("node", "sketch"), "node").withColumn("bin", F.pmod(F.xxhash64("key", "i", "j"), F.lit(bins)))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending"), ("side", "ascending")]).combine_chunks()
+        key, i, j, node, component = (table.column(c).to_numpy() for c in ("key", "i", "j", "node", "component"))
+        side = table.column("side").to_numpy(zero_copy_only=False)
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(len(node), -1)
+        cuts = [0, *(np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1).tolist(), len(node)]
+        a, b = [], []
+        for start, end in zip(cuts, cuts[1:], strict=False):
+            middle = start + int((~side[start:end]).sum())
+            columns = np.ascontiguousarray(sketch[start:middle].T)
+            for at in range(middle, end, 256):
+                to = min(end, at + 256)
+                same = np.zeros((to - at, middle - start), np.uint8)
+                for c, column in enumerate(columns):
+                    same += sketch[at:to, c, None] == column
+                x, y = np.nonzero((same >= least * sketch.shape[1]) & (component[at:to, None] != component[start:middle]))
+                a.append(node[at:to][x])
+                b.append(node[start:middle][y])
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+    return sent.groupBy("bin").applyInArrow(run, "a bigint, b bigint").distinct()
+
+
 def shingle_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """``node, shingles`` (hashes) of the wanted ``node, id, digest``."""
     few = wanted.count() <= BROADCAST_ROWS
@@ -236,7 +281,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     others = F.array(*(F.lag(me, k).over(w) if k <= FEW else F.when(~large, F.lag(me, k).over(w)) for k in range(1, NEIGHBOURS + 1)))
     more = placed.withColumn("others", others).withColumn("others", F.filter("others", lambda x: x.isNotNull() & (x["component"] != F.col("component"))))
     second = links(more.where(F.size("others") > 0).select(F.col("node").alias("a"), F.explode("others.node").alias("b")), "more")
-    groups = components(stars.unionByName(second))
+    joined = stars.unionByName(second)
+    groups = components(joined)
+
+    # Large buckets are not compared completely so far: what is still apart in them.
+    apart = buckets.where(large).join(groups, "node", "left").select("key", "n", "node", F.coalesce("component", "node").alias("component"))
+    third = materialize(verified(materialize(unjoined(apart, nodes, loose), "apart-pairs"), sets, threshold), "apart")
+    if third.limit(1).count():
+        groups = components(joined.unionByName(third))
 
     known = nodes.join(groups, "node", "left").select("digest", "id", "n", F.coalesce("component", "node").alias("component"))
     classes = known.groupBy("component").agg(F.min("id").alias("class_id"), F.sum("n").alias("class_size"))
