@@ -11,6 +11,20 @@ from vacantia.llm import license_align as la
 from vacantia.llm import warc_store as w
 
 
+def test_even_budgets_are_kept():
+    rng = random.Random(7)
+    for n in (24, 29, 81, 45):
+        item = "".join(rng.choice("abcdefgh") for _ in range(n))
+        m = d.Matcher([item], 0.1, 8)
+        assert m.budget == [min(n // 10, n // 8 - 1)] and m.budget[0] % 2 == 0
+        for _ in range(40):
+            text = list(item)
+            for at in rng.sample(range(n), m.budget[0]):
+                text[at] = "X"
+            text = "zz " + "".join(text).lower() + " zz"
+            assert [(i, k) for i, k, _, _ in m.matches(text)] == [(0, min(table_of(m.items[0], text)))]
+
+
 def table_of(a, b):
     row, out = [0] * (len(b) + 1), []
     for i, x in enumerate(a, 1):

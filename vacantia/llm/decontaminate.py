@@ -5,7 +5,8 @@ piece at least must then stand in the passage unchanged. An automaton over all p
 each text; around them Myers' bit-parallel distance decides. No passage within the budget is lost.
 
 Letters are compared in lower case and white space as one space, in items and texts alike. An item's pieces have
-``min_piece`` letters at least, so a short item's budget is smaller; budgets are odd or 0, so that pieces pair off. An item with no letter but white space is ignored.
+``min_piece`` letters at least, so a short item's budget is smaller. Pieces pair off: a hit counts if the partner is near with one edit at most; the odd last piece of
+an even budget has no partner and counts by itself. An item with no letter but white space is ignored.
 
 The items are a query set against all texts: they are taken in blocks of about ``block_bytes``, each broadcast, so that the memory
 of a task does not depend on the number of items.
@@ -38,7 +39,6 @@ def pieces(item: str, rate: float, min_piece: int) -> tuple[int, list[tuple[int,
     """Error budget and the (offset, piece) it asks for."""
     n = len(item)
     k = max(0, min(int(rate * n), n // min_piece - 1))
-    k -= k > 0 and k % 2 == 0
     cuts = [n * i // (k + 1) for i in range(k + 2)]
     return k, [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
@@ -80,7 +80,7 @@ class Matcher:
             k, parts = pieces(t, rate, min_piece)
             self.budget.append(k)
             for n, (at, part) in enumerate(parts if t else []):
-                partner = parts[n ^ 1][1] if k else ""
+                partner = parts[n ^ 1][1] if n ^ 1 < len(parts) else ""  # near to any hit
                 half = len(partner) // 2
                 by[part].append((i, at, n % 2 == 0, partner[:half], partner[half:]))
         self.masks = [letter_masks(t) for t in self.items]
