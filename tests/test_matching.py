@@ -158,3 +158,15 @@ def test_rank_with_diversity_and_calibration(spark):
     rows = rk.rank(m.match(uf, pf), RankerConfig(top_k=4)).orderBy("rank").collect()
     assert [r.rank for r in rows] == [1, 2, 3, 4] and all(0 <= r.final_score <= 1 for r in rows)
     assert [r.final_score for r in rows] == sorted((r.final_score for r in rows), reverse=True)
+
+
+def test_all_gaps_are_listed(spark):
+    from vacantia.operators import reasoning as rs
+    rows = spark.createDataFrame([([f"s{i}" for i in range(7)], [("s9", 0.2, 0.5)])],
+                                 "missing_skills array<string>, weak_skills array<struct<skill:string,proficiency:double,years:double>>")
+    rows = rows.selectExpr("*", "array('x') AS matched_skills", "cast(array() AS array<string>) AS matched_preferred", "0.5D AS education_score", "0.5D AS location_score",
+                           "0.5D AS final_score", "0.5D AS relevance")
+    r = rs.gap_report(rows).first()
+    assert [(g["skill"], g["status"]) for g in r["skill_gaps"]] == [(f"s{i}", "missing") for i in range(7)] + [("s9", "needs_improvement")]
+    assert len(r["learning_suggestions"]) == 3 and "address: s0, s1, s2, s3. " in r["reasoning"]
+    assert len(rs.gap_report(rows, max_gaps=5).first()["skill_gaps"]) == 5
