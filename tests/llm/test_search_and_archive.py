@@ -136,3 +136,13 @@ def test_license_scan(spark, frame):
     assert rows[0][1][one["match_start"]:one["match_end"]].startswith("Permission is") and rows[0][1][one["match_start"]:one["match_end"]].endswith("NONINFRINGEMENT")
     assert la.scan(frame([])).collect() == [] and la.scan(frame(rows), {}).collect() == []
     assert la.scan(frame(rows), {"odd": "...", "one": "word"}).where("license = 'one'").count() == 1
+
+
+def test_every_notice_has_a_row(spark, frame):
+    nc, by, mit = (la.TEMPLATES[x] for x in ("CC-BY-NC-4.0 notice", "CC-BY-4.0 notice", "MIT notice"))
+    both = [("CC-BY-4.0 notice", by), ("CC-BY-NC-4.0 notice", nc)]
+    texts = [f"{nc} Some text between them. {by} The end.", f"{by} {nc}", f"{nc} {nc} {by} {nc}", f"{nc} {by}\n{mit}"]
+    got = la.scan(frame(list(enumerate(texts)))).collect()
+    for k, text in enumerate(texts):
+        rows = sorted((r["license"], r["coverage"], text[r["match_start"]:r["match_end"]]) for r in got if r["id"] == k)
+        assert rows == [(n, 1, x.rstrip(".")) for n, x in both] + [("MIT notice", 1, mit.rstrip("."))] * (k == 3)

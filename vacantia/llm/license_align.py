@@ -9,8 +9,8 @@ outnumbers the words it may miss. The longest such words are looked for by an au
 around them are aligned, so texts without them cost no more than that pass.
 
 Defined results: a row for each text and template whose coverage reaches the threshold, with the best place (the first of equals)
-in code points of the text. Where places of templates overlap, that with the best fit (twice the partners, by the words of
-template and place) has a row; of equals the one with more words. Words are compared in lower case, other signs are ignored. Null and empty texts have no
+in code points of the text. Every place of a template that reaches the threshold counts: where places of templates overlap, that with the best fit (twice
+the partners, by the words of template and place) stays, of equals the one with more words; a template's row is the best of its places that stay. Words are compared in lower case, other signs are ignored. Null and empty texts have no
 row. Repeated rows give repeated rows, an empty table or no templates an empty result; other columns are ignored.
 """
 
@@ -100,6 +100,44 @@ def patience(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+class Stretches:
+    """Stretches of words that do not overlap."""
+
+    def __init__(self) -> None:
+        self.starts, self.ends = [], []
+
+    def free(self, a: int, z: int) -> bool:
+        k = bisect_left(self.starts, a)
+        return (k == len(self.starts) or z < self.starts[k]) and (k == 0 or self.ends[k - 1] < a)
+
+    def add(self, a: int, z: int) -> None:
+        k = bisect_left(self.starts, a)
+        self.starts.insert(k, a)
+        self.ends.insert(k, z)
+
+
+def settled(pool: list[tuple[float, int, str, int, int]]) -> list[tuple[float, int, str, int, int]]:
+    """Of places (fit, partners, template, first word, last word), those that stay: none overlap, and no other could be added.
+
+    A template puts forward the places with most partners, the first of equals; of those put forward the best fit stays.
+    Where they lost, the template's other places come next.
+    """
+    kept, taken = [], Stretches()
+    while pool:
+        own: dict[str, Stretches] = defaultdict(Stretches)
+        forward = []
+        for x in sorted(pool, key=lambda x: (-x[1], x[3], x[4])):
+            if own[x[2]].free(x[3], x[4]):
+                own[x[2]].add(x[3], x[4])
+                forward.append(x)
+        for x in sorted(forward, key=lambda x: (-x[0], -x[1], x[2], x[3])):
+            if taken.free(x[3], x[4]):
+                taken.add(x[3], x[4])
+                kept.append(x)
+        pool = [x for x in pool if taken.free(x[3], x[4])]
+    return kept
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str], threshold: float) -> None:
         self.threshold, self.words, self.seeds = threshold, {}, {}
@@ -135,25 +173,22 @@ class Scanner:
         at: dict[str, list[int]] = defaultdict(list)
         for i, w in enumerate(words):
             at[w].append(i)
-        out = []
+        pool = []
         for name in sorted(names):
-            template, best = self.words[name], (0, 0, 0)
+            template, found = self.words[name], {}
             n, slack = len(template), max(3, len(template) // 4)
             starts = sorted({i - j for j, w in enumerate(template) if w in self.seeds[name] for i in at.get(w, ())})
             for s in starts:
                 a = max(0, s - slack)
                 pairs = patience(words[a:max(0, s + n + slack)], template)
-                if len(pairs) > best[0]:
-                    best = len(pairs), a + pairs[0][0], a + pairs[-1][0]
-                    if best[0] == n:
-                        break
-            if best[0] >= self.threshold * n:
-                out.append((2 * best[0] / (n + best[2] - best[1] + 1), best[0], name, best[1], best[2]))
-        kept = []  # of templates at one place, the one that fits the place best
-        for x in sorted(out, key=lambda x: (-x[0], -x[1], x[2])):
-            if all(x[4] < k[3] or k[4] < x[3] for k in kept):
-                kept.append(x)
-        return sorted((name, round(n / len(self.words[name]), 6), places[a][0], places[z][1]) for _, n, name, a, z in kept)
+                if pairs and len(pairs) >= self.threshold * n:
+                    found[a + pairs[0][0], a + pairs[-1][0]] = max(len(pairs), found.get((a + pairs[0][0], a + pairs[-1][0]), 0))
+            pool += [(2 * k / (n + z - a + 1), k, name, a, z) for (a, z), k in found.items()]
+        best = {}
+        for x in settled(pool):
+            if x[2] not in best or (-x[1], x[3]) < (-best[x[2]][1], best[x[2]][3]):
+                best[x[2]] = x
+        return sorted((name, round(n / len(self.words[name]), 6), places[a][0], places[z][1]) for _, n, name, a, z in best.values())
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
