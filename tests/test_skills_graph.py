@@ -68,6 +68,33 @@ def test_nearest_and_gates(spark, block):
     assert best["skill 4"] == ("skill 4", "fuzzy")
 
 
+def test_fuzzy_matches_are_found_beyond_the_nearest(spark):
+    rng, rnd = np.random.default_rng(1), random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefé") for _ in range(rnd.randint(0, 9)))
+    names = [" ".join((word(), word(), word())) for _ in range(700)] + ["x" * 70 + " y", None]
+    lib = [(i, i, n, [1.0, *(float(x) for x in rng.normal(size=3) / 9)]) for i, n in enumerate(names)]
+    asked = ["-".join(reversed(n.split())) + "a" for n in names[:700:70]] + ["y, " + "x" * 69]
+    q = [(p, [-1.0, 0.1, 0.1, 0.1]) for p in dict.fromkeys(asked)]
+    ld = spark.createDataFrame(lib, "label_id int, skill_id int, name string, embedding array<float>")
+    qd = spark.createDataFrame(q, "phrase string, embedding array<float>")
+
+    def tokens(x):
+        return " ".join(sorted("".join(c if c.isalnum() else " " for c in x.lower()).split()))
+
+    def cosine(i, v):
+        return np.dot(lib[i][3], v) / np.linalg.norm(lib[i][3]) / np.linalg.norm(v)
+    want = {}
+    for p, v in q:
+        ratio = {i: round(sim._lcs_ratio(tokens(p), tokens(n))) for i, n in enumerate(names) if n is not None}
+        best = sorted((i for i in ratio if ratio[i] >= 70), key=lambda i: (-ratio[i], -cosine(i, v), i))[:2]
+        want |= {(p, i): ratio[i] / 100 for i in best}
+    assert len(want) > 9
+    for block in (100, 4096):
+        assert {(r.phrase, r.label_id): r.similarity for r in sim.fuzzy_labels(qd, ld, 70, 2, block).collect()} == want
+    got = {(r.phrase, r.skill_id): r.similarity for r in sim.normalize_phrases(qd, ld, SkillConfig(embedding_threshold=2.0, fuzzy_threshold=70), top_k=2).collect()}
+    assert got == want
+
+
 def edges(spark, rnd, jobs, skills, hot):
     rows = []
     for j in range(jobs):

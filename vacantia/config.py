@@ -67,7 +67,7 @@ class RankerConfig:
 class SkillConfig:
     embedding_threshold: float = 0.68
     fuzzy_threshold: int = 78
-    fuzzy_candidates: int = 500
+    fuzzy_candidates: int | None = None  # None: all labels; a number: only so many nearest ones
     use_fuzzy: bool = True
     best_effort: bool = False
     best_effort_min: float = 0.5
