@@ -27,6 +27,21 @@ def test_main_text(html, text):
     assert t.main_text(html) == text
 
 
+@pytest.mark.parametrize("wrapper", ["div class='content has-sidebar'", "div id='page-with-nav'", "div class=social", "section class='related'", "form action=x", "div class=pageWithNav"])
+@pytest.mark.parametrize("inner", ["article", "main", "div"])
+def test_a_name_on_a_wrapper_does_not_drop_the_article(wrapper, inner):
+    tag = wrapper.split()[0]
+    page = (f"<body><nav><a>Home</a></nav><{wrapper}><{inner}><h1>T</h1><p>{LONG}</p><p>{LONG}</p></{inner}><div class=sidebar><p>short note</p></div></{tag}>"
+            f"<div class=comments><article><p>{LONG} {LONG} {LONG}</p></article></div></body>")
+    assert t.main_text(page) == f"T\n{LONG}\n{LONG}"
+
+
+def test_other_named_parts_stay_out():
+    assert t.main_text(f"<p>{LONG} <span class=share>Tweet</span></p>") == LONG
+    assert t.main_text(f"<div id=content><p>{LONG}</p><p>{LONG}</p></div><section class=related><article><p>{LONG}</p></article></section>") == f"{LONG}\n{LONG}"
+    assert t.main_text(f"<div class=widget><p>{LONG}</p></div><div class=social><article><p>{LONG}</p></article></div>") == LONG
+
+
 def test_pages_of_the_tables(spark):
     import html
     import re

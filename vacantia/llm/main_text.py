@@ -3,7 +3,8 @@
 The standard library's streaming parser turns a page into events; these make blocks (what a reader sees as
 a line or paragraph), each with its letters, its tags and its place in the page. Menus, headers, footers, side bars, notices,
 adverts, forms, comments of readers, scripts and styles are known by their element, role or class and
-give no blocks. The ratio of letters to tags of each block is smoothed with a Gaussian along the page; blocks
+give no blocks. A form or a name in class or id is only suspect: such an element is read as usual if it holds more than half of the letters in dense
+blocks, or all articles of the page and more such letters than stand outside of suspects (comments of readers do not count and stay out). The ratio of letters to tags of each block is smoothed with a Gaussian along the page; blocks
 above the threshold form the content clusters. The element that holds these clusters is the article, and
 all its blocks are kept, a paragraph of one word too.
 
@@ -29,22 +30,46 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody tfoot thead tr ul".split())
 CONTAINER = frozenset("article body div html main section table td".split())
 UNSEEN = frozenset("audio button canvas datalist dialog head iframe noscript object script select style svg template textarea title video".split())
-APART = frozenset("aside footer form menu nav search".split())
+APART = frozenset("aside footer menu nav search".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer "
     "form login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted recommended related "
     "reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
 HEADS = frozenset("header masthead banner".split())
+THREADS = frozenset("comment comments disqus reply replies respond".split())
+#: What follows these in a name tells what an element has beside it, or lacks.
+BESIDE = frozenset("has no with without".split())
 PART = re.compile("[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
+def names_of(value: str) -> set[str]:
+    """Lower-case parts of the words of a class or id, up to one of ``BESIDE``."""
+    out = set()
+    for word in value.split():
+        for part in PART.findall(word):
+            if part.lower() in BESIDE:
+                break
+            out.add(part.lower())
+    return out
+
+
 class Blocks(HTMLParser):
-    """Events to blocks of (text, tags, containers that hold it)."""
+    """Events to blocks of (text, tags, containers that hold it).
+
+    ``free``: numbers of the suspect elements that are read as usual; null for all, with ``suspects``: those that hold each block.
+    """
 
-    def __init__(self) -> None:
+    def __init__(self, free: frozenset[int] | None = None) -> None:
         super().__init__(convert_charrefs=True)
+        self.free = free
+        self.count = 0  # elements so far
+        self.doubted = False
+        self.doubt: list[int | None] = []  # numbers of the open suspects, along the stack
+        self.suspects: list[tuple[int, ...]] = []
+        self.threads: set[int] = set()
+        self.anchors: list[frozenset[int]] = []  # suspects that hold each article or main
         self.blocks: list[tuple[str, int, tuple[int, ...]]] = []
         self.buffer: list[str] = []
         self.tags = 0
@@ -58,6 +83,7 @@ class Blocks(HTMLParser):
         if self.buffer:
             if text := " ".join("".join(self.buffer).split()):
                 self.blocks.append((text, self.tags, tuple(self.inside)))
+                self.suspects.append(tuple(k for k in self.doubt if k))
             self.buffer = []
             self.tags = 0
 
@@ -66,14 +92,19 @@ class Blocks(HTMLParser):
             return True
         if tag in ("html", "body", "article", "main"):
             return False
+        return any(k == "hidden" or v and (k == "role" and v.strip().lower() in ROLES or k == "aria-hidden" and v == "true" or k == "style" and HIDDEN.search(v.lower())) for k, v in attrs)
+
+    def suspect(self, tag: str, attrs: list[tuple[str, str | None]]) -> set[str]:
+        """Names that speak against an element."""
+        found = {"form"} if tag == "form" else set()
+        if tag in ("html", "body", "article", "main"):
+            return found
         for k, v in attrs:
-            if k == "hidden" or v and (k == "role" and v.strip().lower() in ROLES or k == "aria-hidden" and v == "true" or k == "style" and HIDDEN.search(v.lower())):
-                return True
             if v and k in ("class", "id"):
-                names = {x.lower() for x in PART.findall(v)} & (NAMES | HEADS)
+                names = names_of(v) & (NAMES | HEADS)
                 if names - HEADS or names and not self.open["article"]:
-                    return True
-        return False
+                    found |= names
+        return found
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
@@ -87,7 +118,17 @@ class Blocks(HTMLParser):
             return
         if tag in ("li", "dt", "dd", "option") and self.stack and self.stack[-1][0] == tag:
             self.close_to(tag)
-        apart = self.apart(tag, attrs)
+        apart = bool(self.apart(tag, attrs))
+        self.count += 1
+        names = set() if apart else self.suspect(tag, attrs)
+        self.doubt.append(self.count if names and self.free is None else None)
+        self.doubted |= bool(names)
+        if names & THREADS:
+            self.threads.add(self.count)
+        if names and self.free is not None and self.count not in self.free:
+            apart = True
+        if tag in ("article", "main") and not self.shut:
+            self.anchors.append(frozenset(k for k in self.doubt if k))
         self.stack.append((tag, apart))
         self.open[tag] += 1
         self.shut += apart
@@ -101,10 +142,11 @@ class Blocks(HTMLParser):
     def close_to(self, tag: str) -> None:
         while self.stack:
             top, apart = self.stack.pop()
-            self.open[top] -= 1
-            self.shut -= apart
             if top in BLOCK:
                 self.flush()
+            self.doubt.pop()
+            self.open[top] -= 1
+            self.shut -= apart
             if top in CONTAINER:
                 self.inside.pop()
             if top == tag:
@@ -132,24 +174,52 @@ def smoothed(values: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(np.pad(values, reach, mode="edge"), kernel / kernel.sum(), "valid")
 
 
-def main_text(html: str | None, sigma: float = 1.0, strictness: float = 0.6) -> str:
-    """Blocks of the article, joined by line ends; ``strictness``: share of the mean smoothed ratio that a cluster has to exceed."""
-    if not html:
-        return ""
-    page = Blocks()
+def dense(blocks: list[tuple[str, int, tuple[int, ...]]], sigma: float, strictness: float) -> np.ndarray:
+    level = smoothed(np.array([len(text) / max(1, tags) for text, tags, _ in blocks]), sigma)
+    return level >= strictness * level.mean()
+
+
+def parsed(html: str, free: frozenset[int] | None = None) -> Blocks:
+    page = Blocks(free)
     try:
         page.feed(html)
         page.close()
     except AssertionError:  # a marked section of a kind that the parser does not know
-        page = Blocks()
+        page = Blocks(free)
         page.feed(re.sub(r"<!\[", "<! [", html))
         page.close()
+    return page
+
+
+def released(page: Blocks, sigma: float, strictness: float) -> frozenset[int]:
+    """Suspects of a page (parsed with all of them) that are read as usual."""
+    anchors = [a for a in page.anchors if not a & page.threads]
+    holders, out = set().union(*anchors) if all(anchors) else set(), set()
+    left = [(b, k) for b, k in zip(page.blocks, page.suspects, strict=True) if not page.threads.intersection(k)]
+    if left:
+        held: Counter[int] = Counter()
+        total = outside = 0
+        for (b, inside), chosen in zip(left, dense([b for b, _ in left], sigma, strictness), strict=True):
+            if chosen:
+                total += len(b[0])
+                outside += 0 if inside else len(b[0])
+                for k in inside:
+                    held[k] += len(b[0])
+        out = {k for k in held if held[k] > total / 2 or k in holders and held[k] > outside}
+    return frozenset(out)
+
+
+def main_text(html: str | None, sigma: float = 1.0, strictness: float = 0.6) -> str:
+    """Blocks of the article, joined by line ends; ``strictness``: share of the mean smoothed ratio that a cluster has to exceed."""
+    if not html:
+        return ""
+    page = parsed(html)
+    if page.doubted:
+        page = parsed(html, released(page, sigma, strictness))
     blocks = page.blocks
     if not blocks:
         return ""
-    ratio = np.array([len(text) / max(1, tags) for text, tags, _ in blocks])
-    level = smoothed(ratio, sigma)
-    content = level >= strictness * level.mean()
+    content = dense(blocks, sigma, strictness)
     held: Counter[int] = Counter()
     for (text, _, inside), chosen in zip(blocks, content, strict=True):
         if chosen:
