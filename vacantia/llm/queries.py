@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantia.llm import dart_minhash, decontaminate, lang_cnn, license_align, main_text, ngram_quality, piece_bpe, spelling, suffix_dedup, url_trees, warc_store, whitening
+from vacantia.llm import dart_minhash, decontaminate, jaccard_rtree, lang_cnn, license_align, main_text, ngram_quality, piece_bpe, spelling, suffix_dedup, url_trees, warc_store, whitening
 from vacantia.llm.common import table
 
 
@@ -63,6 +63,10 @@ def op10_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
 
 
+def op11_jaccard_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_rtree.linked(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
@@ -71,7 +75,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id").withColumn("deviation", F.col("deviation").cast("bigint"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_warc_store, op3_suffix_dedup, op4_license_align, op5_main_text, op6_url_trees, op7_lang_cnn, op8_dart_minhash, op9_sentencepiece, op10_ngram_quality, op12_spelling_variants, op13_whitening)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_warc_store, op3_suffix_dedup, op4_license_align, op5_main_text, op6_url_trees, op7_lang_cnn, op8_dart_minhash, op9_sentencepiece, op10_ngram_quality, op11_jaccard_rtree, op12_spelling_variants, op13_whitening)}
 
 #: Twins for the driver's SQL engine.
 ORACLE: dict[str, str] = {
