@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from vacantia.llm import common
+from vacantia.llm import common, forest
 from vacantia.llm import dart_minhash as m
 from vacantia.llm import suffix_dedup as s
 
@@ -89,10 +89,11 @@ def test_a_bucket_larger_than_its_parts(spark, frame, monkeypatch):
     assert {r["class_id"] for r in m.near_duplicates(frame(rows)).collect()} == {0}
 
 
-@pytest.mark.parametrize("block", [2048, 7])
-def test_a_large_bucket_is_compared_completely(spark, frame, monkeypatch, block):
+@pytest.mark.parametrize("side", [1 << 18, 1500])
+def test_a_large_bucket_is_compared_completely(spark, frame, monkeypatch, side):
     monkeypatch.setattr(m, "FEW", 0)  # whatever the neighbours find
-    monkeypatch.setattr(m, "BLOCK", block)
+    monkeypatch.setattr(forest, "SIDE", side)  # elements of a block: seven texts of this test
+    monkeypatch.setattr(forest, "TOGETHER", 4 * side)
     rng = random.Random(12)
     base, rows = [f"w{i}" for i in range(200)], []
     for i in range(40):  # pairs that are alike, on a template that is not alike enough to join them
@@ -105,6 +106,45 @@ def test_a_large_bucket_is_compared_completely(spark, frame, monkeypatch, block)
     assert got == classes(rows)
 
 
+def test_weighted_similarity(frame):
+    """A repeated shingle counts as often as it stands there; brute force over multisets."""
+    rng = random.Random(21)
+    rows = []
+    for k in range(30):
+        line = [f"l{k}_{j}" for j in range(6)]
+        own = [f"t{k}_{j}" for j in range(rng.choice([10, 30, 60]))]
+        for copy in range(3):
+            rows.append((3 * k + copy, " ".join(line * rng.choice([1, 5, 6, 20]) + own)))
+    sets = [Counter(tuple(w[i:i + 5]) for i in range(len(w) - 4)) for w in (t.split() for _, t in rows)]
+    up = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if (sets[i] & sets[j]).total() >= 0.8 * (sets[i] | sets[j]).total():
+                old, new = max(up[i], up[j]), min(up[i], up[j])
+                up = [new if x == old else x for x in up]
+    got = {r["id"]: r["class_id"] for r in m.near_duplicates(frame(rows), weighted=True).collect()}
+    assert got == {k: up[k] for k in range(len(rows))}
+    assert got != {r["id"]: r["class_id"] for r in m.near_duplicates(frame(rows)).collect()}
+
+
+def test_links_of_a_block_are_a_forest():
+    rng = np.random.default_rng(3)
+    base = rng.integers(1, 2**62, 60)
+    sets = [np.unique(np.concatenate([base[rng.permutation(60)[:rng.integers(50, 60)]], rng.integers(1, 2**62, 4)])) for _ in range(40)]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets + sets[30:]])])
+    found = forest.links_of_block(np.concatenate(sets + sets[30:]), offsets, 40, np.array([*range(40), *range(30, 40)]), lambda c, both: c >= 0.8 * (both - c), None)
+    common = lambda i, j: len(np.intersect1d(sets[i], sets[j]))
+    true = {(i, j) for i in range(30, 40) for j in range(40) if i != j and common(i, j) >= 0.8 * (len(sets[i]) + len(sets[j]) - common(i, j))}
+    assert len(found) < 40 and {(k - 10, r) for k, r in found} <= true
+    label = list(range(40))
+    for edges in ({(k - 10, r) for k, r in found}, true):
+        now = list(range(40))
+        for i, j in edges:
+            now = [min(now[i], now[j]) if x in (now[i], now[j]) else x for x in now]
+        label, before = now, label
+    assert label == before
+
+
 def test_components(spark):
     rng, edges = random.Random(1), [(i, i + 1) for i in range(60)] + [(100, 200), (300, 200), (400, 400)]
     rng.shuffle(edges)

@@ -9,11 +9,13 @@ is not), so the cost grows with the size of the set plus the number of coordinat
 Documents with equal words are one node. Nodes that agree in a whole band of coordinates are candidates. Within a bucket no pairs
 are listed: every node is compared with the bucket's most widely connected node, then, where that left different components,
 with its neighbours in the order of the following bands' keys, which puts the most similar nodes side by side. A bucket of more than
-``PART`` nodes is parted by the following band's key (by a salt where that does not part it). Buckets of up to nine nodes are so compared completely.
-In larger ones that still hold different components, every node outside the largest one is then compared with all nodes of other components, in blocks of bounded size
-that yield only pairs of like signatures. So each pair that shares a band is compared or joined already. Candidates are first judged by their
-signatures (far below the threshold: dropped), then by
-the exact similarity of their shingle sets. Links make components; a document's class is the smallest id of its component.
+``PART`` nodes is parted by the following band's key (by a salt where that does not part it). Buckets of up to nine nodes are so compared completely;
+these candidates are first judged by their signatures (far below the threshold: dropped), then by the exact similarity of their shingles.
+In larger ones that still hold different components, every node outside the largest one is then compared with all nodes of other components by exact similarity, in blocks
+of bounded size that yield only links between components (``forest``). So each pair that shares a band is compared or joined already. Links make components; a
+document's class is the smallest id of its component.
+
+``weighted``: a shingle weighs as often as it stands in the text, and the similarity is the weighted one (smaller counts over larger counts); else each weighs one.
 
 Defined results: words are split at white space and compared in lower case. A text with fewer than five words is one shingle of all its words;
 null texts and texts without a word are alone, each row its own class. Repeated rows and ids have the class of their text; a null id
@@ -31,14 +33,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vacantia.llm.common import Memo, components, keyed, materialize, partitions, ship, slices
+from vacantia.llm.common import Memo, components, keyed, materialize, ship, slices
+from vacantia.llm.forest import open_blocks, settled
 
 COORDINATES, BANDS = 96, 24
 ROWS = COORDINATES // BANDS
 #: Comparisons of a node with those before it in a bucket, and in one that this does not cover; nodes of a part.
 NEIGHBOURS, FEW, PART = 8, 4, 128
-#: Nodes on each side of a block in the complete comparison; blocks of about so many nodes are taken together.
-BLOCK, TOGETHER = 2048, 16_384
 #: Nodes whose sets are fetched by broadcasting their digests; more are joined by shuffle.
 BROADCAST_ROWS = 300_000
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -60,8 +61,8 @@ def word_hashes(size: int = 50_000) -> Memo:
     return Memo(xxhash.xxh3_64_intdigest, size)
 
 
-def shingles(words: list[str], hashed: Memo, n: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of all runs of ``n`` words."""
+def all_shingles(words: list[str], hashed: Memo, n: int = 5) -> np.ndarray:
+    """Hashes of all runs of ``n`` words, in order; of fewer words that of all of them."""
     w = np.fromiter(map(hashed.__getitem__, words), np.uint64, len(words))
     if not len(w):
         return w
@@ -69,7 +70,19 @@ def shingles(words: list[str], hashed: Memo, n: int = 5) -> np.ndarray:
     h = np.zeros(len(w) - n + 1, np.uint64)
     for j in range(n):
         h = mix(h + w[j:len(w) - n + 1 + j] + _A)
-    return np.unique(h)
+    return h
+
+
+def shingles(words: list[str], hashed: Memo, n: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of all runs of ``n`` words."""
+    return np.unique(all_shingles(words, hashed, n))
+
+
+def unrolled(elements: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A set in which each element stands as often as it weighs, told apart by its number: overlaps are sums of smaller counts."""
+    number = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    out = np.repeat(elements, counts)
+    return np.unique(np.where(number > 0, mix(out + number.astype(np.uint64) * _B), out))
 
 
 def throw(elements: np.ndarray, weights: np.ndarray, of: np.ndarray, limit: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,20 +145,22 @@ def digest_of(words: list[str]) -> bytes:
     return hashlib.md5(" ".join(words).encode("utf-8", "replace"), usedforsecurity=False).digest()
 
 
-def sketched(rows: DataFrame) -> DataFrame:
+def sketched(rows: DataFrame, weighted: bool) -> DataFrame:
     """``id, digest, keys, sketch`` of ``id, text``: band keys, and 16 bits of each dart; null without words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = word_hashes()
         for b in slices(batches, nbytes=2 << 20):
-            digests, sets, at = [None] * b.num_rows, [], []
+            digests, sets, weights, at = [None] * b.num_rows, [], [], []
             for i, text in enumerate(b.column(1).to_pylist()):
                 if words := words_of(text):
                     digests[i] = digest_of(words)
-                    sets.append(shingles(words, hashed))
+                    own, counts = np.unique(all_shingles(words, hashed), return_counts=True)
+                    sets.append(own)
+                    weights.append(counts.astype(np.float64) if weighted else np.ones(len(own)))
                     at.append(i)
             keys, sketch = [None] * b.num_rows, [None] * b.num_rows
             if sets:
-                darts = signatures(sets)
+                darts = signatures(sets, weights)
                 for i, key, d in zip(at, band_keys(darts), darts, strict=True):
                     keys[i], sketch[i] = key, (d >> np.uint64(48)).astype(np.uint16).tobytes()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["id", "digest", "keys", "sketch"])
@@ -168,50 +183,8 @@ def promising(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def unjoined(buckets: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """Pairs ``a, b`` of nodes in different components of a bucket whose sketches agree in a share of at least ``least``.
-
-    ``buckets``: ``key, n, node, component``. Buckets of equal nodes count once.
-    """
-    sizes = buckets.groupBy("key", "component").agg(F.count("*").alias("m"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("h"))
-    mixed = sizes.groupBy("key").agg(F.sum("m").alias("all"), F.max(F.struct("m", "component")).alias("top"), F.sum("h").alias("h"), F.count("*").alias("c")).where("c > 1")
-    mixed = mixed.groupBy("all", "h").agg(F.min(F.struct("key", "top")).alias("x")).select("x.key", "all", F.col("x.top.component").alias("most"), (F.col("all") - F.col("x.top.m")).alias("rest"))
-    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-    placed = materialize(buckets.join(mixed, "key").select("key", "node", "component", "most", blocks("rest").alias("rows"), blocks("all").alias("cols")), "mixed")
-    of = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
-    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    left = placed.where("component <> most").select("key", "node", "component", F.lit(True).alias("side"), of("rows").alias("i"), every("cols").alias("j"))
-    right = placed.select("key", "node", "component", F.lit(False).alias("side"), of("cols").alias("j"), every("rows").alias("i"))
-    sent = left.unionByName(right)
-    bins = max(partitions(placed.sparkSession), -(-sent.count() // TOGETHER))
-    sent = sent.join(nodes.select("node", "sketch"), "node").withColumn("bin", F.pmod(F.xxhash64("key", "i", "j"), F.lit(bins)))
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending"), ("side", "ascending")]).combine_chunks()
-        key, i, j, node, component = (table.column(c).to_numpy() for c in ("key", "i", "j", "node", "component"))
-        side = table.column("side").to_numpy(zero_copy_only=False)
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(len(node), -1)
-        cuts = [0, *(np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1).tolist(), len(node)]
-        a, b = [], []
-        for start, end in zip(cuts, cuts[1:], strict=False):
-            middle = start + int((~side[start:end]).sum())
-            columns = np.ascontiguousarray(sketch[start:middle].T)
-            for at in range(middle, end, 256):
-                to = min(end, at + 256)
-                same = np.zeros((to - at, middle - start), np.uint8)
-                for c, column in enumerate(columns):
-                    same += sketch[at:to, c, None] == column
-                x, y = np.nonzero((same >= least * sketch.shape[1]) & (component[at:to, None] != component[start:middle]))
-                a.append(node[at:to][x])
-                b.append(node[start:middle][y])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
-
-    return sent.groupBy("bin").applyInArrow(run, "a bigint, b bigint").distinct()
-
-
-def shingle_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``node, shingles`` (hashes) of the wanted ``node, id, digest``."""
+def shingle_sets(rows: DataFrame, wanted: DataFrame, weighted: bool) -> DataFrame:
+    """``node, shingles`` (hashes, each as often as it weighs) of the wanted ``node, id, digest``."""
     few = wanted.count() <= BROADCAST_ROWS
     wanted = wanted.withColumnRenamed("id", "first")
     picked = rows.join(F.broadcast(wanted) if few else wanted, F.col("id").eqNullSafe(F.col("first"))).select("node", "digest", "text")
@@ -224,7 +197,8 @@ def shingle_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
                 words = words_of(text)
                 if digest_of(words) == digest:  # an id may stand at several texts
                     nodes.append(node)
-                    sets.append(shingles(words, hashed).view(np.int64))
+                    own = unrolled(*np.unique(all_shingles(words, hashed), return_counts=True)) if weighted else shingles(words, hashed)
+                    sets.append(own.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
     return picked.mapInArrow(run, "node bigint, shingles array<bigint>").dropDuplicates(["node"])
@@ -240,11 +214,11 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(can).where(common >= threshold * (both - common)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, weighted: bool = False) -> DataFrame:
     """``id, class_id, class_size`` of every row: smallest id and number of rows of its class."""
     ship(docs.sparkSession)
     rows = keyed(docs, id_col, text_col, "text")
-    marked = materialize(sketched(rows), "sketches")
+    marked = materialize(sketched(rows, weighted), "sketches")
     nodes = marked.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
@@ -260,7 +234,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     leads = buckets.groupBy("key").agg((-F.max(first)["minus"]).alias("lead"))
 
     wanted = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "id", "digest")
-    sets = materialize(shingle_sets(rows, materialize(wanted, "wanted")), "sets")
+    sets = materialize(shingle_sets(rows, materialize(wanted, "wanted"), weighted), "sets")
     loose = threshold - 0.2  # five standard deviations of the share of equal coordinates, about
 
     def links(pairs: DataFrame, label: str) -> DataFrame:
@@ -285,8 +259,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = components(joined)
 
     # Large buckets are not compared completely so far: what is still apart in them.
-    apart = buckets.where(large).join(groups, "node", "left").select("key", "n", "node", F.coalesce("component", "node").alias("component"))
-    third = materialize(verified(materialize(unjoined(apart, nodes, loose), "apart-pairs"), sets, threshold), "apart")
+    sized = buckets.where(large).select("key", "node").join(sets.select("node", F.size("shingles").cast("bigint").alias("size")), "node")
+    third = materialize(settled(open_blocks(sized, groups), sets, lambda common, both: common >= threshold * (both - common)), "apart")
     if third.limit(1).count():
         groups = components(joined.unionByName(third))
 

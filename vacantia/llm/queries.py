@@ -49,7 +49,7 @@ def op7_lang_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dart_minhash.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return dart_minhash.near_duplicates(table(spark, sf_dir, "documents"), weighted=True).withColumnRenamed("id", "doc_id")
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
