@@ -132,7 +132,7 @@ def test_links_of_a_block_are_a_forest():
     base = rng.integers(1, 2**62, 60)
     sets = [np.unique(np.concatenate([base[rng.permutation(60)[:rng.integers(50, 60)]], rng.integers(1, 2**62, 4)])) for _ in range(40)]
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets + sets[30:]])])
-    found = forest.links_of_block(np.concatenate(sets + sets[30:]), offsets, 40, np.array([*range(40), *range(30, 40)]), lambda c, both: c >= 0.8 * (both - c), None)
+    found = forest.links_of_block(np.concatenate(sets + sets[30:]), offsets, 40, np.array([*range(40), *range(30, 40)]), lambda c, both: c >= 0.8 * (both - c))
     common = lambda i, j: len(np.intersect1d(sets[i], sets[j]))
     true = {(i, j) for i in range(30, 40) for j in range(40) if i != j and common(i, j) >= 0.8 * (len(sets[i]) + len(sets[j]) - common(i, j))}
     assert len(found) < 40 and {(k - 10, r) for k, r in found} <= true

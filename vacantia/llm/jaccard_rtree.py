@@ -9,8 +9,9 @@ One tree over all points would be one task's. So points meet in many trees: grou
 shingles, and a few more, so linked points agree exactly in some blocks. Points with equal counts in a block of one size class (fine groups here, hashed with
 their counts to a key) form a bucket. Sizes that a link can carry over the upper edge of their class are dealt by the next class as well.
 A bucket is first joined around its most widely connected point. If that leaves components apart, every point outside the largest is searched
-in trees over all points of the bucket, in blocks of bounded size that yield only links between components. So no link between
-different sets is lost, and no list of pairs arises.
+in trees over all points of the bucket, in blocks of bounded size. The trees pass on a few pairs for each point, or the points themselves that have a
+possible link to another component. Only their sets are fetched, and verified links come out where they join components. So no link between different sets is lost, and no
+list of all pairs of a bucket arises.
 
 Defined results: words are maximal runs of other characters than space, tab, line feed, vertical tab, form feed and return, A-Z lower-cased. With fewer words than
 ``n`` the whole sequence is one shingle. Null texts and texts without words are empty sets, linked with nothing. Repeated rows and ids are
@@ -31,10 +32,10 @@ from pyspark.sql import functions as F
 
 from vacantia.llm.common import components, keyed, materialize, ship, slices
 from vacantia.llm.dart_minhash import mix, shingles, word_hashes
-from vacantia.llm.forest import open_blocks, settled, star_blocks
+from vacantia.llm.forest import near_links, open_blocks, star_blocks
 
 #: Coordinates of a point; points of a leaf, and boxes of a box.
-GROUPS, LEAF, FAN = 64, 16, 16
+GROUPS, LEAF, FAN = 128, 16, 16
 #: Largest size over smallest, of a class; blocks of coordinates beyond what must agree: so many may be empty without being told.
 CLASS, SPARE = 1.4, 2
 #: Nodes whose sets are fetched by broadcasting their digests; more are joined by shuffle.
@@ -100,7 +101,7 @@ def sketched(rows: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def shingle_sets(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """``node, shingles`` of the wanted ``node, id, digest``."""
+    """``node, size, point, shingles`` of the wanted ``node, id, digest``."""
     few = wanted.count() <= BROADCAST_ROWS
     wanted = wanted.withColumnRenamed("id", "first")
     picked = rows.join(F.broadcast(wanted) if few else wanted, F.col("id").eqNullSafe(F.col("first"))).select("node", "digest", "text")
@@ -108,15 +109,16 @@ def shingle_sets(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = word_hashes()
         for b in slices(batches, nbytes=2 << 20):
-            nodes, sets = [], []
+            nodes, sets, at = [], [], []
             for node, digest, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 own = shingles(words_of(text), hashed, n)
                 if hashlib.md5(own.tobytes(), usedforsecurity=False).digest() == digest:  # an id may stand at several texts
                     nodes.append(node)
                     sets.append(own.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+                    at.append(points(own, np.array([0, len(own)]))[0])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(at, pa.list_(pa.int32())), pa.array(sets, pa.list_(pa.int64()))], names=["node", "size", "point", "shingles"])
 
-    return picked.mapInArrow(run, "node bigint, shingles array<bigint>").dropDuplicates(["node"])
+    return picked.mapInArrow(run, "node bigint, size bigint, point array<int>, shingles array<bigint>").dropDuplicates(["node"])
 
 
 def points(elements: np.ndarray, offsets: np.ndarray, groups: int = GROUPS) -> np.ndarray:
@@ -166,18 +168,14 @@ class RTree:
         return q, self.order[box], computed
 
 
-def tree_filter(percent: int):
-    """For ``settled``: the R-tree over the right side of a block, and its searches from the left."""
-    def prepare(right: np.ndarray, right_at: np.ndarray):
-        tree = RTree(points(right, right_at), np.diff(right_at))
-
-        def may(left: np.ndarray, left_at: np.ndarray) -> np.ndarray:
-            q, found, _ = tree.search(points(left, left_at), np.diff(left_at), percent)
-            out = np.zeros((len(left_at) - 1, len(right_at) - 1), bool)
-            out[q, found] = True
-            return out
-        return may
-    return prepare
+def tree_search(percent: int, step: int = 256):
+    """For ``pruned``: searches from the left in the R-tree over the right side of a block."""
+    def search(left: np.ndarray, left_size: np.ndarray, right: np.ndarray, right_size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        tree = RTree(right, right_size)
+        for at in range(0, len(left), step):
+            q, found, _ = tree.search(left[at:at + step], left_size[at:at + step], percent)
+            yield q + at, found
+    return search
 
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
@@ -195,15 +193,14 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
     buckets = materialize(buckets.join(reach, "node"), "reach")
     wanted = nodes.join(reach, "node", "left_semi").select("node", "id", "digest")
     sets = materialize(shingle_sets(rows, materialize(wanted, "wanted"), n), "shingles")
+    search = tree_search(percent)
     enough = lambda common, both: 100 * common >= percent * (both - common)
-    search = tree_filter(percent)
-
     lead = F.max(F.struct("reach", (-F.col("node")).alias("minus"), F.col("size").alias("lead_size")))
     leads = buckets.groupBy("key").agg(lead.alias("lead")).select("key", (-F.col("lead.minus")).alias("lead"), "lead.lead_size")
     can = (F.col("size") * 100 >= F.col("lead_size") * percent) & (F.col("lead_size") * 100 >= F.col("size") * percent)
     stars = materialize(buckets.join(leads, "key").where(can & (F.col("lead") != F.col("node"))).select("lead", "node", "size").distinct(), "stars")
-    first = materialize(settled(star_blocks(stars), sets, enough, search), "first")
-    second = materialize(settled(open_blocks(buckets, components(first)), sets, enough, search), "second")
+    first, judged = near_links(star_blocks(stars), sets, search, enough, None, "first")
+    second, _ = near_links(open_blocks(buckets, components(first)), sets, search, enough, judged, "second")
     groups = components(first.unionByName(second))
 
     known = nodes.join(groups, "node", "left").select("digest", "id", F.coalesce("component", "node").alias("component"))
