@@ -183,12 +183,15 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
     ship(docs.sparkSession)
     rows = keyed(docs, id_col, text_col, "text")
     marked = materialize(sketched(rows, n, percent), "sets")
-    nodes = marked.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    known = marked.where("digest IS NOT NULL")
+    nodes = known.groupBy("digest").agg(F.min("id").alias("id"), F.first("size").alias("size"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
-    dealt = nodes.select("node", "size", F.explode("keys").alias("key"))
+    # Keys of a set's first row; many, so they are stored once and travel with a node's number only.
+    dealt = known.groupBy("digest").agg(F.first("keys").alias("keys")).join(nodes.select("digest", "node"), "digest").select("node", F.explode("keys").alias("key"))
     shared = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = materialize(dealt.join(shared, "key"), "buckets")
+    buckets = materialize(dealt.join(shared, "key"), "keys")
+    buckets = materialize(buckets.join(nodes.select("node", "size"), "node"), "buckets")
     reach = buckets.groupBy("node").agg(F.sum("n").alias("reach"))
     buckets = materialize(buckets.join(reach, "node"), "reach")
     wanted = nodes.join(reach, "node", "left_semi").select("node", "id", "digest")
