@@ -133,11 +133,6 @@ def _either_way(values: Column, text: Column) -> Column:
     return F.exists(values, lambda v: text.contains(v) | v.contains(text))
 
 
-def _norm_list(values: Column) -> Column:
-    return F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")),
-                                lambda x: F.lower(strip(x))), lambda x: F.coalesce(x != "", F.lit(False)))
-
-
 def location_ok() -> Column:
     locs, job = F.col("u_locations"), F.col("p_location")
     free = (F.size(F.coalesce(locs, F.array().cast("array<string>"))) == 0) | F.coalesce(job == "", F.lit(True))
@@ -164,8 +159,7 @@ def salary_ok() -> Column:
 
 
 def work_type_ok() -> Column:
-    want = F.lower(strip(F.coalesce("u_work_type", F.lit(""))))
-    have = F.lower(strip(F.coalesce("p_work_type", F.lit(""))))
+    want, have = F.col("u_work_plain"), F.col("p_work_plain")
     by_word = (F.when(want.contains("remote"), have.contains("remote"))
                .when(want.contains("intern"), have.contains("intern"))
                .when(want.contains("full"), have.contains("full"))
@@ -174,16 +168,20 @@ def work_type_ok() -> Column:
     return F.when((F.coalesce("u_work_type", F.lit("")) == "") | (have == ""), True).otherwise(by_word)
 
 
+def _free(values: str) -> Column:
+    return F.coalesce(F.size(values) <= 0, F.lit(True))
+
+
+def industry_hit() -> Column:
+    return _either_way(F.col("u_industries_plain"), F.col("p_industry_plain"))
+
+
 def industry_ok() -> Column:
-    want, have = F.col("u_industries"), F.lower(strip(F.coalesce("p_industry", F.lit(""))))
-    free = (F.size(F.coalesce(want, F.array().cast("array<string>"))) == 0) | have.isin("", "unknown")
-    return free | _either_way(_norm_list(want), have)
+    return _free("u_industries") | F.col("p_industry_plain").isin("", "unknown") | industry_hit()
 
 
 def company_type_ok() -> Column:
-    want, have = F.col("u_company_types"), F.lower(strip(F.coalesce("p_company_type", F.lit(""))))
-    free = (F.size(F.coalesce(want, F.array().cast("array<string>"))) == 0) | (have == "")
-    return free | _either_way(_norm_list(want), have)
+    return _free("u_company_types") | (F.col("p_company_type_plain") == "") | _either_way(F.col("u_company_types_plain"), F.col("p_company_type_plain"))
 
 
 def start_date_ok() -> Column:
@@ -195,37 +193,41 @@ def commute_ok() -> Column:
 
 
 def company_allowed() -> Column:
-    have = F.lower(strip(F.coalesce("p_company", F.lit(""))))
-    return (have == "") | ~_either_way(_norm_list(F.col("u_exclude_companies")), have)
+    return _free("u_exclude_plain") | (F.col("p_company_plain") == "") | ~_either_way(F.col("u_exclude_plain"), F.col("p_company_plain"))
 
 
-def constraints_ok(strict: bool = False) -> Column:
-    """All hard constraints. A satisfied salary skips the later checks unless ``strict``."""
+def constraints_ok(strict: bool = False, located: bool = False) -> Column:
+    """All hard constraints. A satisfied salary skips the later checks unless ``strict``; ``located``: the place is known to fit."""
+    place = F.lit(True) if located else location_ok()
     rest = (work_type_ok() & industry_ok() & company_type_ok() & start_date_ok() & commute_ok() & company_allowed())
     if strict:
-        return location_ok() & salary_ok() & rest
+        return salary_ok() & rest & place
     applies, ok, plausible = _salary_scales()
-    return location_ok() & F.when(applies, ok | (~plausible & rest)).otherwise(rest)
+    return F.when(applies, ok | (~plausible & rest)).otherwise(rest) & place
 
 
 # --- match score --------------------------------------------------------------------------
 
-def skill_score(cfg: MatcherConfig) -> Column:
-    job, user, weights = F.col("p_skills"), F.col("u_skill_names"), F.col("u_skill_weights")
-    n = F.size(job).cast("double")
-    hit = F.size(F.array_intersect(job, user)).cast("double")
+def skill_hits() -> Column:
+    """Skills of the posting that the user has; the scores read its size and weights."""
+    return F.array_intersect("p_skills", "u_skill_names")
+
+
+def skill_score(cfg: MatcherConfig, hits: Column | None = None) -> Column:
+    hits = skill_hits() if hits is None else hits
+    n, users = F.size("p_skills").cast("double"), F.size("u_skill_names")
+    hit = F.size(hits).cast("double")
     coverage = F.try_divide(hit, n)
-    weighted = F.try_divide(F.aggregate(
-        job, F.lit(0.0), lambda s, k: s + F.least(F.coalesce(F.try_element_at(weights, k), F.lit(0.0)), F.lit(1.0))), n)
-    raw = coverage * 0.5 + weighted * 0.3 + F.try_divide(hit, n + F.size(user) - hit) * 0.2
+    weighted = F.try_divide(F.aggregate(hits, F.lit(0.0), lambda s, k: s + F.least(F.coalesce(F.try_element_at("u_skill_weights", k), F.lit(0.0)), F.lit(1.0))), n)
+    raw = coverage * 0.5 + weighted * 0.3 + F.try_divide(hit, n + users - hit) * 0.2
     low = coverage < cfg.min_skill_coverage
     raw = F.when(low, F.greatest(F.lit(0.0), raw - (cfg.min_skill_coverage - coverage) * 0.5)).otherwise(raw)
-    return F.when(n == 0, 0.5).when(F.size(user) == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), raw))
+    return F.when(n == 0, 0.5).when((users == 0) | (hit == 0), F.lit(0.0)).otherwise(F.least(F.lit(1.0), raw))
 
 
 def education_match() -> Column:
     req = empty_to_null("p_required_education")
-    need, have = education_ordinal(req), F.col("u_education_level")
+    need, have = F.col("p_education_need"), F.col("u_education_level")
     base = F.when(have >= need, F.lit(1.0)).otherwise(F.greatest(F.lit(0.3), F.try_divide(have.cast("double"), need.cast("double"))))
     major = F.coalesce(F.array_contains("p_preferred_majors", F.col("u_major")), F.lit(False))
     base = F.when(major, F.least(F.lit(1.0), base * 1.2)).otherwise(base)
@@ -250,25 +252,17 @@ def preference_tokens(v: Column) -> Column:
 
 
 def preference_match(cfg: MatcherConfig) -> Column:
-    prefs = F.col("u_preferences")
-
-    def equal(p: Column, field: str) -> Column:
-        have = F.col(field)
+    def equal(p: Column) -> Column:
+        have = F.when(p["industry"], F.col("p_industry")).otherwise(F.col("p_company_size"))
         hit = F.array_contains(preference_tokens(p["value"]), have) if cfg.split_preference_values else have == p["value"]
         return F.coalesce(hit, F.lit(False))
 
-    def value(p: Column) -> Column:
-        kind = p["preference_type"]
-        return (F.when(kind == "Industry", F.when(equal(p, "p_industry"), 1.0).otherwise(0.3))
-                .when(kind == "Company Size", F.when(equal(p, "p_company_size"), 1.0).otherwise(0.5))
-                .when(kind == "Work-Life Balance", F.coalesce("p_work_life_balance_score", F.lit(0.5)))
-                .when(kind == "Career Growth", F.coalesce("p_career_growth_score", F.lit(0.5)))
-                .when(kind == "Innovation", F.coalesce("p_innovation_score", F.lit(0.5)))
-                .otherwise(0.5))
-    total = F.aggregate(prefs, F.lit(0.0), lambda s, p: s + p["weight"])
-    got = F.aggregate(prefs, F.lit(0.0), lambda s, p: s + value(p) * p["weight"])
-    empty = F.size(F.coalesce(prefs, F.array().cast("array<struct<preference_type:string,value:string,weight:double>>"))) == 0
-    return F.when(empty | (total == 0), 0.5).otherwise(F.try_divide(got, total))
+    total, weights = F.col("u_preference_total"), F.col("u_preference_weights")
+    got = F.aggregate("u_compared_preferences", F.lit(0.0), lambda s, p: s + p["weight"] * F.when(equal(p), 1.0).when(p["industry"], 0.3).otherwise(0.5))
+    for kind in ("work_life_balance", "career_growth", "innovation"):
+        got = got + weights[kind] * F.coalesce(f"p_{kind}_score", F.lit(0.5))
+    got = got + weights["other"] * 0.5
+    return F.when(F.coalesce(F.size("u_preferences") <= 0, F.lit(True)) | (total == 0), 0.5).otherwise(F.try_divide(got, total))
 
 
 def salary_match() -> Column:
@@ -287,8 +281,8 @@ def location_match() -> Column:
             .when(F.array_contains(locs, job), 1.0).when(_either_way(locs, job), 0.8).otherwise(0.3))
 
 
-def match_columns(cfg: MatcherConfig) -> dict[str, Column]:
-    return {"skill_score": skill_score(cfg), "education_score": education_match(),
+def match_columns(cfg: MatcherConfig, hits: Column | None = None) -> dict[str, Column]:
+    return {"skill_score": skill_score(cfg, hits), "education_score": education_match(),
             "experience_score": experience_match(), "preference_score": preference_match(cfg),
             "salary_score": salary_match(), "location_score": location_match()}
 
@@ -328,14 +322,12 @@ def _parts(values: dict[str, Column], weights: dict[str, float]) -> list[tuple[s
 
 
 def relevance_parts(cfg: RankerConfig) -> list[tuple[str, Column, float]]:
-    wanted = F.coalesce("u_industries", F.array().cast("array<string>"))
-    have = F.lower(strip(F.coalesce("p_industry", F.lit(""))))
-    hit = (have != "") & _either_way(_norm_list(wanted), have)
+    hit = (F.col("p_industry_plain") != "") & industry_hit()
     has_prefs = F.coalesce(F.size("u_preferences") > 0, F.lit(False))
     return _parts({
         "match_alignment": safe_score(F.col("match_score")), "skill_alignment": safe_score(F.col("skill_score")),
         "preference_alignment": F.when(has_prefs, safe_score(F.col("preference_score"))),
-        "industry_alignment": F.when(F.size(wanted) > 0, F.when(hit, 1.0).otherwise(0.35)),
+        "industry_alignment": F.when(~_free("u_industries"), F.when(hit, 1.0).otherwise(0.35)),
     }, cfg.relevance_parts)
 
 
@@ -372,9 +364,9 @@ def market_signal(trend_text: Column, days: Column) -> Column:
     return 0.6 * F.least(F.lit(1.0), 0.45 + demand_hits(trend_text) * 0.08) + 0.4 * fresh
 
 
-def growth_parts(cfg: RankerConfig) -> list[tuple[str, Column, float]]:
+def growth_parts(cfg: RankerConfig, n_hits: Column | None = None) -> list[tuple[str, Column, float]]:
     n = F.size("p_skills")
-    new = F.size(F.array_except("p_skills", F.col("u_skill_names")))
+    new = n - (F.size(skill_hits()) if n_hits is None else n_hits)
     s, lo = F.col("p_salary"), F.col("u_min_salary")
     usable = F.coalesce((s != 0) & (lo != 0), F.lit(False))
     ratio = F.try_divide(s, F.greatest(lo, F.lit(1e-6)))

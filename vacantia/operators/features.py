@@ -43,6 +43,15 @@ def competition(explicit: Column, views: Column, applications: Column, days: Col
             .when(days.isNull(), 0.5).when(days <= 3, 0.7).when(days <= 14, 0.5).when(days <= 30, 0.35).otherwise(0.25))
 
 
+def plain(c: Column) -> Column:
+    return F.lower(strip(F.coalesce(c, F.lit(""))))
+
+
+def plain_list(values: Column) -> Column:
+    """Trimmed, lower-cased entries that are not empty."""
+    return F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda x: F.lower(strip(x))), lambda x: F.coalesce(x != "", F.lit(False)))
+
+
 def posting_features(df: DataFrame, as_of: str, skills: str = "required_skills") -> DataFrame:
     """One row per posting with ``p_`` columns, all relative to ``as_of``."""
     now = F.lit(as_of).cast("timestamp_ntz")
@@ -102,6 +111,11 @@ def posting_features(df: DataFrame, as_of: str, skills: str = "required_skills")
         _has(df, "preferred_industries", "array<string>").alias("p_preferred_industries"),
         *[_has(df, c, "double").cast("double").alias(f"p_{c}") for c in
           ("work_life_balance_score", "career_growth_score", "innovation_score")],
+        # Plain forms that the pair scores compare, made once per posting.
+        plain(work).alias("p_work_plain"), plain(F.coalesce(industry, F.lit("Unknown"))).alias("p_industry_plain"),
+        plain(F.coalesce(empty_to_null(_has(df, "employer")), empty_to_null(_has(df, "company")), F.lit("Unknown Company"))).alias("p_company_plain"),
+        plain(raw_value(df, "company_type", "organization_type")).alias("p_company_type_plain"),
+        sc.education_ordinal(empty_to_null(edu)).alias("p_education_need"),
         (job_link() if {"apply_url", "url"} <= set(df.columns) else F.lit(None).cast("string")).alias("p_job_url"),
         _has(df, "source").alias("p_source"), _has(df, "category").alias("p_category"))
 
@@ -135,6 +149,12 @@ def profile_features(profiles: DataFrame) -> DataFrame:
         level = F.when(edu["level"] == name, F.lit(i)).otherwise(level)
     skills = F.coalesce("skills", F.array().cast("array<struct<name:string,proficiency:double,years_of_experience:double>>"))
     c = F.col("constraints")
+    prefs = F.coalesce("preferences", F.array().cast("array<struct<preference_type:string,value:string,weight:double>>"))
+
+    def weight_of(*kinds: str) -> Column:
+        return F.aggregate(prefs, F.lit(0.0), lambda s, p: s + F.when(p["preference_type"].isin(*kinds), p["weight"]).otherwise(0.0))
+    by_score = {"work_life_balance": "Work-Life Balance", "career_growth": "Career Growth", "innovation": "Innovation"}
+    compared = F.filter(prefs, lambda p: p["preference_type"].isin("Industry", "Company Size"))
     return profiles.withColumn("_edu", edu).select(
         F.col("user_id").alias("u_user_id"), F.col("name").alias("u_name"),
         skill_map(skills).alias("u_skill_weights"),
@@ -150,4 +170,12 @@ def profile_features(profiles: DataFrame) -> DataFrame:
         c["locations"].alias("u_locations"), c["min_salary"].alias("u_min_salary"), c["max_salary"].alias("u_max_salary"),
         c["work_type"].alias("u_work_type"), c["start_date"].cast("date").alias("u_start_date"),
         c["industries"].alias("u_industries"), c["company_types"].alias("u_company_types"),
-        c["exclude_companies"].alias("u_exclude_companies"), c["max_commute_time"].cast("double").alias("u_max_commute_time"))
+        c["exclude_companies"].alias("u_exclude_companies"), c["max_commute_time"].cast("double").alias("u_max_commute_time"),
+        # Plain forms and sums that the pair scores use, made once per user.
+        plain(c["work_type"]).alias("u_work_plain"), plain_list(c["industries"]).alias("u_industries_plain"),
+        plain_list(c["company_types"]).alias("u_company_types_plain"), plain_list(c["exclude_companies"]).alias("u_exclude_plain"),
+        F.transform(compared, lambda p: F.struct(
+            (p["preference_type"] == "Industry").alias("industry"), p["value"].alias("value"), p["weight"].alias("weight"))).alias("u_compared_preferences"),
+        F.aggregate(prefs, F.lit(0.0), lambda s, p: s + p["weight"]).alias("u_preference_total"),
+        F.struct(*[weight_of(kind).alias(name) for name, kind in by_score.items()],
+                 (F.aggregate(prefs, F.lit(0.0), lambda s, p: s + p["weight"]) - weight_of("Industry", "Company Size", *by_score.values())).alias("other")).alias("u_preference_weights"))

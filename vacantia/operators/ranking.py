@@ -20,7 +20,7 @@ CHUNK_ROWS = 4096
 
 def with_objectives(scored: DataFrame, cfg: RankerConfig | None = None, breakdowns: bool = False) -> DataFrame:
     cfg = cfg or RankerConfig()
-    parts = {"relevance": sc.relevance_parts(cfg), "feasibility": sc.feasibility_parts(cfg), "growth": sc.growth_parts(cfg)}
+    parts = {"relevance": sc.relevance_parts(cfg), "feasibility": sc.feasibility_parts(cfg), "growth": sc.growth_parts(cfg, F.col("n_hits") if "n_hits" in scored.columns else None)}
     out = scored.withColumns({n: sc.weighted_with_missing(p) for n, p in parts.items()})
     if breakdowns:
         out = out.withColumns({f"{n}_breakdown": sc.breakdown(p) for n, p in parts.items()})
@@ -229,6 +229,11 @@ def rank(matched: DataFrame, cfg: RankerConfig | None = None, breakdowns: bool =
         top = relax(top_per_key(rows, ["u_user_id"], order, limit, "score_rank", row="p_job_id")).withColumn("position", F.col("score_rank") - 1)
     else:
         top = positions(relaxed(rows), ["u_user_id"], order).withColumn("score_rank", F.col("position") + 1)
+    return listed(top, cfg)
+
+
+def listed(top: DataFrame, cfg: RankerConfig) -> DataFrame:
+    """The final list of rows that have a ``position``: calibrated if asked for, then the first ``top_k``."""
     if cfg.calibration:
         top = calibrate(top)
     last = [F.desc(F.round("final_score", 9)), F.col("position")] if cfg.calibration else [F.col("position")]

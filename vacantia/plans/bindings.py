@@ -71,6 +71,14 @@ SELECT CAST(l_orderkey AS STRING) AS job_id, p_name AS skill_text,
 FROM {lineitem} JOIN {part} ON l_partkey = p_partkey
 """
 
+# merged posting -> skill mentions: of feed postings one row per order line, of listed ones the part they offer
+MENTIONED_SQL = """
+SELECT 'jobs_ac_uk_' || CAST(l_orderkey AS STRING) AS job_id, p_name AS skill_text FROM {lineitem} JOIN {part} ON l_partkey = p_partkey
+UNION ALL
+SELECT 'adzuna_' || CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING), p_name
+FROM {lineitem} JOIN {part} ON l_partkey = p_partkey
+"""
+
 NORMALIZED_SQL = """
 SELECT CAST(l_orderkey AS STRING) AS job_id, p_name AS raw_skill_text, p_name || ' (' || p_type || ')' AS normalized_skill_name,
        CAST(0.6 + CAST(l_discount AS DECIMAL(5,4)) * 4 AS DECIMAL(5,4)) AS similarity_score,

@@ -7,13 +7,14 @@ from vacantia.functions import scoring as sc
 from vacantia.operators import matching as m
 from vacantia.operators import ranking as rk
 from vacantia.operators import reasoning as rs
+from vacantia.operators import recommend as rc
 from vacantia.operators.catalog import salary_display
 from vacantia.operators.features import posting_features, profile_features
-from vacantia.operators.unify import map_a, with_keys, is_complete
-from vacantia.plans.bindings import (HISTORY_SQL, MENTIONS_SQL, USER_SKILLS_SQL, USERS_SQL, bind, duck, profiles, source_a)
+from vacantia.plans.bindings import MENTIONED_SQL, USER_SKILLS_SQL, USERS_SQL, bind, duck, profiles
 from vacantia.sources import sinks
-from vacantia.util import r6, r6e, top_per_key
+from vacantia.util import r6, r6e
 
+from . import merge
 from .merge import UNIFIED
 
 AS_OF = "1998-06-01 00:00:00"
@@ -24,11 +25,9 @@ def users(spark, d):
 
 
 def postings(spark, d):
-    """Feed postings with the skills mentioned on their lines."""
-    skills = (bind(spark, d, MENTIONS_SQL).groupBy("job_id").agg(F.array_sort(F.collect_set("skill_text")).alias("required_skills"))
-              .withColumnRenamed("job_id", "source_job_id"))
-    rows = with_keys(map_a(source_a(spark, d))).filter(is_complete()).join(skills, "source_job_id", "left")
-    return posting_features(rows, AS_OF)
+    """The merged table, each posting once, with the skills mentioned for it."""
+    skills = bind(spark, d, MENTIONED_SQL).groupBy("job_id").agg(F.array_sort(F.collect_set("skill_text")).alias("required_skills"))
+    return posting_features(merge.postings(spark, d).join(skills, "job_id", "left"), AS_OF)
 
 
 def matched(spark, d):
@@ -49,19 +48,23 @@ def _sig(x, k, x0=0.0):
 
 USERS = f"users AS ({duck(USERS_SQL)})"
 USK = f"usk AS (SELECT user_id, lower(name) AS skill, proficiency, years_of_experience AS yrs, proficiency * (1 + years_of_experience * 0.1) AS w FROM ({duck(USER_SKILLS_SQL)})), un AS (SELECT user_id, count(*) AS nu FROM usk GROUP BY 1)"
-JSK = f"jsk AS (SELECT DISTINCT 'jobs_ac_uk_' || job_id AS job_id, skill_text AS skill FROM ({duck(MENTIONS_SQL)})), jn AS (SELECT job_id, count(*) AS nj FROM jsk GROUP BY 1)"
+JSK = f"jsk AS (SELECT DISTINCT m.job_id, skill_text AS skill FROM ({duck(MENTIONED_SQL)}) m JOIN postings USING (job_id)), jn AS (SELECT job_id, count(*) AS nj FROM jsk GROUP BY 1)"
 POST = f"""p0 AS (SELECT *, list_transform(regexp_extract_all(salary, '\\d[\\d,]*\\.?\\d*'), lambda x: CAST(replace(x, ',', '') AS DOUBLE)) AS nums,
-  CAST(floor((epoch(TIMESTAMP '{AS_OF}') - epoch(published_date)) / 86400.0) AS INT) AS days0,
-  CAST(floor((epoch(closing_date) - epoch(TIMESTAMP '{AS_OF}')) / 86400.0) AS INT) AS to_close FROM unified WHERE source = 'jobs_ac_uk'),
-p1 AS (SELECT *, list_min(nums) AS lo, list_max(nums) AS hi, greatest(0, days0) AS days FROM p0),
+  CAST(floor((epoch(TIMESTAMP '{AS_OF}') - epoch(coalesce(published_date, created))) / 86400.0) AS INT) AS days0,
+  CAST(floor((epoch(closing_date) - epoch(TIMESTAMP '{AS_OF}')) / 86400.0) AS INT) AS to_close FROM postings),
+p1 AS (SELECT *, coalesce(salary_min::DOUBLE, CASE WHEN salary_max IS NULL THEN list_min(nums) END) AS lo, coalesce(salary_max::DOUBLE, CASE WHEN salary_min IS NULL THEN list_max(nums) END) AS hi, greatest(0, days0) AS days FROM p0),
 post AS (SELECT job_id, title, company, location, salary AS salary_text, (lo + hi) / 2.0 AS sal, lo, hi, coalesce(required_experience_years, 0) AS req_years, required_education AS req_edu,
-  lower(trim(industry)) AS ind, industry, coalesce(nullif(job_type,''), 'Full-time') AS wt, published_date::DATE AS start_d, days, to_close, description,
+  lower(trim(industry)) AS ind, industry, coalesce(nullif(job_type,''), 'Full-time') AS wt, coalesce(published_date, created)::DATE AS start_d, days, to_close, description,
   coalesce(view_count, 0) AS views, coalesce(application_count, 0) AS apps,
-  CASE WHEN coalesce(view_count,0) > 0 OR coalesce(application_count,0) > 0 THEN least(1.0, least(1.0, coalesce(view_count,0) / 5000.0) * 0.7 + least(1.0, coalesce(application_count,0) / 200.0) * 0.3)
+  CASE WHEN competition_level IS NOT NULL THEN least(1.0, greatest(0.0, competition_level)) WHEN coalesce(view_count,0) > 0 OR coalesce(application_count,0) > 0 THEN least(1.0, least(1.0, coalesce(view_count,0) / 5000.0) * 0.7 + least(1.0, coalesce(application_count,0) / 200.0) * 0.3)
        WHEN days <= 3 THEN 0.7 WHEN days <= 14 THEN 0.5 WHEN days <= 30 THEN 0.35 ELSE 0.25 END AS comp,
-  0.6 * least(1.0, 0.45 + 0.08 * ({' + '.join(f"contains(tr, '{w}')::INT" for w in sc.DEMAND_WORDS)}))
+  0.6 * least(1.0, 0.45 + 0.08 * ({' + '.join(f"contains(tr, '{w}')::INT" for w in ('ai', 'machine learning', 'data', 'cloud', 'security', 'platform', 'backend', 'software', 'analytics', 'product'))}))
     + 0.4 * CASE WHEN days <= 7 THEN 0.9 WHEN days <= 21 THEN 0.75 WHEN days <= 45 THEN 0.6 ELSE 0.45 END AS market
  FROM (SELECT *, lower(title || ' ' || coalesce(category,'') || ' ' || coalesce(subcategory,'') || ' ' || coalesce(industry,'Unknown')) AS tr FROM p1))"""
+#: Pairs to score whether they fit or not: users with the postings made from their own orders and order lines.
+GIVEN_SQL = """SELECT 'u' || CAST(o_custkey AS STRING) AS user_id, 'jobs_ac_uk_' || CAST(o_orderkey AS STRING) AS job_id FROM {orders}
+UNION SELECT 'u' || CAST(o_custkey AS STRING), 'adzuna_' || CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING)
+FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey"""
 _SCALE = [1.0, 1000.0, 10000.0]
 _OKS = " OR ".join(f"(sal/{x} >= min_salary AND coalesce(sal/{x} <= max_salary*3.0, true))" for x in _SCALE)
 _PLS = " OR ".join(f"(sal/{x} >= min_salary/2.0 AND sal/{x} <= coalesce(max_salary, min_salary)*2.0)" for x in _SCALE)
@@ -112,7 +115,7 @@ gated AS (SELECT s.*, NOT any_pass AS used_relaxed FROM scored s JOIN gate USING
 
 W0 = f"WITH {UNIFIED}, {USERS}, {POST}, {CANDS}"
 W = f"WITH {UNIFIED}, {USERS}, {USK}, {JSK}, {POST}, {CANDS}, {chain()}"
-PAIRS = f"given AS (SELECT 'u' || CAST(o_custkey AS STRING) AS gu, 'jobs_ac_uk_' || CAST(o_orderkey AS STRING) AS gj FROM orders)"
+PAIRS = f"given AS (SELECT user_id AS gu, job_id AS gj FROM ({duck(GIVEN_SQL)}))"
 WG = f"""WITH {UNIFIED}, {USERS}, {USK}, {JSK}, {POST}, {PAIRS},
 chk AS (SELECT *, CASE WHEN sal IS NULL THEN NULL ELSE ({_OKS}) END AS s_ok, ({_PLS}) AS s_pl, (place IS NULL OR contains(location, place) OR contains(place, location)) AS loc_ok,
   (CASE WHEN work_type IS NULL THEN true WHEN contains(lower(work_type),'full') THEN contains(lower(wt),'full') ELSE contains(lower(wt),'part') END)
@@ -122,7 +125,7 @@ chk AS (SELECT *, CASE WHEN sal IS NULL THEN NULL ELSE ({_OKS}) END AS s_ok, ({_
 
 
 def given_pairs(spark, d):
-    return bind(spark, d, "SELECT 'u' || CAST(o_custkey AS STRING) AS user_id, 'jobs_ac_uk_' || CAST(o_orderkey AS STRING) AS job_id FROM {orders}")
+    return bind(spark, d, GIVEN_SQL)
 
 
 def given_scored(spark, d):
@@ -139,7 +142,8 @@ def features(spark, d):
 
 
 def salary_shown(spark, d):
-    return postings(spark, d).select(F.col("p_job_id").alias("job_id"), salary_display("p_salary_text", "p_salary_min", "p_salary_max").alias("shown"))
+    return postings(spark, d).select(F.col("p_job_id").alias("job_id"), salary_display("p_salary_text", "p_salary_min", "p_salary_max").alias("shown"),
+                                     salary_display(F.lit(None).cast("string"), F.col("p_salary_min").cast("bigint"), F.col("p_salary_max").cast("bigint")).alias("range_only"))
 
 
 def constraint_flags(spark, d):
@@ -155,7 +159,8 @@ def scored_all(spark, d):
 
 
 def explained(spark, d):
-    return ids(m.top_matches(matched(spark, d), 5), "match_rank", r6e("match_score").alias("match_score"), "used_relaxed", "explanation")
+    best = rc.best_rows(rc.Sides(users(spark, d), postings(spark, d)), 5, "match_score")
+    return ids(m.top_matches(best.drop("score_rank"), 5), "match_rank", r6e("match_score").alias("match_score"), "used_relaxed", "explanation")
 
 
 def objectives(spark, d):
@@ -167,25 +172,28 @@ PLAIN = RankerConfig(diversity_factor=0.0, calibration=False, top_k=10)
 CALIBRATED = RankerConfig(diversity_factor=0.0, top_k=10)
 
 
+def listed(spark, d, cfg):
+    return rc.recommend(users(spark, d), postings(spark, d), cfg)
+
+
 def ranked(cfg):
     def run(spark, d):
-        return ids(rk.rank(matched(spark, d), cfg), "rank", r6e("final_score").alias("final_score"), "used_relaxed")
+        return ids(listed(spark, d, cfg), "rank", r6e("final_score").alias("final_score"), "used_relaxed")
     return run
 
 
 def capped(spark, d):
-    rows = rk.relaxed(rk.with_objectives(matched(spark, d)))
-    top = top_per_key(rows, ["u_user_id"], rk.score_order(), 2000, "score_rank", row="p_job_id")
+    top = m.relax(rc.best_rows(rc.Sides(users(spark, d), postings(spark, d)), 2000))
     return ids(top, "score_rank", r6e("final_score").alias("final_score"))
 
 
 def ranking_text(spark, d):
-    top = rk.rank(matched(spark, d), PLAIN)
+    top = listed(spark, d, PLAIN)
     return ids(top, sc.ranking_explanation().alias("explanation"))
 
 
 def summary(spark, d):
-    s = rk.ranking_summary(rk.rank(matched(spark, d), PLAIN))
+    s = rk.ranking_summary(listed(spark, d, PLAIN))
     return s.select(F.col("u_user_id").alias("user_id"), "total_jobs", *[r6e(c).alias(c) for c in (
         "avg_relevance", "avg_feasibility", "avg_growth", "top_relevance", "top_feasibility", "top_growth")],
         "high_quality", "medium_quality", "low_quality")
@@ -193,7 +201,7 @@ def summary(spark, d):
 
 def recommendations(spark, d):
     """Default ranking with diversity and calibration, explained and shaped for the history."""
-    top = rk.rank(matched(spark, d), RankerConfig(top_k=10))
+    top = listed(spark, d, RankerConfig(top_k=10))
     out = rs.gap_report(rs.skill_sets(top))
     return ids(out, "rank", r6e("final_score").alias("final_score"), sc.ranking_explanation().alias("explanation"), "reasoning",
                rs.format_gaps().alias("gaps"))
@@ -223,7 +231,7 @@ def merged_answers(spark, d):
 
 def diagnostics(spark, d):
     u, p = users(spark, d), postings(spark, d)
-    return m.run_diagnostics(u, p, rk.rank(m.match(u, p), PLAIN)).withColumnRenamed("u_user_id", "user_id")
+    return m.run_diagnostics(u, p, rc.recommend(u, p, PLAIN)).withColumnRenamed("u_user_id", "user_id")
 
 
 def breakdowns(spark, d):
@@ -237,7 +245,7 @@ def breakdowns(spark, d):
 def persisted(spark, d):
     """Append ranked rows to a history folder and read them back."""
     from vacantia.util import shared_dir
-    top = rk.rank(matched(spark, d), PLAIN, breakdowns=True).withColumn("explanation", sc.ranking_explanation())
+    top = rk.with_objectives(listed(spark, d, PLAIN), PLAIN, breakdowns=True).withColumn("explanation", sc.ranking_explanation())
     rec = sinks.match_records(top.withColumnsRenamed({"u_user_id": "user_id", "p_job_id": "job_id"}), "run-1", F.lit(AS_OF).cast("timestamp_ntz"),
                               {n: f"{n}_breakdown" for n in ("relevance", "feasibility", "growth")})
     path = shared_dir(spark, "history")
@@ -334,7 +342,28 @@ _GAPS = """gs AS (SELECT s.user_id, s.job_id, string_agg(j.skill, '|' ORDER BY j
 _LISTS = """gl AS (SELECT s.user_id, s.job_id, coalesce(list(j.skill ORDER BY j.skill) FILTER (k.skill IS NOT NULL), []) AS ml, coalesce(list(j.skill ORDER BY j.skill) FILTER (j.skill IS NOT NULL AND k.skill IS NULL), []) AS mi,
   coalesce(list(j.skill ORDER BY j.skill) FILTER (k.proficiency < 0.65 OR k.yrs < 1), []) AS wk FROM scored s LEFT JOIN jsk j USING (job_id) LEFT JOIN usk k ON k.user_id = s.user_id AND k.skill = j.skill GROUP BY 1, 2),
   gt AS (SELECT s.*, ml, list_concat(mi[1:5], wk)[1:5] AS gn, list_concat(list_transform(mi[1:5], lambda x: x || ' (high)'), list_transform(wk, lambda x: x || ' (medium)'))[1:5] AS gx FROM scored s JOIN gl USING (user_id, job_id))"""
+_R = "WITH RECURSIVE " + W.removeprefix("WITH ")
+_PICKED = f"""{_R}, start AS (SELECT *, round(final_score, 9) AS fs, row_number() OVER (PARTITION BY user_id ORDER BY round(final_score, 9) DESC, round(match_score, 9) DESC, job_id) AS ord FROM gated),
+walk AS (SELECT user_id, job_id, fs, company, industry_p, wt, ord, 0.0::DOUBLE AS sim, 0 AS step, ord = 1 AS chosen FROM start
+  UNION ALL SELECT user_id, job_id, fs, company, industry_p, wt, ord2, sim2, step + 1, ord2 = 1 FROM (
+    SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY fs * (1 - 0.1::DOUBLE * sim2) DESC, ord) AS ord2 FROM (
+      SELECT *, greatest(sim, ((company = c1)::INT + (industry_p = i1)::INT + (wt = w1)::INT) / 3.0::DOUBLE) AS sim2 FROM (
+        SELECT *, max(CASE WHEN chosen THEN company END) OVER u AS c1, max(CASE WHEN chosen THEN industry_p END) OVER u AS i1, max(CASE WHEN chosen THEN wt END) OVER u AS w1
+        FROM walk WINDOW u AS (PARTITION BY user_id)) WHERE NOT chosen)) WHERE step < 9),
+cal AS (SELECT g.* EXCLUDE (final_score), step, final_score * (1.0 - step * 0.01) * CASE WHEN views > 1000 THEN 0.95 ELSE 1.0 END * CASE WHEN days > 30 THEN 0.9 ELSE 1.0 END AS final_score
+  FROM walk w JOIN gated g ON g.user_id = w.user_id AND g.job_id = w.job_id WHERE chosen),
+lst AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY round(final_score, 9) DESC, step) AS INT) AS rank FROM cal)"""
+_LIST_ROWS = """gl AS (SELECT s.user_id, s.job_id, coalesce(list(j.skill ORDER BY j.skill) FILTER (k.skill IS NOT NULL), []) AS ml, coalesce(list(j.skill ORDER BY j.skill) FILTER (j.skill IS NOT NULL AND k.skill IS NULL), []) AS mi,
+  coalesce(list(j.skill ORDER BY j.skill) FILTER (k.proficiency < 0.65 OR k.yrs < 1), []) AS wk FROM lst s LEFT JOIN jsk j USING (job_id) LEFT JOIN usk k ON k.user_id = s.user_id AND k.skill = j.skill GROUP BY 1, 2),
+  gt AS (SELECT s.*, list_concat(mi[1:5], wk)[1:5] AS gn, list_concat(list_transform(mi[1:5], lambda x: x || ' (high)'), list_transform(wk, lambda x: x || ' (medium)'))[1:5] AS gx FROM lst s JOIN gl USING (user_id, job_id))"""
 ORACLE = {
+    "w08_diverse_ranking": f"{_PICKED} SELECT user_id, job_id, rank, round(final_score + 1e-9, 6) AS final_score, used_relaxed FROM lst",
+    "recommendations_end_to_end": f"""{_PICKED}, {_LIST_ROWS} SELECT user_id, job_id, rank, round(final_score + 1e-9, 6) AS final_score, {_REXP} AS explanation,
+        'Overall fit is about ' || {_pc('round(final_score, 4)')} || ' (relevance ' || {_pc('round(relevance, 4)')} || '). Use that as a rough readiness signal alongside your own review of the full posting.'
+        || CASE WHEN len(gn) > 0 THEN ' Concrete gaps to address: ' || array_to_string(gn[1:4], ', ') || '. Closing these will materially improve alignment.'
+           ELSE ' Against the skills we can see, you largely meet requirements; focus next on depth, proof of impact, and any niche tools the employer stresses.' END
+        || ' Plan development in short milestones (courses, certifications, or scoped projects) rather than vague study goals.' AS reasoning,
+        CASE WHEN len(gx) = 0 THEN 'No obvious skill gaps identified' ELSE array_to_string(gx[1:3], ', ') END AS gaps FROM gt""",
     "c22_c26_gap_texts": f"""{WG}, {_LISTS} SELECT user_id, job_id, concat_ws('; ', CASE WHEN len(ml) > 0 THEN 'Covered core skills: ' || array_to_string(ml[1:3], ', ') END,
         CASE WHEN education_score >= 0.9 THEN 'Education background is well aligned with the job requirements.' END, CASE WHEN location_score >= 0.8 THEN 'Job location matches the user''s preference.' END) AS strengths,
         CASE WHEN len(gx) = 0 THEN 'No obvious skill gaps identified' ELSE array_to_string(gx[1:3], ', ') END AS gaps,
@@ -349,12 +378,14 @@ ORACLE = {
         'Overall fit is about ' || {_pc('round(final_score, 4)')} || ' (relevance ' || {_pc('round(relevance, 4)')} || '). Use that as a rough readiness signal alongside your own review of the full posting.'
         || CASE WHEN len(gn) > 0 THEN ' Concrete gaps to address: ' || array_to_string(gn[1:4], ', ') || '. Closing these will materially improve alignment.'
            ELSE ' Against the skills we can see, you largely meet requirements; focus next on depth, proof of impact, and any niche tools the employer stresses.' END
-        || ' Plan development in short milestones (courses, certifications, or scoped projects) rather than vague study goals.' AS rsn FROM gt JOIN st USING (job_id))
+        || ' Plan development in short milestones (courses, certifications, or scoped projects) rather than vague study goals.' AS rsn FROM gt LEFT JOIN st USING (job_id))
         SELECT user_id, job_id, CASE WHEN os = 'F' THEN 'external view of ' || op ELSE rsn END AS reasoning, CASE WHEN os = 'O' THEN 'steady' ELSE str END AS strengths,
         CASE WHEN os = 'F' THEN 'welding (medium)' ELSE gp END AS gaps FROM b""",
     "p15_p20_posting_features": f"""WITH {UNIFIED}, {POST} SELECT job_id, round(sal + 1e-9, 6) AS salary, req_years AS years, req_edu AS education, industry, wt AS work_type, days, to_close,
         views, apps AS applications, round(comp + 1e-9, 6) AS competition, round(market + 1e-9, 6) AS market, 0.65 AS seniority, description AS snippet FROM post""",
-    "p21_salary_display": f"WITH {UNIFIED}, {POST} SELECT job_id, CASE WHEN salary_text <> '' THEN salary_text WHEN coalesce(lo,0) = 0 AND coalesce(hi,0) = 0 THEN 'Salary not provided' ELSE CAST(lo AS VARCHAR) END AS shown FROM post",
+    "p21_salary_display": f"""WITH {UNIFIED}, {POST} SELECT job_id, CASE WHEN salary_text <> '' THEN salary_text WHEN coalesce(lo,0) = 0 AND coalesce(hi,0) = 0 THEN 'Salary not provided' ELSE CAST(lo AS VARCHAR) END AS shown,
+        CASE WHEN coalesce(trunc(lo),0) = 0 AND coalesce(trunc(hi),0) = 0 THEN 'Salary not provided' WHEN coalesce(trunc(hi),0) = 0 OR trunc(lo) = trunc(hi) THEN CAST(CAST(trunc(lo) AS BIGINT) AS VARCHAR) WHEN coalesce(trunc(lo),0) = 0 THEN CAST(CAST(trunc(hi) AS BIGINT) AS VARCHAR)
+          ELSE CAST(CAST(trunc(lo) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(trunc(hi) AS BIGINT) AS VARCHAR) END AS range_only FROM post""",
     "f10_f14_constraint_flags": f"""WITH {UNIFIED}, {USERS}, {POST}, {PAIRS}, x AS (SELECT u.*, u.industry AS industry_u, p.* RENAME (industry AS industry_p) FROM given JOIN users u ON gu = user_id JOIN post p ON gj = job_id),
         y AS (SELECT *, (place IS NULL OR contains(location, place) OR contains(place, location)) AS location_f, ({_OKS}) AS ok, ({_PLS}) AS pl,
         (CASE WHEN work_type IS NULL THEN true WHEN contains(lower(work_type),'full') THEN contains(lower(wt),'full') ELSE contains(lower(wt),'part') END) AS wf,
