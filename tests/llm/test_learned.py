@@ -1,6 +1,7 @@
 """Main text, URL trees and the byte network."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -131,3 +132,39 @@ def test_language_of_odd_rows(spark, frame):
     assert by[103]["lang_pred"] == "en" and by[None]["held_out"] is False and {r["lang_pred"] for r in got} <= {"en", "de", "und"}
     assert {r["lang_pred"] for r in c.predict(frame([(1, "text", None)])).collect()} == {"und"}
     assert c.predict(frame([])).collect() == []
+
+
+def test_main_text_region_is_decided_by_clusters():
+    """The threshold decides which element is the article, where nothing marks it; a marked one needs half of the clusters."""
+    page = f"<div><div><p>{LONG}</p><p>End.</p></div><div>{''.join(f'<a>x{k}</a><br><a>y</a><p>z{k}</p>' for k in range(9))}</div></div>"
+    assert t.main_text(page) == f"{LONG}\nEnd."
+    assert t.main_text(page, strictness=0) != t.main_text(page)
+    teaser = f"<article><p>Short.</p></article><div><p>{LONG}</p><p>{LONG}</p></div>"
+    assert t.main_text(f"<body><div>{teaser}</div></body>") == f"{LONG}\n{LONG}"
+    assert t.main_text(f"<h1>Title</h1><p>{LONG}</p><p>End.</p><div><a>x</a></div>") == f"Title\n{LONG}\nEnd."
+    assert t.main_text(f"<div class=ad>{LONG}</div><article><p>Short text.</p></article>") == "Short text."
+
+
+def test_smoothing_and_threshold():
+    values = np.array([0.0, 0, 10, 0, 0, 0])
+    level = t.smoothed(values, 1.0)
+    want = [sum(values[min(max(i + k, 0), 5)] * np.exp(-k * k / 2) for k in range(-3, 4)) / sum(np.exp(-k * k / 2) for k in range(-3, 4)) for i in range(6)]
+    assert np.allclose(level, want)
+    blocks = [t.Block("x" * n, tags, "p", -1, -1) for n, tags in ((100, 1), (100, 1), (2, 4), (3, 5), (1, 9))]
+    assert t.dense(blocks, 0.5, 0.6).tolist() == [True, True, False, False, False]
+    assert t.dense(blocks, 0.5, 0.0).all()
+
+
+def test_main_text_of_deep_and_open_markup():
+    start = time.time()
+    assert t.main_text("<div>" * 50_000 + LONG + "</div>" * 50_000) == LONG
+    assert t.main_text("<div class=menu><p>a</p>" * 20_000) != LONG
+    assert t.main_text(f"<p>{LONG}</p>" + "<!--" * 20_000) == LONG
+    assert time.time() - start < 30
+    assert t.main_text(f"<p>{LONG}</p><!-- open <p>hidden words") == LONG
+    assert t.main_text(f"<p>{LONG}</p><!-- a --><p>{LONG}</p>") == f"{LONG}\n{LONG}"
+    assert t.main_text(f"<script><!-- x </script><p>{LONG}</p>") == LONG
+
+
+def test_numbers_are_no_letters():
+    assert not any(map(c.has_letter, [None, "", "12", "²½", "①", "Ⅷ", "_-"])) and c.has_letter("1a") and c.has_letter("中")

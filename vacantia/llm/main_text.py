@@ -3,13 +3,16 @@
 The standard library's streaming parser turns a page into events; these make blocks (what a reader sees as
 a line or paragraph), each with its letters, its tags and its place in the page. Menus, headers, footers, side bars, notices,
 adverts, forms, comments of readers, scripts and styles are known by their element, role or class and
-give no blocks. A form or a name in class or id is only suspect: such an element is read as usual if it holds more than half of the letters in dense
-blocks, or all articles of the page and more such letters than stand outside of suspects (comments of readers do not count and stay out). The ratio of letters to tags of each block is smoothed with a Gaussian along the page; blocks
-above the threshold form the content clusters. The element that holds these clusters is the article, and
-all its blocks are kept, a paragraph of one word too.
+give no blocks. A form or a name in class or id is only suspect: such an element is read as usual if no article stands outside of such and it holds more than half of the letters in dense
+blocks, or if it holds all articles of the page and more such letters than stand outside of suspects (comments of readers do not count and stay out). The ratio of letters to tags of each block is smoothed with a Gaussian along the page; blocks
+above the threshold form the content clusters. The innermost element that holds four fifths of the clusters' letters is the article, or an
+``article`` or ``main`` that holds half of them; all its blocks are kept, a paragraph of one word too. If only the page itself holds the clusters, what lies between the first and the
+last is kept, and headings and paragraphs that touch them.
+
+Elements are numbered with links to their parents, so a page costs what its length is, however deep it is nested.
 
 Defined results: null or empty pages, and pages with no text outside the named parts, give empty text. Unclosed,
-crossed or cut markup is closed as far as needed. Nothing is cut by length. Rows are handled one by one, so repeated
+crossed or cut markup is closed as far as needed; a comment that never ends reaches to the end of the page. Nothing is cut by length. Rows are handled one by one, so repeated
 rows give repeated rows; an empty table gives an empty result. Other columns are ignored.
 """
 
@@ -19,6 +22,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +40,13 @@ NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer "
     "form login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted recommended related "
     "reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
+PROSE = frozenset("blockquote h1 h2 h3 h4 h5 h6 p pre".split())
 HEADS = frozenset("header masthead banner".split())
 THREADS = frozenset("comment comments disqus reply replies respond".split())
 #: What follows these in a name tells what an element has beside it, or lacks.
 BESIDE = frozenset("has no with without".split())
 PART = re.compile("[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+END_OF_COMMENT = re.compile(r"--!?\s*>")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
@@ -55,35 +61,46 @@ def names_of(value: str) -> set[str]:
     return out
 
 
-class Blocks(HTMLParser):
-    """Events to blocks of (text, tags, containers that hold it).
+class Block(NamedTuple):
+    text: str
+    tags: int
+    element: str  # that it is the text of
+    container: int  # number of the innermost one, -1 for none
+    suspect: int  # number of the innermost one, -1 for none
+
 
-    ``free``: numbers of the suspect elements that are read as usual; null for all, with ``suspects``: those that hold each block.
-    """
+class Blocks(HTMLParser):
+    """Events to blocks. ``free``: numbers of the suspect elements that are read as usual; null for all."""
 
     def __init__(self, free: frozenset[int] | None = None) -> None:
         super().__init__(convert_charrefs=True)
         self.free = free
         self.count = 0  # elements so far
         self.doubted = False
-        self.doubt: list[int | None] = []  # numbers of the open suspects, along the stack
-        self.suspects: list[tuple[int, ...]] = []
-        self.threads: set[int] = set()
-        self.anchors: list[frozenset[int]] = []  # suspects that hold each article or main
-        self.blocks: list[tuple[str, int, tuple[int, ...]]] = []
+        self.suspects: list[int] = []  # parents of suspects, by the order in which they open
+        self.numbers: list[int] = []  # and their numbers as elements
+        self.threads: list[bool] = []  # and whether they, or one around them, hold comments of readers
+        self.anchors: list[int] = []  # innermost suspect around each article or main
+        self.containers: list[int] = []  # parents of containers
+        self.kinds: list[str] = []
+        self.blocks: list[Block] = []
         self.buffer: list[str] = []
         self.tags = 0
-        self.stack: list[tuple[str, bool]] = []  # with whether it gives no blocks
+        self.stack: list[tuple[str, bool, int, int]] = []  # element, whether it gives no blocks, innermost container and suspect outside it
         self.open: Counter[str] = Counter()
         self.shut = 0  # open elements that give no blocks
-        self.inside: list[int] = []  # numbers of the open containers
-        self.kinds: list[str] = []
+        self.container = self.suspect = -1
 
-    def flush(self) -> None:
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        if not END_OF_COMMENT.search(self.rawdata, i + 4):
+            return len(self.rawdata)
+        return super().parse_comment(i, report)
+
+    def flush(self, element: str | None = None) -> None:
         if self.buffer:
             if text := " ".join("".join(self.buffer).split()):
-                self.blocks.append((text, self.tags, tuple(self.inside)))
-                self.suspects.append(tuple(k for k in self.doubt if k))
+                element = element or next((t for t, *_ in reversed(self.stack[-8:]) if t in BLOCK), "")
+                self.blocks.append(Block(text, self.tags, element, self.container, self.suspect))
             self.buffer = []
             self.tags = 0
 
@@ -94,7 +111,7 @@ class Blocks(HTMLParser):
             return False
         return any(k == "hidden" or v and (k == "role" and v.strip().lower() in ROLES or k == "aria-hidden" and v == "true" or k == "style" and HIDDEN.search(v.lower())) for k, v in attrs)
 
-    def suspect(self, tag: str, attrs: list[tuple[str, str | None]]) -> set[str]:
+    def against(self, tag: str, attrs: list[tuple[str, str | None]]) -> set[str]:
         """Names that speak against an element."""
         found = {"form"} if tag == "form" else set()
         if tag in ("html", "body", "article", "main"):
@@ -120,35 +137,36 @@ class Blocks(HTMLParser):
             self.close_to(tag)
         apart = bool(self.apart(tag, attrs))
         self.count += 1
-        names = set() if apart else self.suspect(tag, attrs)
-        self.doubt.append(self.count if names and self.free is None else None)
+        names = set() if apart else self.against(tag, attrs)
         self.doubted |= bool(names)
-        if names & THREADS:
-            self.threads.add(self.count)
         if names and self.free is not None and self.count not in self.free:
             apart = True
+        self.stack.append((tag, apart, self.container, self.suspect))
+        if names and self.free is None:
+            self.threads.append(bool(names & THREADS) or self.suspect >= 0 and self.threads[self.suspect])
+            self.numbers.append(self.count)
+            self.suspects.append(self.suspect)
+            self.suspect = len(self.suspects) - 1
         if tag in ("article", "main") and not self.shut:
-            self.anchors.append(frozenset(k for k in self.doubt if k))
-        self.stack.append((tag, apart))
+            self.anchors.append(self.suspect)
         self.open[tag] += 1
         self.shut += apart
         if tag in CONTAINER:
-            self.inside.append(len(self.kinds))
+            self.containers.append(self.container)
             self.kinds.append(tag)
+            self.container = len(self.kinds) - 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # a slash means nothing for elements that have an end tag
 
     def close_to(self, tag: str) -> None:
         while self.stack:
-            top, apart = self.stack.pop()
+            top, apart, container, suspect = self.stack.pop()
             if top in BLOCK:
-                self.flush()
-            self.doubt.pop()
+                self.flush(top)
             self.open[top] -= 1
             self.shut -= apart
-            if top in CONTAINER:
-                self.inside.pop()
+            self.container, self.suspect = container, suspect
             if top == tag:
                 return
 
@@ -174,11 +192,20 @@ def smoothed(values: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(np.pad(values, reach, mode="edge"), kernel / kernel.sum(), "valid")
 
 
-def dense(blocks: list[tuple[str, int, tuple[int, ...]]], sigma: float, strictness: float) -> np.ndarray:
-    level = smoothed(np.array([len(text) / max(1, tags) for text, tags, _ in blocks]), sigma)
+def dense(blocks: list[Block], sigma: float, strictness: float) -> np.ndarray:
+    level = smoothed(np.array([len(b.text) / max(1, b.tags) for b in blocks]), sigma)
     return level >= strictness * level.mean()
 
 
+def folded(own: list[int], parents: list[int]) -> list[int]:
+    """Sums over each element and all inside it; elements come after their parents."""
+    out = own[:]
+    for k in range(len(parents) - 1, -1, -1):
+        if parents[k] >= 0:
+            out[parents[k]] += out[k]
+    return out
+
+
 def parsed(html: str, free: frozenset[int] | None = None) -> Blocks:
     page = Blocks(free)
     try:
@@ -192,21 +219,29 @@ def parsed(html: str, free: frozenset[int] | None = None) -> Blocks:
 
 
 def released(page: Blocks, sigma: float, strictness: float) -> frozenset[int]:
-    """Suspects of a page (parsed with all of them) that are read as usual."""
-    anchors = [a for a in page.anchors if not a & page.threads]
-    holders, out = set().union(*anchors) if all(anchors) else set(), set()
-    left = [(b, k) for b, k in zip(page.blocks, page.suspects, strict=True) if not page.threads.intersection(k)]
-    if left:
-        held: Counter[int] = Counter()
-        total = outside = 0
-        for (b, inside), chosen in zip(left, dense([b for b, _ in left], sigma, strictness), strict=True):
-            if chosen:
-                total += len(b[0])
-                outside += 0 if inside else len(b[0])
-                for k in inside:
-                    held[k] += len(b[0])
-        out = {k for k in held if held[k] > total / 2 or k in holders and held[k] > outside}
-    return frozenset(out)
+    """Numbers of the suspects of a page (parsed with all of them) that are read as usual."""
+    quiet = lambda k: k < 0 or not page.threads[k]
+    left = [b for b in page.blocks if quiet(b.suspect)]
+    if not left:
+        return frozenset()
+    anchors = [k for k in page.anchors if quiet(k)]
+    holders: set[int] = set()
+    marked = any(k < 0 for k in anchors)  # an article stands free of suspects: none of them can be around it
+    if all(k >= 0 for k in anchors):
+        for k in anchors:
+            while k >= 0 and k not in holders:
+                holders.add(k)
+                k = page.suspects[k]
+    own, total, outside = [0] * len(page.suspects), 0, 0
+    for b, chosen in zip(left, dense(left, sigma, strictness), strict=True):
+        if chosen:
+            total += len(b.text)
+            if b.suspect >= 0:
+                own[b.suspect] += len(b.text)
+            else:
+                outside += len(b.text)
+    held = folded(own, page.suspects)
+    return frozenset(page.numbers[k] for k, n in enumerate(held) if n and (k in holders and n > outside or n > total / 2 and not marked))
 
 
 def main_text(html: str | None, sigma: float = 1.0, strictness: float = 0.6) -> str:
@@ -220,22 +255,30 @@ def main_text(html: str | None, sigma: float = 1.0, strictness: float = 0.6) ->
     if not blocks:
         return ""
     content = dense(blocks, sigma, strictness)
-    held: Counter[int] = Counter()
-    for (text, _, inside), chosen in zip(blocks, content, strict=True):
+    own, total = [0] * len(page.kinds), 0
+    for b, chosen in zip(blocks, content, strict=True):
         if chosen:
-            for k in inside:
-                held[k] += len(text)
-    total = sum(len(b[0]) for b, chosen in zip(blocks, content, strict=True) if chosen)
-    named = [k for k in held if page.kinds[k] in ("article", "main")]
-    if named:
-        best = max(named, key=lambda k: (held[k], page.kinds[k] == "article", k))
-    else:  # the innermost element that holds nearly all clusters
-        best = max((k for k in held if held[k] >= 0.8 * total), default=None)
-    inner = [best is None or best in b[2] for b in blocks]
-    if best is None or page.kinds[best] in ("body", "html"):  # nothing marks the article: the clusters themselves, and what lies between them
+            total += len(b.text)
+            if b.container >= 0:
+                own[b.container] += len(b.text)
+    held = folded(own, page.containers)
+    # Of the elements that hold enough of the clusters the last to open is the innermost.
+    named = [k for k, n in enumerate(held) if page.kinds[k] in ("article", "main") and 2 * n >= total]
+    best = max(named, default=None) if named else max((k for k, n in enumerate(held) if n >= 0.8 * total), default=None)
+    if best is not None and page.kinds[best] not in ("body", "html"):
+        within = [False] * len(held)
+        for k, parent in enumerate(page.containers):
+            within[k] = k == best or parent >= 0 and within[parent]
+        keep = [b.container >= 0 and within[b.container] for b in blocks]
+    else:  # nothing marks the article: the clusters, what lies between them, and the prose that touches them
         at = np.flatnonzero(content)
-        inner = [at[0] <= k <= at[-1] for k in range(len(blocks))]
-    return "\n".join(b[0] for b, keep in zip(blocks, inner, strict=True) if keep)
+        first, last = int(at[0]), int(at[-1])
+        while first and blocks[first - 1].element in PROSE:
+            first -= 1
+        while last + 1 < len(blocks) and blocks[last + 1].element in PROSE:
+            last += 1
+        keep = [first <= k <= last for k in range(len(blocks))]
+    return "\n".join(b.text for b, kept in zip(blocks, keep, strict=True) if kept)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
