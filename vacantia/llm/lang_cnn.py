@@ -27,7 +27,11 @@ from vacantia.llm.common import keyed, ship, slices
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
-LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str | None) -> bool:
+    """Numbers such as superscripts or Roman numerals are no letters."""
+    return bool(text) and any(map(str.isalpha, text))
 UNKNOWN = "und"
 
 
@@ -60,7 +64,7 @@ class Network:
         out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
         if not self.languages:
             return out
-        data = {k: t.encode("utf-8", "replace") for k, t in enumerate(texts) if t and LETTER.search(t)}
+        data = {k: t.encode("utf-8", "replace") for k, t in enumerate(texts) if has_letter(t)}
         if not data:
             return out
         counts = [-(-len(b) // WINDOW) for b in data.values()]
@@ -156,7 +160,7 @@ def training_rows(docs: DataFrame, max_rows: int = 6000, chars: int = 400) -> tu
     picked = known.withColumn("h", h).where(F.pmod("h", F.lit(1_000_000)) < share[F.col("lang")])
     start = F.pmod(F.shiftright("h", 20), F.greatest(F.lit(1), F.length("text") - chars)).cast("int")
     rows = picked.select("h", "lang", F.col("text").substr(start + F.lit(1), F.lit(chars)).alias("text")).collect()
-    rows = sorted(r for r in rows if LETTER.search(r["text"]))
+    rows = sorted(r for r in rows if has_letter(r["text"]))
     return [r["text"] for r in rows], [r["lang"] for r in rows]
 
 
