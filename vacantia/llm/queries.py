@@ -21,7 +21,8 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400, keep="none")
     return done.select(
         F.col("id").alias("doc_id"), "n_bytes", F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["start"]).alias("n_removed"),
-        F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+        F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 
 def op4_license_align(spark: SparkSession, sf_dir: str) -> DataFrame:
