@@ -145,3 +145,14 @@ def is_work_type_label(c: str | Column) -> Column:
 
 def node_id(prefix: str, key: str | Column) -> Column:
     return F.concat(F.lit(prefix + "_"), F.substring(F.md5(col(key)), 1, 16))
+
+
+def trigram_vector(c: Column, dims: int = 256) -> Column:
+    """Counts of the letter triples of a phrase (lower case, a blank at both ends) in ``dims`` places: a vector for phrases that no model has embedded.
+
+    A triple's place follows from its code points alone: ``(961 a + 31 b + c) mod dims``.
+    """
+    low = F.concat(F.lit(" "), F.lower(strip(c)), F.lit(" "))
+    places = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(low) - 2)), lambda i: (
+        F.ascii(F.substring(low, i, F.lit(1))) * 961 + F.ascii(F.substring(low, i + 1, F.lit(1))) * 31 + F.ascii(F.substring(low, i + 2, F.lit(1)))) % dims)
+    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.size(F.filter(places, lambda p: p == k)).cast("double"))

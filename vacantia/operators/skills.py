@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import SkillConfig
 from ..functions import text as tx
-from ..util import blank_to_null, col, empty_to_null, first_per_key, r6e, rlike_any, strip, top_per_key
+from ..util import blank_to_null, col, empty_to_null, first_per_key, materialize, r6e, rlike_any, strip, top_per_key
 from .textjoin import contains_pairs
 
 # --- fixed values: section titles and cue words of requirement text --------------------------
@@ -79,8 +79,8 @@ def map_labels(mentions: DataFrame, label: str = "label") -> DataFrame:
     return mentions.withColumn("skill_type", F.coalesce(kind, F.lit("SKILL"))).filter("skill_type <> 'O'")
 
 
-def candidate_phrases(df: DataFrame, max_len: int = 64, max_n: int | None = None) -> DataFrame:
-    """Short distinct phrases of each posting in field order; ``max_n``: at most so many per posting."""
+def candidate_phrases(df: DataFrame, max_len: int | None = None, max_n: int | None = None) -> DataFrame:
+    """Distinct phrases of each posting in field order; ``max_len``: only shorter ones, ``max_n``: at most so many per posting."""
     def field(name: str) -> Column:
         if name not in df.columns:
             return F.array().cast("array<string>")
@@ -89,7 +89,7 @@ def candidate_phrases(df: DataFrame, max_len: int = 64, max_n: int | None = None
         return tx.split_skill_values(name)
     phrases = F.concat(field("required_skills"), field("preferred_skills"), field("requirements"), field("description"),
                        tx.split_list("title", r"[/|,+()\-]"))
-    short = F.filter(phrases, lambda x: F.char_length(x) <= max_len)
+    short = phrases if max_len is None else F.filter(phrases, lambda x: F.char_length(x) <= max_len)
     low = F.transform(short, F.lower)
     # First spelling of each key: the key's first position must be its own.
     first = F.filter(F.zip_with(short, F.sequence(F.lit(1), F.greatest(F.size(short), F.lit(1))),
@@ -125,6 +125,26 @@ def gazetteer(texts: DataFrame, vocabulary: DataFrame, key: str = "job_id", text
     return exact.unionByName(multi).unionByName(odd)
 
 
+def extracted_mentions(postings: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``job_id, skill_text, skill_type, score, method`` of postings: vocabulary labels in the part of the description that extraction reads, and listed requirements.
+
+    A text counts once per posting in lower case: the best score first, then the listed one.
+    """
+    text = F.coalesce(empty_to_null("full_description"), empty_to_null("description"))
+    read = postings.select("job_id", extraction_text(text).alias("text")).filter("text IS NOT NULL")
+    found = gazetteer(read, vocabulary).select("job_id", F.col("label").alias("skill_text"), "score", "method", F.lit(1).alias("seq"))
+    listed = postings.select("job_id", F.explode(tx.split_phrases("requirements")).alias("skill_text")).select(
+        "job_id", "skill_text", F.lit(0.95).alias("score"), F.lit("listed_phrase").alias("method"), F.lit(0).alias("seq"))
+    one = distinct_mentions(found.unionByName(listed), ["job_id"], "skill_text", "score", "seq")
+    return one.select("job_id", "skill_text", F.lit("SKILL").alias("skill_type"), "score", "method")
+
+
+def extraction_chain(postings: DataFrame, lib: DataFrame, best_of_names, cfg: SkillConfig | None = None) -> tuple[DataFrame, DataFrame]:
+    """(mentions, normalised records) of postings against a taxonomy library; ``best_of_names`` maps distinct texts, see ``similarity``."""
+    mentions = materialize(extracted_mentions(postings, keywords(lib)), "mentions")
+    return mentions, skill_records(mentions.drop("score", "method"), best_of_names(mentions, lib, cfg, column="skill_text"), cfg)
+
+
 def distinct_mentions(mentions: DataFrame, keys: list[str], text: str, score: str, seq: str) -> DataFrame:
     """One mention per lower-cased text, highest score first, then first seen."""
     return (first_per_key(mentions.withColumn("_key", F.lower(text)), [*keys, "_key"], [F.desc(score), F.col(seq)]).drop("_key"))

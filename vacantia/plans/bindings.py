@@ -87,6 +87,16 @@ SELECT CAST(l_orderkey AS STRING) AS job_id, p_name AS raw_skill_text, p_name ||
 FROM {lineitem} JOIN {part} ON l_partkey = p_partkey
 """
 
+# the same for the postings of both sources, by merged id
+NORMALIZED_ALL_SQL = """
+SELECT 'jobs_ac_uk_' || CAST(l_orderkey AS STRING) AS job_id, p_name || ' (' || p_type || ')' AS normalized_skill_name, CAST(0.6 + CAST(l_discount AS DECIMAL(5,4)) * 4 AS DECIMAL(5,4)) AS similarity_score
+FROM {lineitem} JOIN {part} ON l_partkey = p_partkey
+UNION ALL
+SELECT 'adzuna_' || CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING),
+  p_name || ' (' || p_type || ')', CAST(0.6 + CAST(l_tax AS DECIMAL(5,4)) * 5 AS DECIMAL(5,4))
+FROM {lineitem} JOIN {part} ON l_partkey = p_partkey
+"""
+
 # fine-grained edges: the vocabulary grows with the data
 EDGES_SQL = """
 SELECT CAST(l_orderkey AS STRING) AS job_id, 'P' || CAST(l_partkey AS STRING) AS skill FROM {lineitem}

@@ -10,7 +10,7 @@ from vacantia.operators.unify import replace_users
 from vacantia.plans.bindings import USER_SKILLS_SQL, USERS_SQL, bind, duck, profiles
 from vacantia.util import r6, r6e
 
-from .skills import BEST, BEST_SQL
+from .skills import BEST_OF_USERS, best_of
 
 PAY_SQL = """SELECT 'u' || CAST(c_custkey AS STRING) AS user_id, c_custkey,
   '{{"name": "' || CASE WHEN c_mktsegment = 'BUILDING' THEN ' ' ELSE c_name END || '", "education": [{{"level": "' || c_mktsegment || '", "graduation_year": ' || CAST(1900 + c_nationkey * 10 AS STRING) || ', "gpa": ' || CAST(c_nationkey / 4.0 AS STRING)
@@ -84,10 +84,28 @@ def years(s, d):
     return pf.total_years(w).select("user_id", r6e("years").alias("years"))
 
 
+#: Child tables of a profile that skills and education do not cover: name, rows (``user_id, seq, ...``).
+CHILDREN = {
+    "work_experience": "SELECT 'u' || CAST(o_custkey AS STRING) AS user_id, o_orderkey AS seq, o_orderpriority AS company, CAST(o_totalprice / 100000 AS DOUBLE) AS duration_years FROM {orders} WHERE o_orderstatus = 'F'",
+    "preferences": """SELECT 'u' || CAST(c_custkey AS STRING) AS user_id, 1 AS seq, 'Industry' AS preference_type, c_mktsegment AS value, CAST(0.6 AS DOUBLE) AS weight FROM {customer}
+        UNION ALL SELECT 'u' || CAST(c_custkey AS STRING), 2, 'Innovation', 'high', CAST(0.2 AS DOUBLE) FROM {customer} WHERE c_custkey % 3 = 0""",
+    "constraints": "SELECT 'u' || CAST(c_custkey AS STRING) AS user_id, 1 AS seq, n_name AS location, CAST(c_acctbal * 3 AS DOUBLE) AS min_salary FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey WHERE c_custkey % 2 = 0",
+    "certifications": "SELECT DISTINCT 'u' || CAST(o_custkey AS STRING) AS user_id, 0 AS seq, 'Cert ' || o_orderpriority AS name FROM {orders} WHERE o_orderstatus = 'P'",
+    "languages": "SELECT 'u' || CAST(c_custkey AS STRING) AS user_id, r_regionkey AS seq, r_name AS language FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON r_regionkey <= n_regionkey",
+    "projects": "SELECT DISTINCT 'u' || CAST(user_id AS STRING) AS user_id, 0 AS seq, event_type AS name FROM {events}",
+}
+
+
 def assembled(s, d):
+    """Whole profiles: the user's row with eight child tables."""
     u = bind(s, d, "SELECT 'u' || CAST(c_custkey AS STRING) AS user_id, c_name AS name FROM {customer}")
-    out = pf.assemble(u, {"skills": us(s, d), "education": edu_rows(s, d)})
-    return out.select("user_id", "name", F.size("skills").alias("n_skills"), F.size("education").alias("n_education"), F.array_join(F.transform("skills", lambda x: x["name"]), "|").alias("skills"))
+    out = pf.assemble(u, {"skills": us(s, d), "education": edu_rows(s, d), **{name: bind(s, d, sql) for name, sql in CHILDREN.items()}})
+    joined = lambda c, f: F.array_join(F.transform(c, f), "|")
+    return out.select(
+        "user_id", "name", F.size("skills").alias("n_skills"), F.size("education").alias("n_education"), joined("skills", lambda x: x["name"]).alias("skills"),
+        joined("work_experience", lambda x: x["company"]).alias("companies"), r6e(F.aggregate("work_experience", F.lit(0.0), lambda t, x: t + x["duration_years"])).alias("years"),
+        joined("preferences", lambda x: F.concat(x["preference_type"], F.lit("="), x["value"])).alias("preferences"), F.get("constraints", F.lit(0))["location"].alias("location"),
+        joined("certifications", lambda x: x["name"]).alias("certifications"), joined("languages", lambda x: x["language"]).alias("languages"), joined("projects", lambda x: x["name"]).alias("projects"))
 
 
 def replaced(s, d):
@@ -97,7 +115,7 @@ def replaced(s, d):
 
 
 def display(s, d):
-    n = k.user_skill_records(us(s, d), bind(s, d, BEST_SQL))
+    n = k.user_skill_records(us(s, d), best_of(us(s, d), s, d, "name"))
     return pf.skills_with_names(us(s, d).select("user_id", "name"), n).select("user_id", "name", "display_name")
 
 
@@ -136,9 +154,14 @@ ORACLE = {
     "a12_skill_weights": f"WITH {US}, n AS (SELECT user_id, count(*) AS n_skills FROM us GROUP BY 1) SELECT user_id, n_skills, lower(name) AS skill, round(proficiency * (1 + years_of_experience * 0.1), 6) AS w FROM us JOIN n USING (user_id)",
     "a13_highest_education": f"WITH {UU} SELECT user_id, CASE WHEN edu > 3 THEN ['High School','Associate','Bachelor','Master','PhD'][edu] ELSE 'Bachelor' END AS level, CASE WHEN edu >= 3 THEN 'a' ELSE 'b' END AS major FROM uu",
     "a14_total_years": "SELECT 'u' || o_custkey AS user_id, round(sum(o_totalprice / 100000) + 1e-9, 6) AS years FROM orders GROUP BY o_custkey",
-    "a15_assembled_profiles": f"WITH {US}, {UU}, g AS (SELECT user_id, count(*) AS n, string_agg(name, '|' ORDER BY name) AS l FROM us GROUP BY 1) SELECT uu.user_id, uu.name, CAST(coalesce(n, 0) AS INT) AS n_skills, CASE WHEN edu > 0 THEN 2 ELSE 1 END AS n_education, coalesce(l, '') AS skills FROM uu LEFT JOIN g USING (user_id)",
+    "a15_assembled_profiles": f"""WITH {US}, {UU}, g AS (SELECT user_id, count(*) AS n, string_agg(name, '|' ORDER BY name) AS l FROM us GROUP BY 1),
+        w AS (SELECT user_id, string_agg(company, '|' ORDER BY seq) AS c, sum(duration_years) AS y FROM ({duck(CHILDREN['work_experience'])}) GROUP BY 1), pr AS (SELECT user_id, string_agg(preference_type || '=' || value, '|' ORDER BY seq) AS l FROM ({duck(CHILDREN['preferences'])}) GROUP BY 1),
+        co AS ({duck(CHILDREN['constraints'])}), ce AS (SELECT user_id, string_agg(name, '|' ORDER BY name) AS l FROM ({duck(CHILDREN['certifications'])}) GROUP BY 1), la AS (SELECT user_id, string_agg(language, '|' ORDER BY seq) AS l FROM ({duck(CHILDREN['languages'])}) GROUP BY 1),
+        pj AS (SELECT user_id, string_agg(name, '|' ORDER BY name) AS l FROM ({duck(CHILDREN['projects'])}) GROUP BY 1)
+        SELECT uu.user_id, uu.name, CAST(coalesce(g.n, 0) AS INT) AS n_skills, CASE WHEN edu > 0 THEN 2 ELSE 1 END AS n_education, coalesce(g.l, '') AS skills, coalesce(w.c, '') AS companies, round(coalesce(w.y, 0) + 1e-9, 6) AS years, coalesce(pr.l, '') AS preferences, co.location,
+        coalesce(ce.l, '') AS certifications, coalesce(la.l, '') AS languages, coalesce(pj.l, '') AS projects FROM uu LEFT JOIN g USING (user_id) LEFT JOIN w USING (user_id) LEFT JOIN pr USING (user_id) LEFT JOIN co USING (user_id) LEFT JOIN ce USING (user_id) LEFT JOIN la USING (user_id) LEFT JOIN pj USING (user_id)""",
     "s10_replace_child_rows": f"WITH {US}, nw AS (SELECT 'u' || c_custkey AS user_id, n_name AS name {C} WHERE c_mktsegment = 'BUILDING') SELECT user_id, name FROM us WHERE user_id NOT IN (SELECT user_id FROM nw) UNION ALL SELECT * FROM nw",
-    "j04_skills_with_names": f"WITH {US}, {BEST} SELECT user_id, name, coalesce(normalized, name) AS display_name FROM us LEFT JOIN best ON phrase = name",
+    "j04_skills_with_names": f"WITH RECURSIVE {US}, {BEST_OF_USERS} SELECT user_id, name, coalesce(normalized, name) AS display_name FROM us LEFT JOIN best ON phrase = name",
     "a24_latency_summary": """SELECT count(*) AS runs, round(avg(value), 6) AS avg_client_ms, round(avg(value / 2), 6) AS avg_match_rank_ms, round(avg(value / 4), 6) AS avg_total_ms, round(min(value), 6) AS min_client_ms, round(max(value), 6) AS max_client_ms,
         round(avg(user_id), 6) AS avg_jobs FROM events WHERE event_type <> 'error'""",
     "l02_newest_users": "SELECT 'u' || o_custkey AS user_id, max(o_orderdate) AS seen FROM orders GROUP BY o_custkey ORDER BY seen DESC, user_id LIMIT 50",

@@ -7,19 +7,47 @@ from vacantia.functions import scoring as sc
 from vacantia.functions import text as tx
 from vacantia.operators import similarity as sim
 from vacantia.operators import skills as k
-from vacantia.plans.bindings import MENTIONS_SQL, NORMALIZED_SQL, USER_SKILLS_SQL, bind, duck
+from vacantia.plans.bindings import MENTIONS_SQL, NORMALIZED_ALL_SQL, NORMALIZED_SQL, USER_SKILLS_SQL, bind, duck
 from vacantia.sources import readers as rd
 from vacantia.util import r6, r6e, read_table, shared_dir
 
 from .merge import UNIFIED, unified
+from .merge import postings as merged_postings
 
 M = f"ment AS ({duck(MENTIONS_SQL)})"
 N = f"norm AS ({duck(NORMALIZED_SQL)})"
-BEST_SQL = """SELECT p_name AS phrase, min(p_type) AS normalized, CAST(0.8 AS DOUBLE) AS similarity, 'embedding' AS method,
-  CAST(min(p_partkey) AS INT) AS skill_id FROM {part} WHERE p_name LIKE '%o%' GROUP BY p_name"""
+#: Taxonomy of the extraction chain: part names with an "o", their brands and types, suppliers. Other part names have no label.
+LABELS = """labels_ AS (SELECT name, CAST(min(id) AS INT) AS skill_id FROM (SELECT p_partkey AS id, p_name AS name FROM part WHERE p_name LIKE '%o%'
+  UNION ALL SELECT p_partkey, p_brand FROM part UNION ALL SELECT p_partkey, p_type FROM part UNION ALL SELECT s_suppkey, s_name FROM supplier) GROUP BY 1)"""
+
+
+def best_sql(phrases: str) -> str:
+    """Best label of each phrase (a SELECT of ``phrase``) by the cosine of letter triples."""
+    return f"""{LABELS}, ph AS (SELECT DISTINCT trim(phrase) AS phrase FROM ({phrases}) WHERE trim(phrase) <> ''),
+  tv AS (SELECT name, h, count(*) AS c FROM (SELECT name, (ascii(substr(t, i, 1)) * 961 + ascii(substr(t, i + 1, 1)) * 31 + ascii(substr(t, i + 2, 1))) % 256 AS h
+    FROM (SELECT name, ' ' || lower(trim(name)) || ' ' AS t FROM (SELECT phrase AS name FROM ph UNION SELECT name FROM labels_)), (SELECT CAST(unnest(range(1, 100)) AS INT) AS i) WHERE i <= length(t) - 2) GROUP BY 1, 2),
+  nv AS (SELECT name, sqrt(sum(c * c)) AS l FROM tv GROUP BY 1),
+  sims AS (SELECT a.name AS phrase, b.name, sum(a.c * b.c) / (any_value(x.l) * any_value(y.l)) AS s FROM ph JOIN tv a ON a.name = phrase JOIN tv b ON b.h = a.h JOIN labels_ k ON k.name = b.name
+    JOIN nv x ON x.name = a.name JOIN nv y ON y.name = b.name GROUP BY 1, 2),
+  near AS (SELECT phrase, name AS normalized, round(s + 1e-9, 6) AS similarity, 'embedding' AS method, skill_id FROM sims JOIN labels_ USING (name)
+    QUALIFY row_number() OVER (PARTITION BY phrase ORDER BY round(s, 9) DESC, name) = 1 AND s >= 0.68),
+  {fuzzy_sql()},
+  best AS (SELECT * FROM near UNION ALL SELECT * FROM alike)"""
+
+
+def fuzzy_sql() -> str:
+    """Token-sort matches of phrases without a near label; the longest common subsequence row by row."""
+    tokens = "array_to_string(list_sort(list_filter(string_split(trim(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '), lambda w: w <> '')), ' ')"
+    return f"""open_ AS (SELECT phrase, {tokens.format(c='phrase')} AS a FROM ph WHERE phrase NOT IN (SELECT phrase FROM near)),
+  lcs_ AS (SELECT phrase, name, a, {tokens.format(c='name')} AS b, 0 AS i, list_transform(range(length({tokens.format(c='name')})), lambda x: 0) AS r FROM open_ CROSS JOIN labels_
+    UNION ALL SELECT phrase, name, a, b, i + 1, list_transform(range(1, length(b) + 1), lambda j: greatest(r[j], coalesce(list_max(list_transform(range(1, j + 1), lambda k: CASE WHEN b[k] = a[i + 1] THEN coalesce(r[k - 1], 0) + 1 ELSE 0 END)), 0)))
+    FROM lcs_ WHERE i < length(a)),
+  alike AS (SELECT phrase, name AS normalized, ratio / 100 AS similarity, 'fuzzy' AS method, skill_id FROM (SELECT phrase, name, round_even(200.0::DOUBLE * r[length(b)] / (length(a) + length(b)), 0) AS ratio FROM lcs_ WHERE i = length(a))
+    JOIN labels_ USING (name) LEFT JOIN sims USING (phrase, name) WHERE ratio >= 78 QUALIFY row_number() OVER (PARTITION BY phrase ORDER BY ratio DESC, round(coalesce(s, 0), 9) DESC, name) = 1)"""
 VOCAB_SQL = """SELECT DISTINCT label FROM (
   SELECT unnest(regexp_extract_all(text, '[A-Za-z]{8,}')) AS label FROM benchmark
-  UNION ALL SELECT string_split(text, ' ')[1] || ' ' || string_split(text, ' ')[2] FROM benchmark) WHERE label IS NOT NULL"""
+  UNION ALL SELECT lower(w[i]) || ' ' || lower(w[i + 1]) FROM (SELECT regexp_extract_all(text, '[A-Za-z]+') AS w FROM benchmark), (SELECT CAST(unnest(range(1, 200)) AS INT) AS i)
+    WHERE i < len(w) AND length(w[i]) >= 6 AND length(w[i + 1]) >= 6) WHERE label IS NOT NULL"""
 
 
 def ment(s, d):
@@ -33,7 +61,9 @@ def norm(s, d):
 def vocabulary(s, d):
     b = read_table(s, d, "benchmark")
     words = b.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{8,}"), F.lit(0))).alias("label"))
-    pairs = b.select(F.concat_ws(" ", F.slice(F.split("text", " "), 1, 2)).alias("label"))
+    # Labels of two words: all neighbours of six letters or more, wherever they stand.
+    w = b.select(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)).alias("w")).select("w", F.posexplode("w").alias("i", "a")).withColumn("b", F.get("w", F.col("i") + 1))
+    pairs = w.filter((F.length("a") >= 6) & (F.length("b") >= 6)).select(F.concat_ws(" ", F.lower("a"), F.lower("b")).alias("label"))
     return words.unionByName(pairs).distinct()
 
 
@@ -76,7 +106,7 @@ def phrases(s, d):
 
 
 def candidates(s, d):
-    return k.candidate_phrases(unified(s, d).filter("source = 'jobs_ac_uk'")).select("job_id", "phrase")
+    return k.candidate_phrases(merged_postings(s, d)).select("job_id", "phrase")
 
 
 def labels(s, d):
@@ -160,29 +190,53 @@ def batch_longest(s, d):
     return rd.longest_description(p).select("element_id", "description", "seq")
 
 
+def chain_library(s, d):
+    return lib(s, d).filter("source = 'B' OR is_alternative OR name LIKE '%o%'")
+
+
+def best_of(names, s, d, column):
+    best = sim.best_of_names(names, chain_library(s, d), column=column)
+    return best.withColumn("similarity", r6e("similarity"))
+
+
+def chain(s, d):
+    """Extraction over the merged postings: mentions, and their normalised records."""
+    return k.extraction_chain(merged_postings(s, d), chain_library(s, d), sim.best_of_names)
+
+
 def records(cfg):
     def run(s, d):
-        out = k.skill_records(ment(s, d), bind(s, d, BEST_SQL), cfg)
+        out = k.skill_records(ment(s, d), best_of(ment(s, d), s, d, "skill_text"), cfg)
         return out.groupBy("raw", "skill_type", "normalized", "similarity", "normalization_method", "skill_id").agg(F.count(F.lit(1)).alias("n"))
     return run
 
 
 def user_records(s, d):
-    return k.user_skill_records(bind(s, d, USER_SKILLS_SQL), bind(s, d, BEST_SQL))
+    own = bind(s, d, USER_SKILLS_SQL)
+    return k.user_skill_records(own, best_of(own, s, d, "name"))
+
+
+def chain_records(s, d):
+    found, rec = chain(s, d)
+    return rec.select("job_id", "raw", "normalized", r6e("similarity").alias("similarity"), "normalization_method", "skill_id")
 
 
 def req_text(s, d):
-    m = ment(s, d).withColumn("seq", F.struct("created_at", "skill_text"))
-    n = k.skill_records(ment(s, d), bind(s, d, BEST_SQL)).withColumn("seq", F.col("raw"))
-    return k.requirements_text(n, m)
+    found, rec = chain(s, d)
+    return k.requirements_text(rec.withColumn("seq", F.col("raw")), found.withColumn("seq", F.col("skill_text")))
 
 
 def posts(s, d):
-    return unified(s, d).filter("source = 'jobs_ac_uk'").select(F.col("source_job_id").alias("job_id"), "requirements", "description", "full_description")
+    return unified(s, d).select("job_id", "requirements", "description", "full_description")
+
+
+def norm_of_all(s, d):
+    """Normalised names of the postings of both sources."""
+    return bind(s, d, NORMALIZED_ALL_SQL)
 
 
 def late_norm(s, d):
-    return norm(s, d).filter(F.col("similarity_score") >= 0.95)
+    return norm_of_all(s, d).filter(F.col("similarity_score") >= 0.95)
 
 
 def routed(s, d):
@@ -191,7 +245,7 @@ def routed(s, d):
 
 def fill_empty(s, d):
     texts = req_text(s, d)
-    return k.backfill_if_empty(posts(s, d), texts).select("job_id", "requirements")
+    return k.backfill_if_empty(merged_postings(s, d), texts).select("job_id", "requirements")
 
 
 def fill_all(s, d):
@@ -200,7 +254,7 @@ def fill_all(s, d):
 
 def named(s, d):
     ids = posts(s, d).filter(tx.requirements_empty("requirements")).select("job_id")
-    return k.skills_of(norm(s, d), ids).groupBy("job_id", "normalized_skill_name").agg(F.count(F.lit(1)).alias("n"))
+    return k.skills_of(norm_of_all(s, d), ids).groupBy("job_id", "normalized_skill_name").agg(F.count(F.lit(1)).alias("n"))
 
 
 def stats_sets(s, d):
@@ -224,11 +278,23 @@ _PH = r"""CASE WHEN trim(requirements) LIKE '[%' THEN list_filter(from_json(requ
 _CAND = r"""list_concat(CASE WHEN trim(requirements) LIKE '[%' THEN from_json(requirements, '["VARCHAR"]') ELSE regexp_split_to_array(coalesce(requirements,''), '[,\n;/|]+') END,
   regexp_split_to_array(coalesce(description,''), '[,\n;/|]+'), regexp_split_to_array(title, '[/|,+()\-]'))"""
 REC = "SELECT m.skill_text AS raw, m.skill_type, b.normalized, b.similarity, b.method AS normalization_method, b.skill_id, m.job_id FROM ment m JOIN best b ON b.phrase = m.skill_text"
-BEST = f"best AS ({duck(BEST_SQL)})"
-POSTS = "ps AS (SELECT source_job_id AS job_id, requirements, description, full_description FROM unified WHERE source = 'jobs_ac_uk')"
-LATE = f"{N}, late AS (SELECT * FROM norm WHERE similarity_score >= 0.95)"
-RT = f"""{M}, {BEST}, a AS (SELECT job_id, string_agg(normalized, '; ' ORDER BY s, normalized) AS t FROM (SELECT job_id, normalized, min(raw) AS s FROM ({REC}) GROUP BY 1, 2) GROUP BY 1),
-  b AS (SELECT job_id, string_agg(skill_text, '; ' ORDER BY s, skill_text) AS t FROM (SELECT job_id, skill_text, min(created_at) AS s FROM ment GROUP BY 1, 2) GROUP BY 1),
+BEST = best_sql(f"SELECT skill_text AS phrase FROM ({duck(MENTIONS_SQL)})")
+BEST_OF_USERS = best_sql(f"SELECT name AS phrase FROM ({duck(USER_SKILLS_SQL)})")
+#: Mentions of the chain, and their records.
+CHAIN = f"""{LABELS.replace('labels_', 'voc_')}, tx AS (SELECT job_id, coalesce(nullif(full_description, ''), nullif(description, '')) AS text FROM postings),
+  tok AS (SELECT DISTINCT job_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM tx),
+  found AS (SELECT job_id, name AS skill_text, 0.95 AS score, 1 AS seq FROM voc_ JOIN tok ON w = lower(name) WHERE NOT contains(name, ' ') AND NOT contains(name, '#')
+    UNION ALL SELECT job_id, name, 0.95, 1 FROM voc_ JOIN tx ON contains(lower(text), lower(name)) AND regexp_matches(' ' || lower(text) || ' ', '\\b' || lower(name) || '\\b') WHERE contains(name, '#')
+    UNION ALL SELECT job_id, name, 0.90, 1 FROM voc_ JOIN tx ON contains(lower(text), lower(name)) WHERE contains(name, ' ')
+    UNION ALL SELECT job_id, unnest({_PH}), 0.95, 0 FROM postings),
+  mentioned AS (SELECT job_id, skill_text FROM found QUALIFY row_number() OVER (PARTITION BY job_id, lower(skill_text) ORDER BY score DESC, seq) = 1),
+  {best_sql("SELECT skill_text AS phrase FROM mentioned")},
+  rec AS (SELECT job_id, trim(skill_text) AS raw, normalized, similarity, method, skill_id FROM mentioned JOIN best ON phrase = trim(skill_text))"""
+POSTS = "ps AS (SELECT job_id, requirements, description, full_description FROM unified)"
+NA = f"norm AS ({duck(NORMALIZED_ALL_SQL)})"
+LATE = f"{NA}, late AS (SELECT * FROM norm WHERE similarity_score >= 0.95)"
+RT = f"""{CHAIN}, a AS (SELECT job_id, string_agg(normalized, '; ' ORDER BY s, normalized) AS t FROM (SELECT job_id, normalized, min(raw) AS s FROM rec GROUP BY 1, 2) GROUP BY 1),
+  b AS (SELECT job_id, string_agg(skill_text, '; ' ORDER BY skill_text) AS t FROM mentioned GROUP BY 1),
   rt AS (SELECT b.job_id, coalesce(a.t, b.t) AS requirements_text FROM b LEFT JOIN a USING (job_id))"""
 COS = "cs AS (SELECT a.vec_id AS phrase, b.vec_id AS label_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS similarity FROM embeddings a CROSS JOIN embeddings b)"
 QUERIES = {
@@ -255,6 +321,7 @@ QUERIES = {
     "p28_skill_records_raw_fallback": records(SkillConfig(allow_raw_unmapped=True)),
     "j05_user_skill_records": user_records,
     "p29_requirements_text": req_text,
+    "p24_p29_extraction_chain": chain_records,
     "p30_requirements_json": lambda s, d: k.requirements_json(norm(s, d)),
     "j06_f08_f09_route": routed,
     "s16_f06_backfill_if_empty": fill_empty,
@@ -278,7 +345,7 @@ ORACLE = {
         [0.75, 0.65, 0.55, 0.6][p_partkey % 4 + 1]::DOUBLE AS size FROM part""",
     "p24_w13_extraction_text": "SELECT doc_id, CAST(length(text) AS INT) AS n, 0 AS n_req FROM documents",
     "p25_requirement_phrases": f"{W}, p AS (SELECT job_id, {_PH} AS ph FROM unified WHERE source='jobs_ac_uk'), x AS (SELECT job_id, unnest(ph) AS phrase, unnest(range(len(ph))) AS pos FROM p) SELECT job_id, CAST(pos AS INT) AS pos, phrase FROM x",
-    "p26_candidate_phrases": f"""{W}, p AS (SELECT job_id, list_filter(list_transform({_CAND}, lambda x: trim(x)), lambda x: x <> '' AND length(x) <= 64) AS ph FROM unified WHERE source='jobs_ac_uk'),
+    "p26_candidate_phrases": f"""{W}, p AS (SELECT job_id, list_filter(list_transform({_CAND}, lambda x: trim(x)), lambda x: x <> '') AS ph FROM postings),
         x AS (SELECT job_id, unnest(ph) AS phrase, unnest(range(len(ph))) AS pos FROM p) SELECT job_id, phrase FROM x QUALIFY row_number() OVER (PARTITION BY job_id, lower(phrase) ORDER BY pos) = 1""",
     "p27_label_types": "SELECT p_partkey, CASE p_type WHEN 'LARGE' THEN 'TOOL' ELSE 'SKILL' END AS skill_type FROM part WHERE p_type <> 'PROMO'",
     "j09_gazetteer": f"""WITH v AS ({VOCAB_SQL}), tok AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM documents)
@@ -299,14 +366,15 @@ ORACLE = {
     "p28_skill_records": f"WITH {M}, {BEST} SELECT raw, skill_type, normalized, similarity, normalization_method, skill_id, count(*) AS n FROM ({REC}) GROUP BY ALL",
     "p28_skill_records_raw_fallback": f"""WITH {M}, {BEST} SELECT skill_text AS raw, skill_type, coalesce(normalized, skill_text) AS normalized, coalesce(similarity, 0.0) AS similarity, coalesce(method, 'raw_unmapped') AS normalization_method,
         skill_id, count(*) AS n FROM ment LEFT JOIN best ON phrase = skill_text WHERE normalized IS NOT NULL OR length(skill_text) >= 5 GROUP BY ALL""",
-    "j05_user_skill_records": f"WITH {BEST}, us AS ({duck(USER_SKILLS_SQL)}) SELECT user_id, name AS raw, coalesce(normalized, name) AS normalized, coalesce(similarity, 0.0) AS similarity, coalesce(method, 'no_match') AS normalization_method, skill_id FROM us LEFT JOIN best ON phrase = name",
-    "p29_requirements_text": f"WITH {RT} SELECT job_id, requirements_text FROM rt",
+    "j05_user_skill_records": f"WITH {BEST_OF_USERS}, us AS ({duck(USER_SKILLS_SQL)}) SELECT user_id, name AS raw, coalesce(normalized, name) AS normalized, coalesce(similarity, 0.0) AS similarity, coalesce(method, 'no_match') AS normalization_method, skill_id FROM us LEFT JOIN best ON phrase = name",
+    "p29_requirements_text": f"{W}, {RT} SELECT job_id, requirements_text FROM rt",
+    "p24_p29_extraction_chain": f"{W}, {CHAIN} SELECT job_id, raw, normalized, similarity, method AS normalization_method, skill_id FROM rec",
     "p30_requirements_json": f"""WITH {N}, g AS (SELECT job_id, list_sort(list(DISTINCT normalized_skill_name)) AS l FROM norm GROUP BY 1) SELECT job_id, '["' || array_to_string(l, '","') || '"]' AS requirements_json FROM g""",
     "j06_f08_f09_route": f"""{W}, {POSTS}, {LATE}, h AS (SELECT ps.*, job_id IN (SELECT job_id FROM late) AS has_normalized, (requirements IS NULL OR trim(requirements) IN ('', '[]')) AS open FROM ps)
         SELECT job_id, has_normalized, CASE WHEN has_normalized THEN 'backfill_only' WHEN NOT open THEN 'phrases_only' ELSE 'extract' END AS route FROM h WHERE open OR NOT has_normalized""",
-    "s16_f06_backfill_if_empty": f"{W}, {POSTS}, {RT} SELECT job_id, CASE WHEN requirements IS NULL OR trim(requirements) IN ('', '[]') THEN coalesce(requirements_text, requirements) ELSE requirements END AS requirements FROM ps LEFT JOIN rt USING (job_id)",
+    "s16_f06_backfill_if_empty": f"{W}, {RT} SELECT job_id, CASE WHEN requirements IS NULL OR trim(requirements) IN ('', '[]') THEN coalesce(requirements_text, requirements) ELSE requirements END AS requirements FROM postings LEFT JOIN rt USING (job_id)",
     "s17_backfill_always": f"""{W}, {POSTS}, {LATE}, g AS (SELECT job_id, '["' || array_to_string(list_sort(list(DISTINCT normalized_skill_name)), '","') || '"]' AS j FROM late GROUP BY 1) SELECT job_id, coalesce(j, requirements) AS requirements FROM ps LEFT JOIN g USING (job_id)""",
-    "j24_skills_of_postings": f"{W}, {POSTS}, {N} SELECT job_id, normalized_skill_name, count(*) AS n FROM norm WHERE job_id IN (SELECT job_id FROM ps WHERE requirements IS NULL OR trim(requirements) IN ('', '[]')) GROUP BY 1, 2",
+    "j24_skills_of_postings": f"{W}, {POSTS}, {NA} SELECT job_id, normalized_skill_name, count(*) AS n FROM norm WHERE job_id IN (SELECT job_id FROM ps WHERE requirements IS NULL OR trim(requirements) IN ('', '[]')) GROUP BY 1, 2",
     "a08_corpus_statistics": f"""WITH {M}, {N} SELECT (SELECT count(DISTINCT job_id) FROM ment) AS total_jobs, (SELECT count(*) FROM ment) AS total_extracted, (SELECT count(DISTINCT skill_text) FROM ment) AS unique_extracted,
         count(*) AS total_normalized, count(DISTINCT normalized_skill_name) AS unique_normalized, round(avg(similarity_score::DOUBLE), 6) AS avg_similarity FROM norm""",
     "a08_l04_top_skills": f"WITH {N} SELECT normalized_skill_name, count(*) AS n FROM norm GROUP BY 1 ORDER BY n DESC, 1 LIMIT 10",
@@ -320,3 +388,4 @@ ORACLE = {
     "a11_mention_averages": f"WITH {M}, g AS (SELECT job_id, count(*) AS n, count(*) FILTER (skill_type = 'TOOL') AS t FROM ment GROUP BY 1) SELECT count(*) AS postings, round(avg(n), 6) AS avg_mentions, round(avg(t), 6) AS avg_tools FROM g",
     "t14_canonical_names": f"WITH {N} SELECT p_name AS normalized, count(*) AS n FROM norm JOIN part ON p_partkey = esco_skill_id GROUP BY 1",
 }
+ORACLE = {name: sql.replace("WITH ", "WITH RECURSIVE ", 1) if "lcs_ AS" in sql else sql for name, sql in ORACLE.items()}
