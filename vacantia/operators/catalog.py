@@ -190,6 +190,37 @@ def listing_shape(df: DataFrame) -> DataFrame:
         F.substring(F.col("closing_date").cast("string"), 1, 10).alias("closing_date"))
 
 
+def detail_shape(df: DataFrame, skills: str = "required_skills", limit: int | None = None) -> DataFrame:
+    """One posting's page: the listing's columns, whole texts (``limit``: only so many characters), its skills and both links."""
+    def whole(c: str) -> Column:
+        text = F.coalesce(F.col(c), F.lit(""))
+        return text if limit is None else F.substring(text, 1, limit)
+    own = F.coalesce(skills, F.array().cast("array<string>")) if skills in df.columns else F.array().cast("array<string>")
+    return df.select(
+        "job_id", F.coalesce("title", F.lit("")).alias("title"),
+        F.coalesce(empty_to_null("employer"), empty_to_null("company"), F.lit("")).alias("company"), F.coalesce("location", F.lit("")).alias("location"),
+        salary_display().alias("salary"), F.col("salary").alias("salary_text"),
+        F.coalesce(empty_to_null("description"), empty_to_null("full_description"), F.lit("")).alias("description") if limit is None else whole("description").alias("description"),
+        whole("requirements").alias("requirements"), job_link().alias("job_url"),
+        F.coalesce(empty_to_null("job_type"), F.lit("Full-time")).alias("job_type"), F.coalesce("source", F.lit("")).alias("source"), own.alias("required_skills"), "url", "apply_url",
+        F.substring(F.col("closing_date").cast("string"), 1, 10).alias("closing_date"))
+
+
+def recommendation_shape(feed: DataFrame) -> DataFrame:
+    """Rows of a stored recommendation list (``recommendation_feed`` over merged postings) as a client reads them; missing texts are empty."""
+    def text(c: str) -> Column:
+        return F.coalesce(F.col(c), F.lit("")) if c in feed.columns else F.lit("")
+    scores = {"score": "final_score", "relevance": "relevance_score", "feasibility": "feasibility_score", "growth": "growth_score", "match_score": "match_score"}
+    return feed.select(
+        "user_id", "rank", F.col("job_id").cast("string").alias("job_id"),
+        *[(F.col(c).cast("double") if c in feed.columns else F.lit(None).cast("double")).alias(name) for name, c in scores.items()],
+        "matched_at", text("title").alias("title"), text("location").alias("location"),
+        F.coalesce(empty_to_null("employer"), empty_to_null("company"), F.lit("")).alias("company"), job_link().alias("job_url"),
+        text("salary").alias("salary"), text("job_type").alias("job_type"), text("explanation").alias("explanation"),
+        blank_to_null(strip(snippet(F.coalesce(empty_to_null("description"), empty_to_null("full_description"), F.lit(""))))).alias("description_snippet"),
+        "department", "hours", F.substring(F.col("closing_date").cast("string"), 1, 10).alias("closing_date"), "source", "category")
+
+
 def salary_display(text: str | Column = "salary", lo: str | Column = "salary_min", hi: str | Column = "salary_max") -> Column:
     """Salary text, else the numeric range, else a fixed phrase."""
     lo, hi = col(lo), col(hi)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from vacantia.operators import catalog as c
-from vacantia.plans.bindings import HISTORY_SQL, NORMALIZED_SQL, bind, duck, source_a
+from vacantia.plans.bindings import HISTORY_SQL, MENTIONED_SQL, NORMALIZED_SQL, bind, duck, source_a
 from vacantia.util import r6
 from vacantia.sources import sinks
 
@@ -57,9 +57,34 @@ def options(spark, d):
     return c.merge_options(presets, part_types).select("value", "grp", "ord")
 
 
+#: History rows about the postings of both sources: an even event is about the feed posting, an odd one about a listed one of the same order.
+BOTH_SQL = f"""SELECT h.user_id, CASE WHEN event_id % 2 = 0 THEN 'jobs_ac_uk_' || job_id ELSE b_id END AS job_id, final_score, explanation, matched_at, event_id
+  FROM ({HISTORY_SQL}) h LEFT JOIN (SELECT CAST(l_orderkey AS STRING) AS o_id, min('adzuna_' || CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING)) AS b_id
+    FROM {{lineitem}} GROUP BY l_orderkey) b ON o_id = job_id"""
+BOTH = f"hist AS ({duck(BOTH_SQL)})"
+
+
+def history_of_both(spark, d):
+    return bind(spark, d, BOTH_SQL).filter("job_id IS NOT NULL")
+
+
+def feed_rows(spark, d):
+    return c.recommendation_feed(history_of_both(spark, d), unified(spark, d).dropDuplicates(["job_id"]), 5)
+
+
+def detail(spark, d):
+    skills = bind(spark, d, MENTIONED_SQL).groupBy("job_id").agg(F.array_sort(F.collect_set("skill_text")).alias("required_skills"))
+    out = c.detail_shape(postings(spark, d).join(skills, "job_id", "left"))
+    return out.withColumn("required_skills", F.array_join("required_skills", "|"))
+
+
+def recommended(spark, d):
+    out = c.recommendation_shape(feed_rows(spark, d))
+    return out.withColumn("score", r6("score")).drop("relevance", "feasibility", "growth", "match_score")
+
+
 def feed(spark, d):
-    post = source_a(spark, d).select("job_id", "title", "location", F.col("employer").alias("company"), "salary")
-    return c.recommendation_feed(history(spark, d), post, 5).select(
+    return feed_rows(spark, d).select(
         "user_id", "job_id", r6("final_score").alias("final_score"), "rank", "title", "location", "company", "salary")
 
 
@@ -123,6 +148,8 @@ QUERIES = {
     "u05_presets_then_values": options,
     "u06_distinct_sources": lambda s, d: c.distinct_sources(unified(s, d)),
     "p35_p21_listing_shape": detail_shape,
+    "p35_detail_shape": detail,
+    "p35_recommendation_shape": recommended,
     "s09_full_rebuild": rebuilt,
     "s13_export_csv": export_csv,
     "s14_export_json": export_json,
@@ -158,10 +185,19 @@ ORACLE = {
     "l01_paged_listing": f"""{W}, f AS (SELECT * FROM unified WHERE location ILIKE '%nation_2%') SELECT job_id, title, original_scraped_at, (SELECT count(*) FROM f) AS total
         FROM f ORDER BY original_scraped_at DESC NULLS LAST, job_id LIMIT 25 OFFSET 25""",
     "l02_newest_history": f"WITH {HIST} SELECT user_id, job_id, matched_at FROM hist ORDER BY matched_at DESC, event_id LIMIT 100",
-    "l03_w02_j18_recommendation_feed": f"""WITH {HIST}, {UNIFIED}, l AS (SELECT * FROM hist QUALIFY row_number() OVER (PARTITION BY user_id, job_id ORDER BY matched_at DESC, event_id DESC) = 1),
+    "p35_detail_shape": f"""{W}, sk AS (SELECT job_id, array_to_string(list_sort(list(DISTINCT skill_text)), '|') AS l FROM ({duck(MENTIONED_SQL)}) GROUP BY 1)
+        SELECT job_id, title, coalesce(nullif(employer,''), nullif(company,''), '') AS company, location, coalesce(nullif(salary,''), 'Salary not provided') AS salary, salary AS salary_text,
+        coalesce(nullif(description,''), nullif(full_description,''), '') AS description, coalesce(requirements, '') AS requirements, coalesce(nullif(trim(apply_url),''), nullif(trim(url),'')) AS job_url,
+        coalesce(nullif(job_type,''),'Full-time') AS job_type, source, coalesce(l, '') AS required_skills, url, apply_url, strftime(closing_date, '%Y-%m-%d') AS closing_date FROM postings LEFT JOIN sk USING (job_id)""",
+    "p35_recommendation_shape": f"""WITH {BOTH}, {UNIFIED}, u1 AS (SELECT * FROM unified QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY job_id) = 1), l AS (SELECT * FROM hist WHERE job_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id, job_id ORDER BY matched_at DESC, event_id DESC) = 1),
+        r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY final_score DESC NULLS LAST, job_id) AS rank FROM l QUALIFY rank <= 5)
+        SELECT user_id, CAST(rank AS INT) AS rank, r.job_id, round(final_score, 6) AS score, matched_at, coalesce(title, '') AS title, coalesce(location, '') AS location, coalesce(nullif(employer,''), nullif(company,''), '') AS company,
+        coalesce(nullif(trim(apply_url),''), nullif(trim(url),'')) AS job_url, coalesce(salary, '') AS salary, coalesce(job_type, '') AS job_type, coalesce(explanation, '') AS explanation,
+        coalesce(nullif(description,''), nullif(full_description,'')) AS description_snippet, department, hours, strftime(closing_date, '%Y-%m-%d') AS closing_date, source, category FROM r LEFT JOIN u1 ON u1.job_id = r.job_id""",
+    "l03_w02_j18_recommendation_feed": f"""WITH {BOTH}, {UNIFIED}, a AS (SELECT * FROM unified QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY job_id) = 1), l AS (SELECT * FROM hist WHERE job_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id, job_id ORDER BY matched_at DESC, event_id DESC) = 1),
         r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY final_score DESC NULLS LAST, job_id) AS rank FROM l QUALIFY rank <= 5)
-        SELECT user_id, r.job_id, round(final_score,6) AS final_score, CAST(rank AS INT) AS rank, a.title, a.location, a.employer AS company, a.salary
-        FROM r LEFT JOIN src_a a ON a.job_id = r.job_id""",
+        SELECT user_id, r.job_id, round(final_score,6) AS final_score, CAST(rank AS INT) AS rank, a.title, a.location, a.company, a.salary
+        FROM r LEFT JOIN a ON a.job_id = r.job_id""",
     "w02_latest_history_per_posting": f"WITH {HIST} SELECT user_id, job_id, matched_at, round(final_score,6) AS final_score FROM hist QUALIFY row_number() OVER (PARTITION BY user_id, job_id ORDER BY matched_at DESC, event_id DESC) = 1",
     "u02_distinct_types": f"{W} SELECT trim(job_type) AS value FROM unified WHERE trim(job_type) <> '' UNION SELECT trim(contract_type) FROM unified WHERE trim(contract_type) <> ''",
     "u02_distinct_categories": f"{W} SELECT trim(category) AS value FROM unified WHERE trim(category) <> '' UNION SELECT trim(subcategory) FROM unified WHERE trim(subcategory) <> ''",

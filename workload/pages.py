@@ -148,7 +148,7 @@ def outcomes(s, d):
 
 
 def cleaned(s, d):
-    return pages(s, d).select("page_id", F.md5(tx.clean_text(F.concat_ws("  ", F.lit(" x \n"), F.regexp_extract("html", "<title>(.*?)</title>", 1)))).alias("digest"))
+    return pages(s, d).select("page_id", F.md5(tx.clean_text("html")).alias("digest"))
 
 
 def landed_json(s, d):
@@ -241,7 +241,7 @@ ORACLE = {
     "p15_c10_numbers_in_text": f"""{W}, q AS (SELECT job_id, list_transform(regexp_extract_all(salary, '\\d[\\d,]*\\.?\\d*'), lambda x: CAST(replace(x, ',', '') AS DOUBLE)) AS n FROM unified WHERE source = 'jobs_ac_uk')
         SELECT job_id, n[1] AS first, list_min(n) AS lo, list_max(n) AS hi FROM q""",
     "p22_human_dates": "SELECT o_orderkey, strftime(make_date(year(o_orderdate), CASE month(o_orderdate) WHEN 9 THEN 9 WHEN 3 THEN 3 ELSE 1 END, day(o_orderdate)), '%Y-%m-%d') AS a, strftime(o_orderdate, '%Y-%m-%d') AS b FROM (SELECT o_orderkey, o_orderdate FROM orders)",
-    "p23_clean_text": r"SELECT page_id, md5(replace(trim(regexp_replace('x    ' || regexp_extract(html, '<title>(.*?)</title>', 1), '\s+', ' ', 'g')), '&amp;', '&')) AS digest FROM pages",
+    "p23_clean_text": r"""SELECT page_id, md5(replace(replace(replace(replace(replace(replace(trim(regexp_replace(coalesce(html, ''), '[\s\x0B]+', ' ', 'g')), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#039;', chr(39))) AS digest FROM pages""",
     "s03_landed_api_json": """SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) || '-' || CAST(l_partkey AS VARCHAR) AS job_id, p_name AS title, s_name AS company, n_name AS location, r_name || ', ' || n_name AS area, p_type AS category,
         l_extendedprice AS salary_max, date_trunc('second', l_shipdate) AS created FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
     "s04_overlay_page_fields": """WITH p AS (SELECT l_orderkey AS k, max(l_returnflag) AS e, max(CASE WHEN l_quantity > 45 THEN '£9' ELSE '' END) AS s, min(l_linestatus) AS h FROM lineitem GROUP BY 1)
