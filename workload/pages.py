@@ -136,15 +136,28 @@ def needs(s, d):
     return unified(s, d).filter(pg.needs_enrichment()).select("job_id")
 
 
+#: Postings with links to the portal's pages: their own, a page that never landed, a neighbour's, or none that is http.
+LINKED_SQL = """SELECT p_partkey, 'p-' || CAST(p_partkey AS STRING) AS job_id, CASE WHEN p_partkey % 3 = 0 THEN 'adzuna' ELSE 'jobs_ac_uk' END AS source,
+  CASE WHEN p_partkey % 4 = 1 THEN 'ftp://x' ELSE 'https://www.jobs.ac.uk/job/' || CAST(p_partkey AS STRING) END AS url, 'https://gone.example.org/' || CAST(p_partkey AS STRING) AS redirect_url,
+  CASE WHEN p_partkey % 2 = 0 THEN 'https://www.jobs.ac.uk/job/' || CAST(p_partkey + 1 AS STRING) END AS apply_url, CAST(NULL AS STRING) AS requirements,
+  CASE WHEN p_partkey % 5 = 0 THEN ' ' ELSE 'Base ' || p_name END AS full_description FROM {part}"""
+
+
+def enriched_rows(s, d):
+    return pg.enrich(bind(s, d, LINKED_SQL), pg.page_fields(pg.parse_pages(portal_pages(s, d))), min_chars=185)
+
+
 def enriched(s, d):
-    f = pg.page_fields(parsed(s, d))
-    e = pg.enrich(page_postings(s, d), f)
-    return e.select("job_id", "outcome", "used_url", F.char_length("new_description").alias("chars"))
+    return enriched_rows(s, d).select("job_id", "outcome", "used_url", "new_description")
 
 
 def outcomes(s, d):
-    f = pg.page_fields(parsed(s, d))
-    return pg.outcome_report(pg.enrich(page_postings(s, d), f))
+    return pg.outcome_report(enriched_rows(s, d))
+
+
+def landed_outcomes(s, d):
+    """Outcomes over the landed pages themselves, whatever they hold."""
+    return pg.outcome_report(pg.enrich(page_postings(s, d), pg.page_fields(parsed(s, d))))
 
 
 def cleaned(s, d):
@@ -216,12 +229,24 @@ QUERIES = {
     "f17_candidate_links": link_candidates,
     "j19_enrich_from_pages": enriched,
     "a23_enrichment_outcomes": outcomes,
+    "a23_landed_page_outcomes": landed_outcomes,
 }
 W = f"WITH {UNIFIED}"
 _SALP = "coalesce(" + ", ".join(f"nullif(regexp_extract(x, '(?i){p}', 0), '')" for p in tx.SALARY_PATTERNS) + ")"
 _T = "trim(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&amp;', '&'))"
 LOOSE = f"lr AS ({duck(LOOSE_SQL)})"
+_SUP = r"""sup AS (SELECT p_partkey AS page_id, concat_ws(chr(10) || chr(10), needs || ' Person Specification ' || person || ' Closing words of the site.', needs || ' ' || person,
+  '[REQUIREMENTS]' || chr(10) || concat_ws(chr(10), needs, 'Person Specification', person, 'Closing words of the site.')) AS supplement
+  FROM (SELECT p_partkey, 'Needs' || p_type || 'at hand, always.' AS needs, 'Somebody who knows ' || p_brand || ' well.' AS person FROM part))"""
+_ENRICHED = f"""{_SUP}, posts_ AS ({duck(LINKED_SQL)}),
+  tries AS (SELECT job_id, unnest(CASE WHEN source = 'adzuna' THEN [redirect_url, apply_url, url] ELSE [url] END) AS link, unnest(CASE WHEN source = 'adzuna' THEN [1, 2, 3] ELSE [3] END) AS pos FROM posts_),
+  judged AS (SELECT job_id, link, pos, supplement, CASE WHEN supplement IS NULL THEN 'missing' WHEN length(supplement) < 185 THEN 'too_short' ELSE 'ok' END AS state
+    FROM tries LEFT JOIN sup ON link = 'https://www.jobs.ac.uk/job/' || page_id WHERE link LIKE 'http%' QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY state <> 'ok', pos) = 1),
+  enriched_ AS (SELECT p.job_id, coalesce(state, 'no_http_url') AS outcome, link AS used_url, CASE WHEN state = 'ok' THEN CASE WHEN trim(full_description) <> '' THEN trim(full_description) || chr(10) || chr(10) || '--- [added from posting page] ---' || chr(10) || chr(10) || supplement ELSE supplement END END AS new_description
+    FROM posts_ p LEFT JOIN judged j ON j.job_id = p.job_id)"""
 ORACLE = {
+    "j19_enrich_from_pages": f"WITH {_ENRICHED} SELECT job_id, outcome, used_url, new_description FROM enriched_",
+    "a23_enrichment_outcomes": f"WITH {_ENRICHED} SELECT outcome, count(*) AS n, round(count(*) / (SELECT count(*) FROM enriched_), 6) AS rate FROM enriched_ GROUP BY 1",
     "h01_h03_tables_and_sections": """SELECT page_id, CAST(len(regexp_extract_all(html, '<tr')) AS INT) AS n_tables, CAST(len(regexp_extract_all(html, '<strong')) AS INT) AS n_upper,
         CAST(len(regexp_extract_all(html, '<h[23]')) AS INT) AS n_heading FROM pages""",
     "h01_h09_portal_pieces": r"""WITH p AS (SELECT *, 'Needs' || p_type || 'at hand, always.' AS needs, 'Somebody who knows ' || p_brand || ' well.' AS person FROM part)
