@@ -129,6 +129,18 @@ def near_matches(s, d):
         "phrase", "label_id", r6e("similarity").alias("similarity"))
 
 
+def near_by_index(s, d):
+    """Every twentieth vector asks the inverted file over all of them."""
+    v = vectors(s, d)
+    return sim.nearest_indexed(v.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "phrase"), v.withColumnRenamed("vec_id", "label_id"), 10)
+
+
+def index_recall(s, d):
+    v = vectors(s, d)
+    exact = sim.nearest(v.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "phrase"), v.withColumnRenamed("vec_id", "label_id"), 10)
+    return sim.recall(near_by_index(s, d), exact)
+
+
 def normalized_phrases(s, d):
     v = vectors(s, d)
     lib = v.select(F.col("vec_id").alias("label_id"), F.col("vec_id").alias("skill_id"), F.concat_ws(" ", F.lit("skill group"), "label", F.lit("item"), "vec_id").alias("name"), "embedding")
@@ -309,6 +321,8 @@ QUERIES = {
     "a22_merge_match_results": merged_results,
     "j07_w06_nearest_labels": lambda s, d: near(s, d).select("phrase", "label_id", r6e("similarity").alias("similarity"), "rank"),
     "j07_matches_above_threshold": near_matches,
+    "j07_nearest_by_index": near_by_index,
+    "j07_index_recall": index_recall,
     "j08_normalize_phrases_fuzzy": normalized_phrases,
     "c24_token_sort_ratio": token_ratio,
     "u03_taxonomy_library": lambda s, d: lib(s, d).select("id", "name", "is_alternative", "source"),
