@@ -18,6 +18,12 @@ DEMAND_WORDS = (
     "ai", "machine learning", "data", "cloud", "security", "platform",
     "backend", "software", "analytics", "product",
 )
+# --- fixed values: words of texts and what they stand for, first hit first ----------------
+EDUCATION_SCORE_WORDS = ((1.0, ("phd", "doctor")), (0.8, ("master", "msc", "ms ")), (0.6, ("bachelor", "undergraduate", "bsc", "ba ")), (0.4, ("associate", "diploma")))
+EDUCATION_ORDINAL_WORDS = ((5, ("phd", "doctor")), (4, ("master", "msc", "m.sc")), (3, ("bachelor", "undergraduate", "bsc", "b.sc")), (2, ("associate", "diploma")), (1, ("high school",)))
+SENIORITY_WORDS = ((0.85, ("intern", "trainee", "graduate", "entry", "junior", "assistant")), (0.35, ("lead", "principal", "staff", "architect", "manager", "director", "head")),
+                   (0.45, ("senior", "sr.", "sr ", "mid-level")))
+COMPANY_SIZE_WORDS = ((0.75, ("startup", "small", "1-10", "11-50", "51-200")), (0.65, ("201-500", "501-1000", "medium")), (0.55, ("enterprise", "1000+", "large", "multinational")))
 TOP_SCHOOL_RANKS = ("985", "211", "QS Top 100")
 
 

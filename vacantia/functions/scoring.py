@@ -10,7 +10,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..config import DEMAND_WORDS, EDUCATION_LEVELS, MatcherConfig, RankerConfig, TOP_SCHOOL_RANKS
+from ..config import COMPANY_SIZE_WORDS, DEMAND_WORDS, EDUCATION_LEVELS, EDUCATION_ORDINAL_WORDS, EDUCATION_SCORE_WORDS, MatcherConfig, RankerConfig, SENIORITY_WORDS, TOP_SCHOOL_RANKS
 from ..util import col, contains_any, empty_to_null, percent, strip
 from . import text as tx
 
@@ -86,28 +86,25 @@ def dominates(a: Sequence[Column], b: Sequence[Column]) -> Column:
 
 # --- posting features --------------------------------------------------------------------
 
-def education_score(c: Column) -> Column:
+def _by_words(c: Column, table, empty: float | None, otherwise: float) -> Column:
+    """Value of the first group of words of which the text contains one."""
     t = F.lower(strip(F.coalesce(c, F.lit(""))))
-    return (F.when(t == "", None).when(contains_any(t, ("phd", "doctor")), 1.0)
-            .when(contains_any(t, ("master", "msc", "ms ")), 0.8)
-            .when(contains_any(t, ("bachelor", "undergraduate", "bsc", "ba ")), 0.6)
-            .when(contains_any(t, ("associate", "diploma")), 0.4).otherwise(0.5))
+    out = F.when(t == "", F.lit(empty))
+    for value, words in table:
+        out = out.when(contains_any(t, words), F.lit(value))
+    return out.otherwise(otherwise)
+
+
+def education_score(c: Column) -> Column:
+    return _by_words(c, EDUCATION_SCORE_WORDS, None, 0.5)
 
 
 def title_seniority(c: Column) -> Column:
-    t = F.lower(strip(F.coalesce(c, F.lit(""))))
-    return (F.when(t == "", 0.5)
-            .when(contains_any(t, ("intern", "trainee", "graduate", "entry", "junior", "assistant")), 0.85)
-            .when(contains_any(t, ("lead", "principal", "staff", "architect", "manager", "director", "head")), 0.35)
-            .when(contains_any(t, ("senior", "sr.", "sr ", "mid-level")), 0.45).otherwise(0.65))
+    return _by_words(c, SENIORITY_WORDS, 0.5, 0.65)
 
 
 def company_size_score(c: Column) -> Column:
-    t = F.lower(strip(F.coalesce(c, F.lit(""))))
-    return (F.when(t == "", None)
-            .when(contains_any(t, ("startup", "small", "1-10", "11-50", "51-200")), 0.75)
-            .when(contains_any(t, ("201-500", "501-1000", "medium")), 0.65)
-            .when(contains_any(t, ("enterprise", "1000+", "large", "multinational")), 0.55).otherwise(0.6))
+    return _by_words(c, COMPANY_SIZE_WORDS, None, 0.6)
 
 
 def days_between(later: Column, earlier: Column) -> Column:
@@ -121,9 +118,9 @@ def education_ordinal(c: Column) -> Column:
     out = F.lit(None).cast("int")
     for i, level in enumerate(EDUCATION_LEVELS, 1):
         out = F.when(c == level, F.lit(i)).otherwise(out)
-    scan = (F.when(contains_any(t, ("phd", "doctor")), 5).when(contains_any(t, ("master", "msc", "m.sc")), 4)
-            .when(contains_any(t, ("bachelor", "undergraduate", "bsc", "b.sc")), 3)
-            .when(contains_any(t, ("associate", "diploma")), 2).when(t.contains("high school"), 1).otherwise(0))
+    scan = F.lit(0)
+    for value, words in reversed(EDUCATION_ORDINAL_WORDS):
+        scan = F.when(contains_any(t, words), F.lit(value)).otherwise(scan)
     return F.coalesce(out, scan)
 
 
@@ -383,6 +380,7 @@ def final_score(cfg: RankerConfig) -> Column:
             + F.col("growth") * cfg.growth_weight)
 
 
+# fixed values: the sentences of the two explanations are output text
 # --- explanations -------------------------------------------------------------------------
 
 def match_explanation() -> Column:
