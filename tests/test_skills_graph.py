@@ -172,3 +172,21 @@ def test_dates_and_numbers(spark):
     assert got == ["2026-03-09", "2025-09-01", "2024-01-31", "2024-04-03", "None"]
     n = spark.createDataFrame([("£30,000 to £35,000, 37.5 hours",), ("n/a",)], "d string").select(tx.all_numbers("d"), tx.first_number("d")).collect()
     assert sorted(n[0][0]) == [37.5, 30000.0, 35000.0] and n[0][1] == 30000.0 and n[1][1] is None
+
+
+def test_set_links_give_back_posting_pairs(spark):
+    rng = random.Random(8)
+    sets = [tuple(sorted(rng.sample("abcdefgh", rng.randint(1, 4)))) for _ in range(12)]
+    rows = [(f"j{i}", s) for i in range(60) for s in sets[i % 12 if i % 3 else 0]]
+    edges = g.skill_edges(spark.createDataFrame(rows, "job_id string, skill string"))
+    members, links = g.similar_sets(edges, 0.5)
+    pairs = {(r.source, r.target, round(r.weight, 9)) for r in g.similar_postings(members, links).collect()}
+    graph = g.set_links(members, links)
+    found = g.linked_postings(graph, members.select("job_id").distinct())
+    got = {(r.source[4:], r.target[4:], round(r.weight, 9)) for r in found.collect()}
+    assert len(pairs) > 200 and got == pairs | {(b, a, w) for a, b, w in pairs} and found.count() == len(got)
+    n = len(set(sets))
+    assert graph.filter("type = 'has_set'").count() == 60 and graph.filter("type = 'related_role'").count() <= n * (n + 1) / 2
+    one = g.linked_postings(graph, spark.createDataFrame([("j1",)], "job_id string"))
+    assert {(r.source, r.target) for r in one.collect()} == {(f"job:{a}", f"job:{b}") for a, b, _ in got if a == "j1"}
+    assert g.linked_postings(graph, spark.createDataFrame([], "job_id string")).count() == 0

@@ -102,6 +102,14 @@ EDGES_SQL = """
 SELECT CAST(l_orderkey AS STRING) AS job_id, 'P' || CAST(l_partkey AS STRING) AS skill FROM {lineitem}
 """
 
+# the same for the postings of both sources, by merged id
+EDGES_ALL_SQL = """
+SELECT 'jobs_ac_uk_' || CAST(l_orderkey AS STRING) AS job_id, 'P' || CAST(l_partkey AS STRING) AS skill FROM {lineitem}
+UNION ALL
+SELECT 'adzuna_' || CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING), 'P' || CAST(l_partkey AS STRING)
+FROM {lineitem}
+"""
+
 USER_SKILLS_SQL = """
 SELECT 'u' || CAST(o_custkey AS STRING) AS user_id, p_name AS name,
        CAST(least(1.0, sum(l_quantity) / 60) AS DOUBLE) AS proficiency,

@@ -197,7 +197,7 @@ def dates(s, d):
 
 
 def numbers(s, d):
-    u = unified(s, d).filter("source = 'jobs_ac_uk'")
+    u = unified(s, d)
     n = tx.all_numbers("salary")
     return u.select("job_id", tx.first_number("salary").alias("first"), F.array_min(n).alias("lo"), F.array_max(n).alias("hi"))
 
@@ -263,7 +263,7 @@ ORACLE = {
     "p12_p14_e02_loose_records": f"""WITH {LOOSE} SELECT rec_id, company AS employer, city AS location, CASE prio WHEN '1-URGENT' THEN ' £' || amount WHEN '2-HIGH' THEN '€' || amount WHEN '5-LOW' THEN 'on request'
         WHEN '3-MEDIUM' THEN '£' || amount || ' per' END AS salary, seg AS skills, CASE WHEN prio = '3-MEDIUM' THEN 'The team pays £' || amount || ' per annum, plus a good pension scheme' ELSE seg END AS description, prio AS band, true AS has_title FROM lr""",
     "p13_salary_phrase": f"{W}, q AS (SELECT job_id, concat_ws(' ', 'pays', salary, description) AS x FROM unified) SELECT job_id, trim({_SALP}) AS phrase FROM q",
-    "p15_c10_numbers_in_text": f"""{W}, q AS (SELECT job_id, list_transform(regexp_extract_all(salary, '\\d[\\d,]*\\.?\\d*'), lambda x: CAST(replace(x, ',', '') AS DOUBLE)) AS n FROM unified WHERE source = 'jobs_ac_uk')
+    "p15_c10_numbers_in_text": f"""{W}, q AS (SELECT job_id, list_transform(regexp_extract_all(salary, '\\d[\\d,]*\\.?\\d*'), lambda x: CAST(replace(x, ',', '') AS DOUBLE)) AS n FROM unified)
         SELECT job_id, n[1] AS first, list_min(n) AS lo, list_max(n) AS hi FROM q""",
     "p22_human_dates": "SELECT o_orderkey, strftime(make_date(year(o_orderdate), CASE month(o_orderdate) WHEN 9 THEN 9 WHEN 3 THEN 3 ELSE 1 END, day(o_orderdate)), '%Y-%m-%d') AS a, strftime(o_orderdate, '%Y-%m-%d') AS b FROM (SELECT o_orderkey, o_orderdate FROM orders)",
     "p23_clean_text": r"""SELECT page_id, md5(replace(replace(replace(replace(replace(replace(trim(regexp_replace(coalesce(html, ''), '[\s\x0B]+', ' ', 'g')), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#039;', chr(39))) AS digest FROM pages""",

@@ -101,8 +101,7 @@ def scored_words(s, d):
 
 
 def phrases(s, d):
-    u = unified(s, d).filter("source = 'jobs_ac_uk'")
-    return u.select("job_id", F.posexplode(tx.split_phrases("requirements")).alias("pos", "phrase"))
+    return unified(s, d).select("job_id", F.posexplode(tx.split_phrases("requirements")).alias("pos", "phrase"))
 
 
 def candidates(s, d):
@@ -358,7 +357,7 @@ ORACLE = {
     "p19_word_scores": """SELECT p_partkey, [1.0, 0.8, 0.6, 0.4, 0.5, NULL, NULL][p_partkey % 7 + 1]::DOUBLE AS education, [0.85, 0.45, 0.35, 0.65, 0.85][p_partkey % 5 + 1]::DOUBLE AS seniority,
         [0.75, 0.65, 0.55, 0.6][p_partkey % 4 + 1]::DOUBLE AS size FROM part""",
     "p24_w13_extraction_text": "SELECT doc_id, CAST(length(text) AS INT) AS n, 0 AS n_req FROM documents",
-    "p25_requirement_phrases": f"{W}, p AS (SELECT job_id, {_PH} AS ph FROM unified WHERE source='jobs_ac_uk'), x AS (SELECT job_id, unnest(ph) AS phrase, unnest(range(len(ph))) AS pos FROM p) SELECT job_id, CAST(pos AS INT) AS pos, phrase FROM x",
+    "p25_requirement_phrases": f"{W}, p AS (SELECT job_id, {_PH} AS ph FROM unified), x AS (SELECT job_id, unnest(ph) AS phrase, unnest(range(len(ph))) AS pos FROM p) SELECT job_id, CAST(pos AS INT) AS pos, phrase FROM x",
     "p26_candidate_phrases": f"""{W}, p AS (SELECT job_id, list_filter(list_transform({_CAND}, lambda x: trim(x)), lambda x: x <> '') AS ph FROM postings),
         x AS (SELECT job_id, unnest(ph) AS phrase, unnest(range(len(ph))) AS pos FROM p) SELECT job_id, phrase FROM x QUALIFY row_number() OVER (PARTITION BY job_id, lower(phrase) ORDER BY pos) = 1""",
     "p27_label_types": "SELECT p_partkey, CASE p_type WHEN 'LARGE' THEN 'TOOL' ELSE 'SKILL' END AS skill_type FROM part WHERE p_type <> 'PROMO'",
