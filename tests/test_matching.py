@@ -170,3 +170,14 @@ def test_all_gaps_are_listed(spark):
     assert [(g["skill"], g["status"]) for g in r["skill_gaps"]] == [(f"s{i}", "missing") for i in range(7)] + [("s9", "needs_improvement")]
     assert len(r["learning_suggestions"]) == 3 and "address: s0, s1, s2, s3. " in r["reasoning"]
     assert len(rs.gap_report(rows, max_gaps=5).first()["skill_gaps"]) == 5
+
+
+def test_given_pairs_meet_postings_first(spark):
+    """Pairs of unknown postings are gone before a user's arrays are joined; rows and repeated pairs as before."""
+    us, ps = frames(spark, [user("u1", skills=[("sql", 0.9, 2.0)]), user("u2")], [post("j1", skills=["sql"]), post("j2")])
+    pairs = spark.createDataFrame([("u1", "j1"), ("u1", "j1"), ("u1", "gone"), ("u2", "j2"), ("none", "j1"), (None, "j1")], "user_id string, job_id string")
+    got = m.score_given_pairs(pairs, us, ps)
+    assert sorted((r.u_user_id, r.p_job_id, r.n_hits) for r in got.collect()) == [("u1", "j1", 1), ("u2", "j2", 0)]
+    plan = got._jdf.queryExecution().analyzed().toString().splitlines()
+    joins = [line for line in plan if "Join" in line]
+    assert "u_user_id" in joins[0] and "p_job_id" in joins[1]
