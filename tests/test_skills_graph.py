@@ -119,6 +119,21 @@ def test_related_postings_equal_brute_force(spark, hot):
     assert got == want
 
 
+def test_related_postings_do_not_pair_a_crowd(spark):
+    """Postings that share one skill only are never paired; a posting without id has no links."""
+    crowd = [(f"c{k:03}", "common") for k in range(300)] + [(f"c{k:03}", "common") for k in (250, 260)]
+    rows = [*crowd, ("c007", "rare"), ("c299", "rare"), ("c007", "own"), (None, "common"), (None, "rare")]
+    e = g.skill_edges(spark.createDataFrame(rows, "job_id string, skill string"))
+    src = e.select(F.col("job_id").alias("a"), "skill")
+    met = g.pairs_sharing_two(src, src.withColumnRenamed("a", "b"), spark.createDataFrame([], "skill string"))
+    assert {tuple(r) for r in met.collect()} == {("c007", "c299"), ("c299", "c007")}
+    got = {}
+    for r in g.related_postings(e, k=3).orderBy("job_id", "rank").collect():
+        got.setdefault(r.job_id, []).append((r.related_id, r.shared))
+    assert len(got) == 300 and got["c100"] == [("c250", 2), ("c260", 2), ("c000", 1)]
+    assert got["c007"] == [("c250", 2), ("c260", 2), ("c299", 2)] and got["c250"] == [("c260", 2), ("c000", 1), ("c001", 1)]
+
+
 @pytest.mark.parametrize("t", [0.3, 0.5, 1.0])
 def test_similar_sets_equal_brute_force(spark, t):
     rows, e = edges(spark, random.Random(11), 70, 8, ["h1"])
