@@ -72,3 +72,19 @@ def test_custom_mapping(spark):
     mapping = {"source": lambda df: F.lit("board"), "source_job_id": "job_id", "title": lambda df: F.upper("title"), "company": "employer", "location": "nowhere"}
     r = u.with_keys(u.map_source(rows_a(spark).filter("job_id = '4'"), mapping)).first()
     assert (r.job_id, r.title, r.company, r.location, r.salary) == ("board_4", "CLERK", "Uni Y", None, None)
+
+
+def test_derived_fields_are_made_after_duplicates_are_dropped(spark):
+    """Same rows as mapping everything first, also where a source has a column that its mapping ignores; texts are searched above the last window."""
+    a = rows_a(spark)
+    b = a.withColumn("job_id", F.concat(F.lit("b"), "job_id")).withColumnRenamed("employer", "company").withColumn("views", F.lit("9")).withColumn("sector", F.lit("Law")).withColumn("full_description", F.lit("PhD"))
+    b = b.withColumn("location", F.lit("Hull")).unionByName(b)
+    cast = [c for c in u.UNIFIED_TYPES]
+    want = u.unique_postings(u.map_a(a).unionByName(u.map_b(b)))
+    got = u.unique_sources([(a, u.MAPPING_A, False), (b, u.MAPPING_B, True)])
+    assert got.columns == want.columns == [*cast, "dedup_hash", "job_id"]
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.filter("required_education = 'PhD' and view_count = 9").count() > 0
+    plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not any("doctorate" in line for line in plan[max(k for k, line in enumerate(plan) if "Window" in line):])
+    early = u.unique_sources([(a, u.MAPPING_A, False)], F.col("original_scraped_at") < "2024-01-15")
+    assert {r.job_id for r in early.collect()} == {r.job_id for r in u.unique_postings(u.map_a(a).filter(F.col("original_scraped_at") < "2024-01-15")).collect()}
