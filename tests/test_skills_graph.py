@@ -134,6 +134,21 @@ def test_related_postings_do_not_pair_a_crowd(spark):
     assert got["c007"] == [("c250", 2), ("c260", 2), ("c299", 2)] and got["c250"] == [("c260", 2), ("c000", 1), ("c001", 1)]
 
 
+@pytest.mark.parametrize("most", [2, 64])
+def test_sets_with_one_common_skill_are_not_compared(spark, monkeypatch, most):
+    monkeypatch.setattr(g, "PAIRED_SKILLS", most)
+    sets = {f"c{k:03}": [*(f"z{k}-{j}" for j in range(2)), "common"] for k in range(60)} | {"d1": ["common", "p", "q", "r"], "d2": ["common", "p", "s"], "e1": ["common"], "e2": ["common", "p"]}
+    rare = {x: sum(x in v for v in sets.values()) for v in sets.values() for x in v}
+    rows = [(j, len(v), sorted((rare[x], x) for x in v)) for j, v in sets.items()]
+    found = {tuple(r) for r in g.set_candidates(spark.createDataFrame(rows, "set_id string, n int, toks array<struct<df:bigint,skill:string>>"), 0.3).collect()}
+    linked = {(a, b) for a in sets for b in sets if a < b and len({*sets[a]} & {*sets[b]}) >= 0.3 * len({*sets[a]} | {*sets[b]}) - 1e-9}
+    assert linked <= found and ("d1", "d2") in linked and len(linked) > 60
+    assert most < 64 or found - linked == set()
+    e = g.skill_edges(spark.createDataFrame([(j, x) for j, v in sets.items() for x in v], "job_id string, skill string"))
+    got = {(r.source, r.target) for r in g.similar_postings(*g.similar_sets(e, 0.3)).collect()}
+    assert got == linked
+
+
 @pytest.mark.parametrize("t", [0.3, 0.5, 1.0])
 def test_similar_sets_equal_brute_force(spark, t):
     rows, e = edges(spark, random.Random(11), 70, 8, ["h1"])
