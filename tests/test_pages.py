@@ -56,3 +56,20 @@ def test_enrichment(spark):
     got = {r.job_id: r for r in pg.enrich(posts, fields, min_chars=40).collect()}
     assert got["p1"].outcome == "ok" and got["p1"].new_description.startswith("Old\n\n---") and "[Person Specification]" in got["p1"].new_description
     assert got["p2"].outcome == "no_http_url" and got["p3"].outcome == "too_short" and got["p3"].new_description is None
+
+
+def test_pages_are_shuffled_once_and_not_written(spark):
+    import os
+    kept = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(kept))
+    plan = pg.parse_pages(frame(spark))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and set(os.listdir(kept)) == before
+
+
+def test_rows_of_one_page_count_together_and_without_an_id_say_nothing(spark):
+    html = "<html><head><title>T</title></head><body><p>Some paragraph of at least twenty.</p><ul><li>x</li></ul></body></html>"
+    rows = spark.createDataFrame([(1, "u", html), (1, "v", html), (2, "w", html), (None, "n", html), (3, "z", None)], "page_id bigint, url string, html string")
+    got = {r.url: r for r in pg.parse_pages(rows).collect()}
+    assert [got[u].title for u in "uvwnz"] == ["TT", "TT", "T", None, None]
+    assert got["u"].ul == [["xx"] * 4] and got["w"].ul == [["x"]] and got["n"].paragraphs == [] and got["n"].main_text == ""
+    assert got["w"].paragraphs == ["Some paragraph of at least twenty."] and len(got["u"].paragraphs) == 2
