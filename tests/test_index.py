@@ -1,6 +1,7 @@
 """The inverted file against all rows; the extraction chain by hand."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,3 +57,24 @@ def test_extraction_chain_by_hand(spark):
         ("a", "python", "keyword_match_exact"), ("a", "machine learning", "keyword_match_substring"), ("a", "Pythn", "listed_phrase"), ("a", "C++", "listed_phrase"), ("c", "Go", "keyword_match_exact")}
     assert {(r.job_id, r.raw, r.normalized, r.normalization_method) for r in records.collect()} == {
         ("a", "python", "python", "embedding"), ("a", "machine learning", "machine learning", "embedding"), ("a", "Pythn", "python", "fuzzy"), ("a", "C++", "C++", "embedding"), ("c", "Go", "Go", "embedding")}
+
+
+@pytest.mark.parametrize(("n", "k"), [(3, 5), (40, 5), (700, 5), (700, 11)])
+def test_best_entries_equal_a_full_sort(n, k):
+    rng = np.random.default_rng(n)
+    x = np.round(rng.normal(size=(30, n)), 1)  # many equal entries
+    rows, cols = sim._best(x, k)
+    want = np.argsort(-x, axis=1, kind="stable")[:, :k]
+    assert cols.reshape(30, -1).tolist() == want.tolist() and rows.tolist() == np.repeat(np.arange(30), min(n, k)).tolist()
+
+
+def test_few_rows_are_multiplied_at_a_time(monkeypatch):
+    rng = np.random.default_rng(1)
+    side = lambda name, n: pd.DataFrame({name: np.arange(n), "_v": list(rng.normal(size=(n, 4)))})
+    a, b = side("_q", 70), side("_l", 90)
+    whole = sim._best_pairs(a, b, 3, -1.5)
+    seen, best = [], sim._best
+    monkeypatch.setattr(sim, "ROWS", 16)
+    monkeypatch.setattr(sim, "_best", lambda x, k: seen.append(len(x)) or best(x, k))
+    pd.testing.assert_frame_equal(sim._best_pairs(a, b, 3, -1.5), whole)
+    assert max(seen) == 16 and sum(seen) == 70
