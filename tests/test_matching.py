@@ -11,7 +11,7 @@ from vacantia.functions import scoring as sc
 from vacantia.operators import matching as m
 from vacantia.operators import ranking as rk
 from vacantia.operators.features import posting_features, profile_features
-from vacantia.operators.textjoin import contains_pairs
+from vacantia.operators.textjoin import contains_pairs, joints
 
 PROFILE = ("user_id string, name string, skills array<struct<name:string,proficiency:double,years_of_experience:double>>, "
            "education array<struct<level:string,major:string,gpa:double,ranking:string>>, work_experience array<struct<company:string,duration_years:double>>, "
@@ -81,6 +81,17 @@ def test_weights_renormalise(spark):
     assert rows[0].d.components.a.effective_weight == 1.0 and rows[0].d.missing == ["b"] and rows[1].d.missing == ["a", "b"]
 
 
+def test_needles_of_several_words_are_known_by_their_joints(spark):
+    texts = ["a large ring of gold", "xlarge ringy", "large  ring", "Brand#12 and more", "no such thing", "", "é la carte é", "largering"]
+    needles = ["large ring", "ring of", "Brand#12", "la carte", "e r", "#", "ring", "thing"]
+    for some in (needles, needles[:4]):
+        n = spark.createDataFrame([(x,) for x in some], "needle string")
+        t = spark.createDataFrame(list(enumerate(texts)), "tid int, text string")
+        got = {tuple(r) for r in contains_pairs(n, t, "needle", "text", "tid").collect()}
+        assert got == {(x, i) for x in some for i, y in enumerate(texts) if x in y}
+    assert t.filter("tid = 0").select(joints(F.col("text"))).first()[0] == ["ge ri", "ng of", "of go"]
+
+
 def test_contains_pairs_equals_brute_force(spark):
     rnd = random.Random(3)
     texts = ["".join(rnd.choice("abc d") for _ in range(rnd.randint(1, 30))) for _ in range(60)] + ["ab", "a\nb c"]

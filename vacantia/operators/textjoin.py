@@ -15,23 +15,31 @@ def grams(c: Column, q: int = GRAM) -> Column:
     return F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{q}}}))"), F.lit(1)))
 
 
+def joints(c: Column) -> Column:
+    """Distinct strings of five characters whose middle one is no ASCII letter or digit: far fewer and rarer than all q-grams."""
+    return F.array_distinct(F.regexp_extract_all(c, F.lit("(?s)(?=(..[^A-Za-z0-9]..))"), F.lit(1)))
+
+
 def contains_pairs(needles: DataFrame, texts: DataFrame, needle: str, text: str, text_id: str) -> DataFrame:
     """All (needle, text id) with the needle inside the text.
 
-    A needle is looked up by its rarest q-gram, so only texts that hold this gram are
-    verified. Needles of 1 or 2 characters use grams of their own length. ``needles`` must
+    A needle is looked up by its rarest gram, so only texts that hold this gram are
+    verified. Needles of several words are known by what stands around a word's end, the others by
+    q-grams; those of 1 or 2 characters use grams of their own length. ``needles`` must
     hold distinct non-empty values and ``texts`` one row per ``text_id``.
     """
     n = needles.select(F.col(needle).alias("_needle"))
     size = F.char_length("_needle")
-    # Short grams are only cut when some needle needs them: one number decides.
-    shortest = n.agg(F.min(size)).first()[0] or GRAM
-    sizes = range(min(shortest, GRAM), GRAM + 1)
+    jointed = F.size(joints(F.col("_needle"))) > 0
+    # Grams of a kind are only cut when some needle needs them: two numbers decide.
+    any_jointed, shortest = n.agg(F.max(jointed), F.min(F.when(~jointed, size))).first()
+    sizes = range(min(shortest or GRAM, GRAM), GRAM + 1) if shortest is not None or not any_jointed else ()
     own = F.lit(None).cast("array<string>")
     for q in sizes:
         own = F.when(size >= GRAM if q == GRAM else size == q, grams(F.col("_needle"), q)).otherwise(own)
+    own = F.when(jointed, joints(F.col("_needle"))).otherwise(own)
     wanted = n.select("_needle", F.explode(own).alias("_gram"))
-    all_grams = F.concat(*[grams(F.col(text), q) for q in sizes])
+    all_grams = F.concat(*([joints(F.col(text))] if any_jointed else []), *[grams(F.col(text), q) for q in sizes])
     have = (texts.select(text_id, F.explode(all_grams).alias("_gram"))
             .join(wanted.select("_gram").distinct(), "_gram", "left_semi"))
     freq = have.groupBy("_gram").agg(F.count(F.lit(1)).alias("_df"))
