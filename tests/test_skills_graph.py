@@ -220,3 +220,19 @@ def test_set_links_give_back_posting_pairs(spark):
     one = g.linked_postings(graph, spark.createDataFrame([("j1",)], "job_id string"))
     assert {(r.source, r.target) for r in one.collect()} == {(f"job:{a}", f"job:{b}") for a, b, _ in got if a == "j1"}
     assert g.linked_postings(graph, spark.createDataFrame([], "job_id string")).count() == 0
+
+
+def test_related_by_label_orders_combinations_not_postings(spark):
+    """Equals comparing all postings, also for repeated and missing ids; no window runs over the candidates of every posting."""
+    rows = [(f"j{i % 50:02}" if i % 7 else None, ("a", "b", " a ", "", None)[i % 5], ("x", "y", None)[i % 3]) for i in range(75)]
+    got = g.related_by_label(spark.createDataFrame(rows, "job_id string, category string, source string"), k=4)
+    want = set()
+    values = lambda c, s: {("c", c.strip()) if c and c.strip() else None, ("s", s) if s else None} - {None}
+    newest = {}
+    for v in {v for _, c, s in rows for v in values(c, s)}:
+        newest[v] = sorted((j for j, c, s in rows if j and v in values(c, s)), reverse=True)[:5]
+    for job in {j for j, _, _ in rows if j}:
+        near = {r for j, c, s in rows if j == job for v in values(c, s) for r in newest[v]} - {job}
+        want |= {(job, r, i) for i, r in enumerate(sorted(near, reverse=True)[:4], 1)}
+    assert {(r.job_id, r.related_id, r["rank"]) for r in got.collect()} == want
+    assert "windowspecdefinition(job_id" not in got._jdf.queryExecution().toString()
