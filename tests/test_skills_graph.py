@@ -183,6 +183,26 @@ def test_fallbacks_equal_brute_force(spark):
     assert lab == {p[0]: sorted((q[0] for q in posts if q[2] == p[2] and q[0] != p[0]), reverse=True)[:3] for p in posts if p[2]}
 
 
+def test_related_by_text_forms_agree_and_shuffle_no_candidates(spark):
+    rnd = random.Random(5)
+    # repeated and missing ids and texts; terms in any case, empty, missing, unknown
+    posts = [(rnd.choice([f"j{rnd.randrange(30):02d}", None]) if i % 9 == 0 else f"j{rnd.randrange(60):02d}", rnd.choice([f"{rnd.choice(['Red', 'blue'])} {rnd.choice(['bolt', 'nut', 'ring'])}", None])) for i in range(80)]
+    asked = [(rnd.choice([f"j{rnd.randrange(70):02d}"] * 9 + [None]), i % 3, rnd.choice(["bolt", "RED", "d n", "zzz", "", None])) for i in range(150)]
+    pd_, terms = spark.createDataFrame(posts, "job_id string, text string"), spark.createDataFrame(asked, "job_id string, pos int, term string")
+    for max_terms in (None, 2):
+        newest = {}
+        for t in {t.lower() for _, _, t in asked if t}:
+            newest[t] = sorted((j for j, x in posts if j and x and t in x.lower()), reverse=True)[:4]
+        want = {}
+        for j in {j for j, _, _ in asked if j}:
+            ids = {r for a, pos, t in asked if a == j and t and (max_terms is None or pos < max_terms) for r in newest[t.lower()]} - {j}
+            want.update({(j, r): i + 1 for i, r in enumerate(sorted(ids, reverse=True)[:3])})
+        for few in (256, 0):
+            out = g.related_by_text(terms, pd_, 3, max_terms, few=few)
+            assert {(r.job_id, r.related_id): r["rank"] for r in out.collect()} == want
+            assert few == 0 or "hashpartitioning(job_id" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_loose_records(spark):
     rows = [(1, {"Funding Amount": "£1,000", "Company": "X", "employer": "Longer X"}, {}),
             (2, {"details": "we pay"}, {"Pay & More": "Salary of £30,000 yearly"}),
