@@ -53,6 +53,17 @@ def test_raw_collapse_changes_nothing(spark):
     assert sorted(r.job_id for r in u.unique_postings(mapped).collect()) == sorted(r.job_id for r in want.collect())
 
 
+def test_duplicates_meet_in_one_shuffle(spark):
+    a = rows_a(spark)
+    again = a.withColumn("job_id", F.concat(F.lit("9"), "job_id")).withColumn("title", F.upper("title"))
+    mapped = u.map_a(a.unionByName(again).unionByName(a))
+    out = u.unique_postings(mapped)
+    want = u.first_per_hash(u.with_keys(mapped).filter(u.is_complete()))
+    assert sorted((r.dedup_hash, r.job_id) for r in out.collect()) == sorted((r.dedup_hash, r.job_id) for r in want.collect())
+    plan = out._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    assert plan.split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 1
+
+
 def test_stream_equals_batch(spark, tmp_path):
     src = rows_a(spark)
     src.repartition(3).write.parquet(str(tmp_path / "in"))
