@@ -4,6 +4,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from vacantia.operators import unify as u
+from vacantia.sources import sinks
 from vacantia.streaming import streams as st
 
 A = ("job_id string, title string, employer string, location string, description string, requirements string, url string, apply_url string, "
@@ -99,3 +100,16 @@ def test_derived_fields_are_made_after_duplicates_are_dropped(spark):
     assert not any("doctorate" in line for line in plan[max(k for k, line in enumerate(plan) if "Window" in line):])
     early = u.unique_sources([(a, u.MAPPING_A, False)], F.col("original_scraped_at") < "2024-01-15")
     assert {r.job_id for r in early.collect()} == {r.job_id for r in u.unique_postings(u.map_a(a).filter(F.col("original_scraped_at") < "2024-01-15")).collect()}
+
+
+def test_export_makes_its_rows_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def text(i):
+        made.add(1)
+        return f"t{i}"
+    rows = spark.range(100).repartition(3).select(F.col("id").cast("string").alias("job_id"), F.udf(text)("id").alias("title"), (F.col("id") % 7).alias("at"), F.lit("x").alias("raw_data"))
+    path = sinks.export_csv(rows, "at", path=str(tmp_path / "csv"))
+    assert made.value == 100
+    back = spark.read.option("header", True).csv(path)
+    assert back.columns == ["job_id", "title", "at"] and {(r.job_id, r.title) for r in back.collect()} == {(str(i), f"t{i}") for i in range(100)}
